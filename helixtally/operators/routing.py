@@ -150,12 +150,39 @@ def bin_census(counts: DataFrame, k: int, rehash: bool = True, slot_bits: int =
     )
 
 
-def balance(sized: DataFrame, scheme: str, parts: int) -> DataFrame:
-    """One row: how far the fullest of ``parts`` parts lies above and the emptiest below the mean."""
-    mean = F.sum("n_unique") / F.lit(parts)
-    low = F.when(F.count(F.lit(1)) < parts, F.lit(0).cast("bigint")).otherwise(F.min("n_unique"))
-    return sized.agg(
-        F.lit(scheme).alias("scheme"),
+def balance(counts: DataFrame, k: int) -> DataFrame:
+    """How far the fullest part lies above and the emptiest below the mean, per routing scheme.
+
+    All schemes are coarser than (card, suffix), so the k-mers are grouped once
+    into at most 3 x 1,024 rows, and the schemes are read off those.
+    """
+    card = F.pmod(F.shiftrightunsigned(F.col("h"), CARD_SHIFT), F.lit(CARDS)).cast("int")
+    fine = (
+        with_hash64(counts, k)
+        .groupBy(card.alias("card"), low_bits(F.col("h"), SUFFIX_BITS).alias("suffix"))
+        .agg(F.count(F.lit(1)).alias("n_unique"))
+    )
+    suffix = F.col("suffix")
+    schemes = {
+        "units4": (4, F.pmod(suffix, F.lit(4))),
+        "units8": (8, F.pmod(suffix, F.lit(8))),
+        "suffixes1024": (1 << SUFFIX_BITS, suffix),
+        "segments3072": (CARDS << SUFFIX_BITS, F.col("card") * (1 << SUFFIX_BITS) + suffix),
+    }
+    labelled = F.array(
+        *[
+            F.struct(F.lit(name).alias("scheme"), F.lit(parts).alias("parts"), part.alias("part"))
+            for name, (parts, part) in schemes.items()
+        ]
+    )
+    sized = (
+        fine.select("n_unique", F.inline(labelled))
+        .groupBy("scheme", "parts", "part")
+        .agg(F.sum("n_unique").alias("n_unique"))
+    )
+    mean = F.sum("n_unique") / F.col("parts")
+    low = F.when(F.count(F.lit(1)) < F.col("parts"), F.lit(0).cast("bigint")).otherwise(F.min("n_unique"))
+    return sized.groupBy("scheme", "parts").agg(
         F.max("n_unique").alias("max_unique"),
         low.alias("min_unique"),
         F.round((F.max("n_unique") - mean) / mean, 6).alias("over"),
