@@ -56,35 +56,44 @@ def windows(codes: np.ndarray, k: int, forward: bool) -> np.ndarray:
         length *= 2
 
 
-def canonical_slices(
-    data: np.ndarray, ends: np.ndarray | None, k: int, table: np.ndarray
+def slices(
+    data: np.ndarray, ends: np.ndarray | None, k: int, table: np.ndarray, step: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Yield ``(start positions, canonical codes)`` of all windows of k valid bases.
+    """Yield (2-bit digits, mask of valid window starts) for slices of ``step`` windows.
 
-    ``data`` holds the characters of many reads back to back. ``ends`` gives the
-    end of each read, sorted; no window spans one. It may be None where a
-    separator byte already follows every read.
+    A slice overlaps the next one by k - 1 characters. Slices without any valid
+    window come with an all-false mask; digits at invalid characters are arbitrary.
     """
     back = np.arange(1, k)
-    for lo in range(0, len(data) - k + 1, _STEP):
-        part = data[lo : lo + _STEP + k - 1]
-        codes = table[part]
+    for lo in range(0, len(data) - k + 1, step):
+        part = data[lo : lo + step + k - 1]
+        digits = table[part]
         n = len(part) - k + 1
         keep = np.ones(n, bool)
-        bad = codes == INVALID
+        bad = digits == INVALID
         if bad.any():
             seen = np.zeros(len(part) + 1, np.int32)
             np.cumsum(bad, out=seen[1:])
             keep = seen[k:] == seen[:n]
-            codes &= 3
+            digits &= 3
         if ends is not None and k > 1:
             inside = ends[np.searchsorted(ends, lo, "right") : np.searchsorted(ends, lo + len(part), "left")]
             crossing = (inside[:, None] - back).ravel() - lo
             keep[crossing[(crossing >= 0) & (crossing < n)]] = False
+        yield digits, keep
+
+
+def canonical_slices(
+    data: np.ndarray, ends: np.ndarray | None, k: int, table: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield ``(start positions, canonical codes)`` of all windows of k valid bases.
+
+    ``data`` holds the characters of many reads back to back. ``ends`` gives the
+    end of each read, sorted; no window spans one. It may be None where a
+    separator byte already follows every read.
+    """
+    for number, (digits, keep) in enumerate(slices(data, ends, k, table, _STEP)):
         starts = np.flatnonzero(keep)
-        if not len(starts):
-            continue
-        forward = windows(codes, k, True)
-        reverse = windows(3 - codes, k, False)
-        least = np.minimum(forward, reverse)
-        yield starts + lo, least[starts].astype(np.int64)
+        if len(starts):
+            least = np.minimum(windows(digits, k, True), windows(3 - digits, k, False))
+            yield starts + number * _STEP, least[starts].astype(np.int64)

@@ -1,8 +1,8 @@
 """Exact k-mer counts and everything read off the count table.
 
-The count table has one row (kmer BIGINT, n BIGINT) per distinct k-mer. Counting
-is a plain grouped count: Spark combines within each task before the shuffle, so
-a k-mer that makes up a third of the input crosses the network once per task.
+The count table has one row (kmer BIGINT, n BIGINT) per distinct k-mer. Copies of
+a k-mer are combined within each task before they are shuffled, so a k-mer that
+makes up a third of the input crosses the network a few times per task.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixtally.functions import bases
-from helixtally.operators.windows import kmers
+from helixtally.operators import superkmers
+from helixtally.operators.windows import kmers, tallied_kmers
 
 # The count caps of a 10-bit and of a 22-bit counter, and the last histogram bin.
 CAP_10_BIT, CAP_22_BIT, TOP_BIN = 1023, 4194303, 255
+SMALL_K = 12  # at most about 8 million distinct canonical k-mers
 
 
 def count_codes(codes: DataFrame) -> DataFrame:
@@ -26,9 +28,30 @@ def count_codes(codes: DataFrame) -> DataFrame:
     return codes.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_kmers(reads: DataFrame, k: int = bases.DEFAULT_K, seq: str = "seq", u_as_t: bool = True) -> DataFrame:
-    """Count table of the canonical k-mers of ``reads``."""
-    return count_codes(kmers(reads, k, seq=seq, u_as_t=u_as_t))
+def count_kmers(
+    reads: DataFrame, k: int = bases.DEFAULT_K, seq: str = "seq", u_as_t: bool = True, shuffle: str | None = None
+) -> DataFrame:
+    """Count table of the canonical k-mers of ``reads``.
+
+    ``shuffle`` says what crosses the network: "kmers" (one row per k-mer, combined
+    by Spark's partial aggregation), "tallies" (k-mers combined by sorting in the
+    task first) or "superkmers" (packed stretches of bases; see ``superkmers``).
+    By default tallies for small k, where few distinct k-mers exist, else superkmers.
+    """
+    bases.check_k(k)
+    shuffle = shuffle or ("tallies" if k <= SMALL_K else "superkmers")
+    if shuffle == "kmers":
+        return count_codes(kmers(reads, k, seq=seq, u_as_t=u_as_t))
+    if shuffle == "tallies":
+        return count_tallies(tallied_kmers(reads, k, seq, u_as_t))
+    if shuffle == "superkmers":
+        return superkmers.count_super_kmers(superkmers.super_kmers(reads, k, seq=seq, u_as_t=u_as_t), k)
+    raise ValueError('shuffle must be "kmers", "tallies" or "superkmers"')
+
+
+def count_tallies(tallied: DataFrame) -> DataFrame:
+    """Count table from partial counts (kmer, part)."""
+    return tallied.groupBy("kmer").agg(F.sum("part").alias("n"))
 
 
 def unique_kmers(counts: DataFrame) -> DataFrame:
@@ -63,16 +86,10 @@ def threshold_report(counts: DataFrame, at_least: int, cap: int) -> DataFrame:
 def sort_counts(reads: DataFrame, k: int = bases.DEFAULT_K, seq: str = "seq") -> DataFrame:
     """The count table by sorting and run lengths instead of hashing.
 
-    Each task sorts its batches and emits one row per run of equal codes, which
-    shrinks a hot k-mer to one row per batch before anything moves. The runs are
-    then range-partitioned and sorted, and equal neighbours are merged.
+    Each task sorts its codes, some 8 million at a time, and emits one row per run
+    of equal ones, which shrinks a hot k-mer to a few rows before anything moves.
+    The runs are then shuffled by k-mer and sorted, and equal neighbours are merged.
     """
-    def batch_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pending in _grouped(batches, 1 << 21):
-            values = np.sort(np.concatenate([b.column(0).to_numpy() for b in pending]))
-            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            lengths = np.diff(np.append(first, len(values)))
-            yield pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(lengths)], names=["kmer", "n"])
 
     def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_n = None, 0
@@ -96,28 +113,13 @@ def sort_counts(reads: DataFrame, k: int = bases.DEFAULT_K, seq: str = "seq") ->
             )
 
     return (
-        kmers(reads, k, seq=seq)
-        .mapInArrow(batch_runs, "kmer bigint, n bigint")
+        tallied_kmers(reads, k, seq)
         .repartition("kmer")
         .sortWithinPartitions("kmer")
         .mapInArrow(merge_runs, "kmer bigint, n bigint")
     )
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
-    """Collect batches until they hold at least ``rows`` rows."""
-    pending, held = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            pending.append(batch)
-            held += batch.num_rows
-        if held >= rows:
-            yield pending
-            pending, held = [], 0
-    if pending:
-        yield pending
-
-
 def approx_unique(codes: DataFrame, rsd: float = 0.02) -> DataFrame:
     """HyperLogLog estimate of the distinct k-mers: one pass, no k-mer is shuffled."""
     return codes.agg(F.approx_count_distinct("kmer", rsd).alias("n_unique_est"))

@@ -2,10 +2,14 @@
 
 Neighbouring k-mers mostly share their minimizer, the m-mer of least hash inside
 them. A maximal stretch of windows with one minimizer is a super-k-mer: one
-short string that stands for many k-mers. Both strands of a k-mer have the same
+short row that stands for several k-mers. Both strands of a k-mer have the same
 minimizer, so partitioning super-k-mers by it brings all copies of a k-mer
 together while moving several times fewer rows and bytes than one row per k-mer.
 
+A row of the exchange holds all super-k-mers that one slice of the input has for
+one bucket, packed into a binary column: handing rows from the JVM to Python
+costs far more than the bytes in them.
+
 The exchange is a REBALANCE by minimizer bucket: adaptive execution splits a
 bucket that is too large (a repeat that fills a third of the input) and merges
 small ones. The grouped sum behind it makes the counts right however buckets
@@ -23,10 +27,24 @@ from pyspark.sql import functions as F
 
 from helixtally.functions import bases
 from helixtally.operators import codes
-from helixtally.operators.windows import characters
-
+from helixtally.operators.windows import characters, tallies
+
+SCHEMA = "bucket int, stretches binary"
+# A packed super-k-mer. head: code of its first k bases; rest: the next bases, left-aligned in
+# TAIL places of 2 bits, above 8 bits for the number of k-mers (so that number - 1 bases count).
+RECORD = np.dtype([("head", "<u8"), ("rest", "<u8")])
+TAIL = 20
+MAX_BUCKETS = 1 << 16
 _STEP = 1 << 17
-_SORT_ROWS = 1 << 22
+_PACK_ROWS = 1 << 20
+
+
+def minimizer_length(k: int, m: int | None = None) -> int:
+    """Default 11 bases, fewer for small k."""
+    m = max(1, min(11, k - 4)) if m is None else m
+    if not 1 <= m <= min(bases.check_k(k), 16):
+        raise ValueError(f"m must lie in [1, {min(k, 16)}]")
+    return m
 
 
 def _scatter(values: np.ndarray) -> np.ndarray:
@@ -45,81 +63,122 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def super_kmers(
-    reads: DataFrame, k: int, m: int | None = None, buckets: int = 1 << 16, seq: str = "seq", u_as_t: bool = True
-) -> DataFrame:
-    """(bucket INT, bases STRING): every window of k valid bases lies in exactly one row."""
-    bases.check_k(k)
-    m = m or max(1, min(11, k - 4))
-    if not 1 <= m <= min(k, 16):
-        raise ValueError(f"m must lie in [1, {min(k, 16)}]")
-    table = codes.base_table(u_as_t)
+def cut(
+    data: np.ndarray, ends: np.ndarray | None, k: int, m: int, table: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(minimizer hash, record) of the super-k-mers of reads that lie back to back.
+
+    Arguments as for ``canonical_slices``.
+    """
+    for digits, keep in codes.slices(data, ends, k, table, _STEP):
+        if not keep.any():
+            continue
+        least = np.minimum(codes.windows(digits, m, True), codes.windows(3 - digits, m, False))
+        order = _sliding_least(_scatter(least), k - m + 1)
+        # a stretch starts at a kept window whose predecessor is not kept or has another minimizer
+        first = keep.copy()
+        first[1:] &= ~keep[:-1] | (order[1:] != order[:-1])
+        starts = np.flatnonzero(first)
+        lengths = np.add.reduceat(keep, starts, dtype=np.int64)
+        # a repeat may hold one minimizer for long: cut it to the room of the tail
+        pieces = -(-lengths // (TAIL + 1))
+        part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = np.repeat(starts, pieces) + part * (TAIL + 1)
+        lengths = np.minimum(np.repeat(lengths, pieces) - part * (TAIL + 1), TAIL + 1)
+        padded = np.concatenate([digits, np.zeros(k + TAIL, np.uint8)])
+        records = np.empty(len(starts), RECORD)
+        records["head"] = codes.windows(digits, k, True)[starts]
+        tail = codes.windows(padded, TAIL, True)[starts + k]
+        records["rest"] = (tail << np.uint64(8)) | lengths.astype(np.uint64)
+        yield order[starts], records
+
+
+def pack(cuts: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row (bucket, records) per bucket that occurs in about 2^20 super-k-mers."""
+    held, rows = [], 0
+    for order, records in cuts:
+        held.append(((order % np.uint32(buckets)).astype(np.uint16), records))
+        rows += len(records)
+        if rows >= _PACK_ROWS:
+            yield _packed(held)
+            held, rows = [], 0
+    if held:
+        yield _packed(held)
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    bucket = np.concatenate([b for b, _ in held])
+    records = np.concatenate([r for _, r in held])
+    order = np.argsort(bucket, kind="stable")
+    bucket, records = bucket[order], records[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    offsets = (np.append(first, len(bucket)) * RECORD.itemsize).astype(np.int32)
+    blobs = pa.BinaryArray.from_buffers(
+        pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(records.view(np.uint8))]
+    )
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), blobs], ["bucket", "stretches"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = characters(batch.column(0))
-            for lo in range(0, len(data) - k + 1, _STEP):
-                part = data[lo : lo + _STEP + k - 1]
-                inside = ends[np.searchsorted(ends, lo, "right") : np.searchsorted(ends, lo + len(part), "left")] - lo
-                rows = _cut_slice(part, inside, k, m, table)
-                if rows is not None:
-                    order, text = rows
-                    yield pa.RecordBatch.from_arrays([pa.array(order % buckets, pa.int32()), text], ["bucket", "bases"])
-
-    return reads.select(seq).mapInArrow(cut, "bucket int, bases string")
-
-
-def _cut_slice(part, inside, k, m, table):
-    """Minimizer hash and text of each super-k-mer of one slice."""
-    digits = table[part]
-    n = len(part) - k + 1
-    blocked = np.zeros(len(part) + 1, np.int32)
-    np.cumsum(digits == codes.INVALID, out=blocked[1:])
-    keep = blocked[k:] == blocked[:n]
-    crossing = (inside[:, None] - np.arange(1, k)).ravel()
-    keep[crossing[(crossing >= 0) & (crossing < n)]] = False
-    if not keep.any():
-        return None
-    digits &= 3
-    least = np.minimum(codes.windows(digits, m, True), codes.windows(3 - digits, m, False))
-    order = _sliding_least(_scatter(least), k - m + 1)
-    # a stretch starts at a kept window whose predecessor is not kept or has another minimizer
-    starts = keep.copy()
-    starts[1:] &= ~keep[:-1] | (order[1:] != order[:-1])
-    starts = np.flatnonzero(starts)
-    lengths = np.add.reduceat(keep, starts, dtype=np.int64) + (k - 1)
-    offsets = np.zeros(len(starts) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    index = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
-    text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(part[index]))
-    return order[starts].astype(np.int64), text
-
-
-def count_super_kmers(stretches: DataFrame, k: int, u_as_t: bool = True) -> DataFrame:
-    """Count table of super-k-mers; copies meet in one task and are combined by sorting there."""
+
+def bucket_count(partitions: int) -> int:
+    """Several buckets per shuffle partition, so that partitions come out even."""
+    return min(MAX_BUCKETS, 16 * partitions)
+
+
+def super_kmers(reads: DataFrame, k: int, m: int | None = None, seq: str = "seq", u_as_t: bool = True) -> DataFrame:
+    """(bucket, stretches): every window of k valid bases lies in exactly one packed record."""
+    m = minimizer_length(k, m)
     table = codes.base_table(u_as_t)
+    buckets = bucket_count(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reads_of = (characters(batch.column(0)) for batch in batches)
+        yield from pack((c for data, ends in reads_of for c in cut(data, ends, k, m, table)), buckets)
+
+    return reads.select(seq).mapInArrow(extract, SCHEMA)
+
+
+def expand(records: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Canonical codes of all windows, one array per window number."""
+    counts = (records["rest"] & np.uint64(255)).astype(np.uint8)
+    records = records[np.argsort(TAIL + 1 - counts, kind="stable")]
+    active = len(counts) - np.cumsum(np.bincount(counts, minlength=TAIL + 2))  # records with more than i windows
+    mask, top = np.uint64(bases.kmer_mask(k)), np.uint64(2 * (k - 1))
+    two, three = np.uint64(2), np.uint64(3)
+    forward, tail = records["head"].copy(), records["rest"] >> np.uint64(8)
+    reverse = _reverse_complement(forward, k)
+    yield np.minimum(forward, reverse)
+    for i in range(1, TAIL + 1):
+        n = active[i]
+        if not n:
+            return
+        base = (tail[:n] >> np.uint64(2 * (TAIL - i))) & three
+        forward = ((forward[:n] << two) | base) & mask
+        reverse = (reverse[:n] >> two) | ((three - base) << top)
+        yield np.minimum(forward, reverse)
+
+
+def _codes_of(stretches: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Canonical codes of a column of packed records."""
+    records = characters(stretches)[0].view(RECORD)
+    for lo in range(0, len(records), _STEP):
+        yield from expand(records[lo : lo + _STEP], k)
+
+
+def _reverse_complement(code: np.ndarray, k: int) -> np.ndarray:
+    """Reverse the order of the 2-bit digits of the complement, by swapping ever larger blocks."""
+    code = ~code
+    for bits, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        shift, mask = np.uint64(bits), np.uint64(mask)
+        code = ((code >> shift) & mask) | ((code & mask) << shift)
+    return code.byteswap() >> np.uint64(64 - 2 * k)
+
+
+def count_super_kmers(stretches: DataFrame, k: int) -> DataFrame:
+    """Count table of super-k-mers; copies meet in one task and are combined by sorting there."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            data, ends = characters(batch.column(0))
-            for _, values in codes.canonical_slices(data, ends, k, table):
-                held.append(values)
-                rows += len(values)
-                if rows >= _SORT_ROWS:
-                    yield _run_lengths(held)
-                    held, rows = [], 0
-        if held:
-            yield _run_lengths(held)
-
-    tallied = (
-        stretches.hint("rebalance", F.col("bucket")).select("bases").mapInArrow(tally, "kmer bigint, part bigint")
-    )
-    return tallied.groupBy("kmer").agg(F.sum("part").alias("n"))
+        yield from tallies(values for batch in batches for values in _codes_of(batch.column(0), k))
 
-
-def _run_lengths(held: list[np.ndarray]) -> pa.RecordBatch:
-    values = np.sort(np.concatenate(held))
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    n = np.diff(np.append(first, len(values)))
-    return pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(n)], names=["kmer", "part"])
+    moved = stretches.hint("rebalance", F.col("bucket")).drop("bucket")
+    tallied = moved.mapInArrow(tally, "kmer bigint, part bigint")
+    return tallied.groupBy("kmer").agg(F.sum("part").alias("n"))

@@ -15,6 +15,10 @@ from helixtally.functions import bases
 from helixtally.operators import codes
 
 
+TALLY_SCHEMA = "kmer bigint, part bigint"
+_SORT_ROWS = 1 << 23
+
+
 def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Character buffer and read ends of an Arrow string column; null counts as empty."""
     if column.null_count:
@@ -53,6 +57,40 @@ def kmers(
     return reads.select(*keep, seq).mapInArrow(extract, schema)
 
 
+def tallies(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Combine codes within a task: (kmer, part) per run of equal codes in about 2^23 sorted ones."""
+    held, rows = [], 0
+    for values in parts:
+        held.append(values)
+        rows += len(values)
+        if rows >= _SORT_ROWS:
+            yield run_lengths(np.concatenate(held))
+            held, rows = [], 0
+    if rows:
+        yield run_lengths(np.concatenate(held))
+
+
+def run_lengths(values: np.ndarray) -> pa.RecordBatch:
+    """(kmer, part) of the codes, which are sorted in place."""
+    values.sort()
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    part = np.diff(np.append(first, len(values)))
+    return pa.RecordBatch.from_arrays([pa.array(values[first].view(np.int64)), pa.array(part)], ["kmer", "part"])
+
+
+def tallied_kmers(reads: DataFrame, k: int, seq: str = "seq", u_as_t: bool = True) -> DataFrame:
+    """(kmer BIGINT, part BIGINT): k-mers with the counts of one stretch of input, combined in the task."""
+    table = codes.base_table(u_as_t)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reads_of = (characters(batch.column(0)) for batch in batches)
+        yield from tallies(
+            values for data, ends in reads_of for _, values in codes.canonical_slices(data, ends, bases.check_k(k), table)
+        )
+
+    return reads.select(seq).mapInArrow(extract, TALLY_SCHEMA)
+
+
 def runs(reads: DataFrame, k: int = 1, keep: tuple[str, ...] = (), seq: str = "seq", u_as_t: bool = True) -> DataFrame:
     """Maximal stretches of valid bases of at least k, as (..keep.., run STRING)."""
     bases.check_k(k)

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from helixtally.functions import bases
 from helixtally.functions.sql import call, register
-from helixtally.operators import counting, routing, spectrum, superkmers, windows
+from helixtally.operators import counting, routing, spectrum, windows
 from helixtally.session import shared_folder, spread
 from helixtally.sources.fasta import read_fasta
-from helixtally.sources.fastq import fastq_kmers, fastq_lines
+from helixtally.sources.fastq import count_fastq, fastq_kmers, fastq_lines
 from helixtally.sources.text_reads import text_reads
 from helixtally.streaming import incremental
 
@@ -242,7 +242,13 @@ def sort_runlength_counts(spark, folder):
 @query
 def superkmer_counts(spark, folder):
     """The count table with super-k-mers as the unit of the shuffle."""
-    return spelled(superkmers.count_super_kmers(superkmers.super_kmers(reads(spark, folder), K), K))
+    return spelled(counting.count_kmers(reads(spark, folder), K, shuffle="superkmers"))
+
+
+@query
+def grouped_counts(spark, folder):
+    """The count table with single k-mers as the unit of the shuffle."""
+    return spelled(counting.count_kmers(reads(spark, folder), K, shuffle="kmers"))
 
 
 @query
@@ -376,6 +382,14 @@ def fastq_roundtrip(spark, folder):
     """Counts after writing the reads as FASTQ and scanning those files."""
     target = shared_folder(spark, "fastq")
     write_fastq(reads(spark, folder), target)
+    return spelled(count_fastq(spark, target, K))
+
+
+@query
+def fastq_kmer_scan(spark, folder):
+    """The same with the scan emitting single k-mers."""
+    target = shared_folder(spark, "fastq")
+    write_fastq(reads(spark, folder), target)
     return spelled(counting.count_codes(fastq_kmers(spark, target, K)))
 
 

@@ -152,6 +152,8 @@ SELECT CAST(least(n, 4194303)::HUGEINT * {1 << 42} + h AS BIGINT) AS slot, least
     "kmer_counts_builtin": _TABLE,
     "sort_runlength_counts": _TABLE,
     "superkmer_counts": _TABLE,
+    "grouped_counts": _TABLE,
+    "fastq_kmer_scan": _TABLE,
     "histogram_dense": f"""WITH {_counts()},
 h AS (SELECT least(n, 255) AS bin, count(*) AS freq FROM cnt GROUP BY 1)
 SELECT CAST(b.bin AS INTEGER) AS bin, CAST(coalesce(h.freq, 0) AS BIGINT) AS freq
