@@ -118,6 +118,14 @@ def _writer(out: str, prepare=lambda df: df):
     return write
 
 
+def _written(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """Everything the epochs have written; empty before the first one."""
+    system, inner = br.open_fs(out)
+    if not system.get_file_info(br.pafs.FileSelector(inner, allow_not_found=True)):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out)
+
+
 def stream_counts(kmers: DataFrame, folder: str) -> DataFrame:
     """Run the stateful count over the stream; returns the count table (kmer, n).
 
@@ -125,7 +133,7 @@ def stream_counts(kmers: DataFrame, folder: str) -> DataFrame:
     so the largest one written is the current one.
     """
     _run(count_codes(kmers), _writer(f"{folder}/counts"), f"{folder}/checkpoint", "update")
-    written = kmers.sparkSession.read.schema("kmer bigint, n bigint").parquet(f"{folder}/counts")
+    written = _written(kmers.sparkSession, f"{folder}/counts", "kmer bigint, n bigint")
     return written.groupBy("kmer").agg(F.max("n").alias("n"))
 
 
@@ -141,7 +149,7 @@ def stream_new_unique(kmers: DataFrame, folder: str) -> DataFrame:
         return df.groupBy("batch").agg(F.count(F.lit(1)).alias("new_unique"))
 
     _run(kmers.dropDuplicates(["kmer"]), _writer(f"{folder}/new", per_batch), f"{folder}/checkpoint", "append")
-    written = kmers.sparkSession.read.schema("batch int, new_unique bigint").parquet(f"{folder}/new")
+    written = _written(kmers.sparkSession, f"{folder}/new", "batch int, new_unique bigint")
     return written.groupBy("batch").agg(F.sum("new_unique").alias("new_unique"))
 
 
@@ -152,7 +160,7 @@ def stream_deltas(kmers: DataFrame, folder: str) -> DataFrame:
         return df.groupBy("batch", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
     _run(kmers, _writer(f"{folder}/deltas", per_batch), f"{folder}/checkpoint", "append")
-    return kmers.sparkSession.read.schema("batch int, kmer bigint, n bigint").parquet(f"{folder}/deltas").drop("epoch")
+    return _written(kmers.sparkSession, f"{folder}/deltas", "batch int, kmer bigint, n bigint").drop("epoch")
 
 
 def merge_deltas(deltas: DataFrame) -> DataFrame:
