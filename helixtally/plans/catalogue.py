@@ -18,6 +18,7 @@ from helixtally.operators import counting, routing, spectrum, windows
 from helixtally.session import shared_folder, spread
 from helixtally.sources.fasta import read_fasta
 from helixtally.sources.fastq import count_fastq, fastq_kmers, fastq_lines
+from helixtally.sources.ranges import DEFAULT_SPLIT, list_files
 from helixtally.sources.text_reads import text_reads
 from helixtally.streaming import incremental
 
@@ -416,8 +417,9 @@ def stream_counts(spark, folder):
     """Counts from a stream that takes the reads in at least five micro-batches."""
     work = shared_folder(spark, "stream")
     write_fastq(reads(spark, folder), f"{work}/reads")
-    size = sum(n for _, n in incremental.br.list_files([f"{work}/reads"]))
-    incremental.plan_batches(f"{work}/plan", f"{work}/reads", batch_bytes=max(1, size // 5))
+    size = sum(n for _, n in list_files([f"{work}/reads"]))
+    batch = max(1, size // 5)
+    incremental.plan_batches(f"{work}/plan", f"{work}/reads", batch, split_bytes=min(DEFAULT_SPLIT, -(-batch // 8)))
     stream = incremental.stream_kmers(spark, f"{work}/plan", K)
     return spelled(incremental.stream_counts(stream, work))
 

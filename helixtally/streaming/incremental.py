@@ -30,8 +30,12 @@ from helixtally.sources import ranges as br
 from helixtally.sources.fastq import RANGE_SCHEMA, as_ranges, range_kmers
 
 BATCH_SCHEMA = f"batch int, {RANGE_SCHEMA}"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 
 def plan_batches(
@@ -86,19 +90,21 @@ def stream_kmers(
 
 
 @contextmanager
-def _rocksdb(spark: SparkSession):
-    """Start a query with the on-disk state store."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+def _state_store(spark: SparkSession):
+    """Start a query with the on-disk state store: deltas instead of snapshots, no row counting."""
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _run(stream: DataFrame, write, checkpoint: str, mode: str) -> None:
     """Work off everything planned so far; a later call with the same checkpoint goes on from there."""
-    with _rocksdb(stream.sparkSession):
+    with _state_store(stream.sparkSession):
         query = (
             stream.writeStream.outputMode(mode)
             .option("checkpointLocation", checkpoint)
