@@ -13,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Multipliers of the two public 64-bit finalizers, as signed BIGINT literals.
-MURMUR_A, MURMUR_B = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
-SPLITMIX_A, SPLITMIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+# Multipliers and shifts of the two public 64-bit finalizers, shifts of the
+# invertible hash and of the XOR-shift hash in order of use, and the width of a slot's key.
+MURMUR_A, MURMUR_B, MURMUR_SHIFTS = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, (33, 33, 33)
+SPLITMIX_A, SPLITMIX_B, SPLITMIX_SHIFTS = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (30, 27, 31)
+HASH64_SHIFTS = (21, 24, (3, 8), 14, (2, 4), 28, 31)
+HASH_FE_SHIFTS = (33, 21)
+KEY_BITS = 42
 
 _LOW32 = 0xFFFFFFFF
 _LOW16 = 0xFFFF
@@ -26,6 +30,28 @@ def _wide(constant: int) -> str:
     return f"{constant >> 32}L, {constant & _LOW32}L"
 
 
+def _finalizer(factors: tuple[int, int], shifts: tuple[int, int, int]) -> str:
+    """Fold, multiply, fold, multiply, fold."""
+    text = "x"
+    for factor, shift in zip((*factors, None), shifts):
+        text = f"kmer_fold({text}, {shift})"
+        text = text if factor is None else f"kmer_mul64({text}, {_wide(factor)})"
+    return text
+
+
+def _hash64() -> str:
+    """The invertible hash: a fold after every sum but the last."""
+    first, *rest = HASH64_SHIFTS
+    text = f"kmer_not_plus_shifted(y, {first}, m)"
+    for fold, shift in zip(rest[0::2], rest[1::2]):
+        text = f"kmer_fold({text}, {fold})"
+        if isinstance(shift, tuple):
+            text = f"kmer_add_two_shifted({text}, {shift[0]}, {shift[1]}, m)"
+        else:
+            text = f"kmer_add_shifted({text}, {shift}, m)"
+    return text
+
+
 # name -> (parameters, result type, body); later entries may call earlier ones.
 FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "kmer_mask": ("k INT", "BIGINT", "shiftleft(1L, 2 * k) - 1L"),
@@ -46,15 +72,14 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
         "(((x + (shiftleft(x, a) & m)) & m) + (shiftleft(x, b) & m)) & m",
     ),
     "kmer_not_plus_shifted": ("x BIGINT, n INT, m BIGINT", "BIGINT", "((m - x) + (shiftleft(x, n) & m)) & m"),
-    "kmer_hash64_masked": (
-        "y BIGINT, m BIGINT",
-        "BIGINT",
-        "kmer_add_shifted(kmer_fold(kmer_add_two_shifted(kmer_fold(kmer_add_two_shifted("
-        "kmer_fold(kmer_not_plus_shifted(y, 21, m), 24), 3, 8, m), 14), 2, 4, m), 28), 31, m)",
-    ),
+    "kmer_hash64_masked": ("y BIGINT, m BIGINT", "BIGINT", _hash64()),
     "kmer_hash64": ("y BIGINT, k INT", "BIGINT", "kmer_hash64_masked(y, kmer_mask(k))"),
     "kmer_xor_left": ("x BIGINT, n INT, m BIGINT", "BIGINT", "(x ^ shiftleft(x, n)) & m"),
-    "kmer_hash_fe": ("y BIGINT, k INT", "BIGINT", "kmer_xor_left(kmer_fold(y, 33), 21, kmer_mask(k))"),
+    "kmer_hash_fe": (
+        "y BIGINT, k INT",
+        "BIGINT",
+        f"kmer_xor_left(kmer_fold(y, {HASH_FE_SHIFTS[0]}), {HASH_FE_SHIFTS[1]}, kmer_mask(k))",
+    ),
     # 64-bit wrapping product, from 32-bit halves; every intermediate stays below 2^50
     "kmer_sum_halves": (
         "p BIGINT, q BIGINT, s BIGINT",
@@ -89,22 +114,12 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
         f"kmer_mul64_halves(shiftrightunsigned(x, 32), x & {_LOW32}L, ch, cl)",
     ),
     # the two finalizers; the full 64-bit pattern comes back as a signed BIGINT
-    "kmer_murmur64": (
-        "x BIGINT",
-        "BIGINT",
-        f"kmer_fold(kmer_mul64(kmer_fold(kmer_mul64(kmer_fold(x, 33), {_wide(MURMUR_A)}), 33),"
-        f" {_wide(MURMUR_B)}), 33)",
-    ),
-    "kmer_mix64": (
-        "x BIGINT",
-        "BIGINT",
-        f"kmer_fold(kmer_mul64(kmer_fold(kmer_mul64(kmer_fold(x, 30), {_wide(SPLITMIX_A)}), 27),"
-        f" {_wide(SPLITMIX_B)}), 31)",
-    ),
-    # count slot: the count above a 42-bit key, and back
-    "kmer_slot_pack": ("n BIGINT, key BIGINT", "BIGINT", "shiftleft(n, 42) | key"),
-    "kmer_slot_count": ("slot BIGINT", "BIGINT", "shiftrightunsigned(slot, 42)"),
-    "kmer_slot_key": ("slot BIGINT", "BIGINT", "slot & 4398046511103L"),
+    "kmer_murmur64": ("x BIGINT", "BIGINT", _finalizer((MURMUR_A, MURMUR_B), MURMUR_SHIFTS)),
+    "kmer_mix64": ("x BIGINT", "BIGINT", _finalizer((SPLITMIX_A, SPLITMIX_B), SPLITMIX_SHIFTS)),
+    # count slot: the count above the key, and back
+    "kmer_slot_pack": ("n BIGINT, key BIGINT", "BIGINT", f"shiftleft(n, {KEY_BITS}) | key"),
+    "kmer_slot_count": ("slot BIGINT", "BIGINT", f"shiftrightunsigned(slot, {KEY_BITS})"),
+    "kmer_slot_key": ("slot BIGINT", "BIGINT", f"slot & {(1 << KEY_BITS) - 1}L"),
 }
 
 # All windows of k valid bases of one read, as an array.

@@ -296,8 +296,11 @@ def min_count_table(spark, folder):
 @query
 def median_summary(spark, folder):
     """Exact medians of run length and of k-mer count."""
+    missing = F.lit(None).cast("double")
     runs = spectrum.exact_median(windows.runs(reads(spark, folder)), F.length("run"), "median_run_len")
-    return runs.crossJoin(spectrum.exact_median(counts(spark, folder), F.col("n"), "median_n"))  # one row each
+    table = spectrum.exact_median(counts(spark, folder), F.col("n"), "median_n")
+    both = runs.withColumn("median_n", missing).unionByName(table.withColumn("median_run_len", missing))
+    return both.agg(F.max("median_run_len").alias("median_run_len"), F.max("median_n").alias("median_n"))
 
 
 @query

@@ -102,8 +102,11 @@ def _state_store(spark: SparkSession):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def _run(stream: DataFrame, write, checkpoint: str, mode: str) -> None:
-    """Work off everything planned so far; a later call with the same checkpoint goes on from there."""
+def _run(stream: DataFrame, write, checkpoint: str, mode: str, progress: list | None) -> None:
+    """Work off everything planned so far; a later call with the same checkpoint goes on from there.
+
+    ``progress`` receives Spark's report of each micro-batch: rows, durations, state size.
+    """
     with _state_store(stream.sparkSession):
         query = (
             stream.writeStream.outputMode(mode)
@@ -113,6 +116,8 @@ def _run(stream: DataFrame, write, checkpoint: str, mode: str) -> None:
             .start()
         )
     query.awaitTermination()
+    if progress is not None:
+        progress.extend(query.recentProgress)
 
 
 def _writer(out: str, prepare=lambda df: df):
@@ -132,18 +137,18 @@ def _written(spark: SparkSession, out: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
-def stream_counts(kmers: DataFrame, folder: str) -> DataFrame:
+def stream_counts(kmers: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
     """Run the stateful count over the stream; returns the count table (kmer, n).
 
     Each epoch holds the new counts of the k-mers it touched. Counts only grow,
     so the largest one written is the current one.
     """
-    _run(count_codes(kmers), _writer(f"{folder}/counts"), f"{folder}/checkpoint", "update")
+    _run(count_codes(kmers), _writer(f"{folder}/counts"), f"{folder}/checkpoint", "update", progress)
     written = _written(kmers.sparkSession, f"{folder}/counts", "kmer bigint, n bigint")
     return written.groupBy("kmer").agg(F.max("n").alias("n"))
 
 
-def stream_new_unique(kmers: DataFrame, folder: str) -> DataFrame:
+def stream_new_unique(kmers: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
     """Run stateful de-duplication; returns (batch, new_unique): k-mers first seen in each batch.
 
     The stream must take one batch per trigger. First means first to arrive, so
@@ -154,18 +159,18 @@ def stream_new_unique(kmers: DataFrame, folder: str) -> DataFrame:
     def per_batch(df: DataFrame) -> DataFrame:
         return df.groupBy("batch").agg(F.count(F.lit(1)).alias("new_unique"))
 
-    _run(kmers.dropDuplicates(["kmer"]), _writer(f"{folder}/new", per_batch), f"{folder}/checkpoint", "append")
+    _run(kmers.dropDuplicates(["kmer"]), _writer(f"{folder}/new", per_batch), f"{folder}/checkpoint", "append", progress)
     written = _written(kmers.sparkSession, f"{folder}/new", "batch int, new_unique bigint")
     return written.groupBy("batch").agg(F.sum("new_unique").alias("new_unique"))
 
 
-def stream_deltas(kmers: DataFrame, folder: str) -> DataFrame:
+def stream_deltas(kmers: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
     """Count every batch on its own, without a state store; returns (batch, kmer, n)."""
 
     def per_batch(df: DataFrame) -> DataFrame:
         return df.groupBy("batch", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
-    _run(kmers, _writer(f"{folder}/deltas", per_batch), f"{folder}/checkpoint", "append")
+    _run(kmers, _writer(f"{folder}/deltas", per_batch), f"{folder}/checkpoint", "append", progress)
     return _written(kmers.sparkSession, f"{folder}/deltas", "batch int, kmer bigint, n bigint").drop("epoch")
 
 

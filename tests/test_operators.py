@@ -216,6 +216,15 @@ def test_hashes_are_bijections(spark):
         assert hashed.agg(F.count_distinct("h"), F.count_distinct("g"), F.max("h")).first() == (4**k, 4**k, 4**k - 1)
 
 
+def test_decode_every_k(spark):
+    rng = random.Random(3)
+    for k in range(1, 32):
+        codes_ = [0, 4**k - 1] + [rng.randrange(4**k) for _ in range(20)]
+        df = spark.createDataFrame([(c,) for c in codes_], "y bigint")
+        for r in df.select("y", bases.decode(F.col("y"), k).alias("w")).collect():
+            assert len(r.w) == k and text_codes(r.w) == r.y
+
+
 def test_sql_surface(spark):
     register(spark)
     row = spark.sql(

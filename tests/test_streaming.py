@@ -25,8 +25,10 @@ def test_stream_counts_any_batch_size(spark, tmp_path):
         folder = str(tmp_path / f"work{size}")
         batches = incremental.plan_batches(f"{folder}/plan", path, batch_bytes=size)
         assert (batches > 1) == (size == 1500)
-        counts = incremental.stream_counts(incremental.stream_kmers(spark, f"{folder}/plan", 4), folder)
+        reports = []
+        counts = incremental.stream_counts(incremental.stream_kmers(spark, f"{folder}/plan", 4), folder, reports)
         assert collected(counts, 4) == want
+        assert len([r for r in reports if r["numInputRows"]]) == batches
 
 
 def test_arrivals_restart_and_new_unique(spark, tmp_path):
