@@ -97,6 +97,27 @@ def test_record_split_at_every_byte(tmp_path):
         assert got == [s for _, s, _ in records]
 
 
+@pytest.mark.parametrize("blank", ["\n", "\n\n\n"])
+def test_blank_lines_at_the_end(tmp_path, blank):
+    records = random_records(8, 12)
+    text = "".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in records) + blank
+    path = tmp_path / "x.fastq"
+    path.write_text(text)
+    size = len(text)
+    for cuts in [()] + [(c,) for c in range(1, size)]:
+        edges, got = [0, *cuts, size], []
+        for lo, hi in zip(edges, edges[1:]):
+            for data, starts, ends in ranges.quads(ranges.ByteRange(str(path), lo, hi, size)):
+                got += [data[a:b].tobytes().decode() for a, b in zip(starts[1::4], ends[1::4])]
+        assert got == [s for _, s, _ in records], cuts
+
+
+def test_range_list_stays_small():
+    planned = ranges.plan_ranges([("x", 100 << 40), ("y", 7)])
+    assert len(planned) <= ranges.MAX_RANGES + 2
+    assert sum(r.hi - r.lo for r in planned) == (100 << 40) + 7
+
+
 def test_small_blocks(tmp_path, monkeypatch):
     records = random_records(6)
     path = tmp_path / "x.fastq"
