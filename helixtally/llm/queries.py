@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixtally.llm import quality
+from helixtally.llm import quality, simhash
 from helixtally.llm.common import table
 
-WORD = "'[^\\x20\\x09-\\x0D]+'"
+
+def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.groups(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_bits(F.col("bits")).alias("fingerprint"), "component_id")
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +23,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
 }
 
