@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.llm import quality, simhash
+from helixtally.llm import bpe, quality, simhash
 from helixtally.llm.common import table
 
 
@@ -22,9 +23,15 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure(docs).select(*names)
 
 
+def op9_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_byte_level_bpe": op9_byte_level_bpe,
 }
 
 ORACLE: dict[str, str] = {}
