@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.llm import blocks, bpe, quality, simhash
+from helixtally.llm import blocks, bpe, quality, simhash, suffixes
 from helixtally.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_bits(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.removed_bytes(table(spark, folder, "documents"), keep_text=False)
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.removed_words(table(spark, folder, "documents"), keep_text=False).drop("spans")
 
@@ -34,6 +38,7 @@ def op9_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_byte_level_bpe": op9_byte_level_bpe,

@@ -20,8 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
-#: A document of more bytes than a slice makes a slice of its own, whole.
+SLICE_BYTES = 8 << 20  # a longer document ends its slice, whole
 
 
 @dataclass
@@ -55,7 +54,7 @@ class Slice:
         return Slice(ids, valid, [raw[a:z] for a, z in zip(starts, stops.tolist(), strict=False)] if n else [])
 
 
-def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Slice]]:
+def _cut(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, Slice]]:
     place, ids, valid, texts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
     for part in parts:
         for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -63,7 +62,7 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Slice]]:
             valid.append(doc_id is not None)
             texts.append(text or b"")
             size += len(texts[-1]) + 32
-            if size >= SLICE_BYTES:
+            if size >= most:
                 made = Slice(np.array(ids, np.int64), np.array(valid, np.bool_), texts)
                 yield made.key(place), made
                 place, ids, valid, texts, size = place + 1, [], [], [], 0
@@ -72,11 +71,11 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Slice]]:
         yield made.key(place), made
 
 
-def cut(docs: DataFrame) -> DataFrame:
+def cut(docs: DataFrame, most: int = SLICE_BYTES) -> DataFrame:
     """(slice, body) from documents (doc_id, text); docs must be a table, so that a second read gives the same slices."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, made in _cut(parts):
+        for key, made in _cut(parts, most):
             yield pa.RecordBatch.from_pydict({"slice": pa.array([key], pa.int64()), "body": pa.array([made.packed()], pa.binary())})
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "slice bigint, body binary")
@@ -100,11 +99,11 @@ def _rows(key: int, sent: Sent, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["bucket", "slice", "body"])
 
 
-def first_names(docs: DataFrame, emit: Callable[[Slice], Sent], buckets: int) -> DataFrame:
+def first_names(docs: DataFrame, emit: Callable[[Slice], Sent], buckets: int, most: int = SLICE_BYTES) -> DataFrame:
     """(bucket, slice, body) of what slices send, straight from the documents."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, made in _cut(parts):
+        for key, made in _cut(parts, most):
             yield _rows(key, emit(made), buckets)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "bucket int, slice bigint, body binary")
