@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.llm import blocks, bpe, quality, simhash, suffixes
+from helixtally.llm import blocks, bpe, decontaminate, quality, simhash, suffixes
 from helixtally.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.removed_words(table(spark, folder, "documents"), keep_text=False).drop("spans")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_percent")
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op9_byte_level_bpe": op9_byte_level_bpe,
 }
