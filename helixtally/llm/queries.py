@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.llm import blocks, bpe, decontaminate, quality, simhash, suffixes
+from helixtally.llm import blocks, bpe, decontaminate, quality, secrets, simhash, suffixes
 from helixtally.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure(docs).select(*names)
 
 
+def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def op9_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op8_secret_scans": op8_secret_scans,
     "op9_byte_level_bpe": op9_byte_level_bpe,
 }
 
