@@ -81,7 +81,7 @@ def _candidates(words: str) -> str:
     before = f"concat(coalesce(get({words}, i - 2), ''), ' ', coalesce(get({words}, i - 1), ''))"
     mark = f"w RLIKE '[=:][^=:]' OR coalesce(get({words}, i - 1), '') RLIKE '[=:]$'"
     one = f"named_struct('place', i, 'value', {value}, 'name', {name}, 'before', {before}, 'mark', {mark})"
-    found = f"transform({words}, (w, i) -> CASE WHEN length(w) >= 12 AND w RLIKE '[0-9]' AND w RLIKE '{_VALUE}' THEN {one} END)"
+    found = f"transform({words}, (w, i) -> CASE WHEN length(w) >= 12 AND (w RLIKE '[0-9]' OR w RLIKE '{_any(PREFIXES)}') AND w RLIKE '{_VALUE}' THEN {one} END)"
     return f"filter({found}, c -> c.value <> '')"
 
 
@@ -100,6 +100,7 @@ def built_in_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     uuid = f"concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12))"
     kinds = (
         (f"concat('plain words of AKIA', {base32}, ' and more')", 1),
+        (f"concat('a key AKIA', translate({base32}, '234567', 'RSTUVW'), ', and more')", 1),
         (f"concat('then password=', substr({h}, 1, 12 + id % 20), ' follows')", 1),
         (f"concat('a token = \"', substr({h}, 1, 40), '\" here')", 1),
         (f"concat('api_key: ', {mixed}, ' set')", 1),
@@ -114,6 +115,7 @@ def built_in_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (f"concat('md5 ', substr({h}, 1, 32), ' of it')", 0),
         (f"concat('the release-beta-version-', substr({digits}, 1, 8), ' came')", 0),
         (f"concat('words ', translate(substr({h}, 1, 14), '0123456789abcdef', 'etaoinshrdlucmfw'), substr({digits}, 1, 4), ' then')", 0),
+        (f"concat('sum ', substr({digits}, 1, 20), ', all told')", 0),
         (f"concat('sha ', substr({h}, 1, 24 + id % 40), ' is right')", 0),
     )
     text = "CASE " + " ".join(f"WHEN id % {len(kinds)} = {i} THEN {t}" for i, (t, _) in enumerate(kinds)) + " END"
