@@ -116,7 +116,7 @@ def _suffixes(made: Slice) -> _Suffixes:
     turn = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (np.diff(sample[at]) != 0))))
     low, high = at[turn], at[np.concatenate((turn[1:], [len(at)])) - 1]
     pairs = np.zeros(len(low), _RANKS)
-    pairs["sample"] = names[sample[low]]
+    pairs["sample"] = names[sample[low]] * _MIX  # samples have small names; this spreads them over the buckets
     pairs["windows"] = (_full(names, low) * _ODD[0] + _full(names, high) * _ODD[1]) ^ (high - low).astype(np.uint64)
     return _Suffixes(names, low, high, pairs)
 
