@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.llm import blocks, bpe, decontaminate, quality, secrets, simhash, suffixes, toxicity
+from helixtally.llm import blocks, bpe, decontaminate, pages, quality, secrets, simhash, suffixes, toxicity
 from helixtally.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.removed_bytes(table(spark, folder, "documents"), keep_text=False)
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extracted(table(spark, folder, "pages"))
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.removed_words(table(spark, folder, "documents"), keep_text=False).drop("spans")
 
@@ -52,6 +56,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
