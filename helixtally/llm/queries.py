@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.llm import blocks, bpe, decontaminate, pages, quality, secrets, simhash, suffixes, toxicity
+from helixtally.llm import blocks, bpe, decontaminate, lm, pages, quality, secret_scan, simhash, suffixes, toxicity
 from helixtally.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.removed_words(table(spark, folder, "documents"), keep_text=False).drop("spans")
 
 
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(table(spark, folder, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -40,7 +44,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.scan(table(spark, folder, "documents"))
+    return secret_scan.scan(table(spark, folder, "documents"))
 
 
 def op9_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scans": op8_secret_scans,
