@@ -34,8 +34,9 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, df: DataFrame) -> None:
+def delete(df: DataFrame) -> None:
     """Deletes a table made by written(), once nothing reads it any more."""
+    spark = df.sparkSession
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixtally.llm.common import written
+from helixtally.llm.common import delete, written
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -41,4 +41,6 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("root"))
             ).distinct()
-        state, links = found, written(_small(_large(links).distinct()).distinct(), "stars")
+        before, state = links, found
+        links = written(_small(_large(before).distinct()).distinct(), "stars")
+        delete(before)
