@@ -1,4 +1,4 @@
-"""The registered queries of the text operators, and their SQL where SQL can say it."""
+"""The registered queries of the text operators."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from helixtally.llm import blocks, bpe, decontaminate, lm, pages, quality, secret_scan, simhash, suffixes, toxicity
 from helixtally.llm.common import table
+from helixtally.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,5 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLE: dict[str, str] = {}
