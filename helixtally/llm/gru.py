@@ -13,7 +13,7 @@ HIDDEN = 16
 CLASS_WORDS = 32  # frequent words per output class
 WINDOW, LANES = 32, 48  # truncated backpropagation: steps, and streams side by side
 RATE = 0.01
-_FLUSH = 1 << 14  # states whose outputs are computed at once
+_FLUSH = 1 << 13  # states whose outputs are computed at once
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -56,11 +56,12 @@ class Gru:
     def _outputs(self, h: np.ndarray, ids: np.ndarray, grads: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each id after each state; with grads, also the loss's slope at the states."""
         rows, kind = np.arange(len(ids)), self.class_of(ids)
-        p = h @ self.out.T + self.out_bias
-        p -= p.max(1, keepdims=True)
+        p = h @ self.out.T
+        p += self.out_bias
+        p -= p.max()  # one number for all rows: states lie within 1, so rows differ by little
         own = p[rows, kind]
         np.exp(p, out=p)
-        total = p.sum(1)
+        total = p @ np.ones(p.shape[1], p.dtype)
         logs = own - np.log(total)
         back = None
         if grads is not None:
@@ -73,12 +74,13 @@ class Gru:
         bounds = np.searchsorted(kind[order], np.arange(self.blocks + 1))
         for k in np.flatnonzero(np.diff(bounds)):
             at, block = order[bounds[k] : bounds[k + 1]], slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            q = h[at] @ self.word[block].T + self.word_bias[block]
-            q -= q.max(1, keepdims=True)
+            q = h[at] @ self.word[block].T
+            q += self.word_bias[block]
+            q -= q.max()
             inside, mine = np.arange(len(at)), ids[at] - k * CLASS_WORDS
             own = q[inside, mine]
             np.exp(q, out=q)
-            total = q.sum(1)
+            total = q @ np.ones(q.shape[1], q.dtype)
             logs[at] += own - np.log(total)
             if grads is not None:
                 q /= total[:, None]

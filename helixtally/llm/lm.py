@@ -30,7 +30,7 @@ FOLDS = 10  # a document is held out if crc32 of its id leaves no remainder
 SHARE, ROUNDS = 16, 2  # the network learns on one training document in SHARE, in so many rounds
 _LOW = np.uint64(ENDINGS - 1)
 _CACHED = 1_000_000
-_GROUPS = 64  # averages of weights that reach the driver
+_FAN, _LEVELS = 32, 4  # weights are averaged so many at a time, level by level
 
 
 class _Names(dict):
@@ -161,7 +161,7 @@ def _learn(docs: DataFrame, corpus: Corpus) -> np.ndarray:
                 model.train(corpus.ids(tokens), 0)
                 seen += len(tokens)
             if seen:
-                group = TaskContext.get().partitionId() % _GROUPS
+                group = TaskContext.get().partitionId() // _FAN
                 columns = [pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([model.values.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "seen", "weights"])
 
@@ -169,10 +169,13 @@ def _learn(docs: DataFrame, corpus: Corpus) -> np.ndarray:
             seen = rows.column("seen").to_numpy()
             total = sum(n * np.frombuffer(w.as_py(), np.float32).astype(np.float64) for n, w in zip(seen, rows.column("weights"), strict=True))
             body = (total / seen.sum()).astype(np.float32).tobytes()
-            return pa.table({"seen": pa.array([int(seen.sum())]), "weights": pa.array([body], pa.binary())})
+            part = rows.column("part")[0].as_py() // _FAN
+            return pa.table({"part": pa.array([part], pa.int32()), "seen": pa.array([int(seen.sum())]), "weights": pa.array([body], pa.binary())})
 
         learned = train.select("text").mapInArrow(batches, "part int, seen bigint, weights binary")
-        found = learned.groupBy("part").applyInArrow(mean, "seen bigint, weights binary").collect()
+        for _ in range(_LEVELS):
+            learned = learned.groupBy("part").applyInArrow(mean, "part int, seen bigint, weights binary")
+        found = learned.collect()  # one row for every million of tasks
         if found:
             total = sum(r.seen for r in found)
             values = sum(r.seen / total * np.frombuffer(r.weights, np.float32).astype(np.float64) for r in found).astype(np.float32)
