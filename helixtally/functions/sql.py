@@ -13,13 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Multipliers and shifts of the two public 64-bit finalizers, shifts of the
-# invertible hash and of the XOR-shift hash in order of use, and the width of a slot's key.
+# Multipliers and shifts of the two public 64-bit finalizers, and the shifts of the
+# XOR-shift hash in order of use.
 MURMUR_A, MURMUR_B, MURMUR_SHIFTS = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, (33, 33, 33)
 SPLITMIX_A, SPLITMIX_B, SPLITMIX_SHIFTS = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (30, 27, 31)
-HASH64_SHIFTS = (21, 24, (3, 8), 14, (2, 4), 28, 31)
 HASH_FE_SHIFTS = (33, 21)
-KEY_BITS = 42
 
 _LOW32 = 0xFFFFFFFF
 _LOW16 = 0xFFFF
@@ -39,29 +37,24 @@ def _finalizer(factors: tuple[int, int], shifts: tuple[int, int, int]) -> str:
     return text
 
 
-def _hash64() -> str:
-    """The invertible hash: a fold after every sum but the last."""
-    first, *rest = HASH64_SHIFTS
-    text = f"kmer_not_plus_shifted(y, {first}, m)"
-    for fold, shift in zip(rest[0::2], rest[1::2]):
-        text = f"kmer_fold({text}, {fold})"
-        if isinstance(shift, tuple):
-            text = f"kmer_add_two_shifted({text}, {shift[0]}, {shift[1]}, m)"
-        else:
-            text = f"kmer_add_shifted({text}, {shift}, m)"
-    return text
-
+_CHECKED_K = "CASE WHEN k IS NULL OR k BETWEEN 1 AND 31 THEN k ELSE raise_error('k must lie in 1 to 31') END"
 
 # name -> (parameters, result type, body); later entries may call earlier ones.
 FUNCTIONS: dict[str, tuple[str, str, str]] = {
-    "kmer_mask": ("k INT", "BIGINT", "shiftleft(1L, 2 * k) - 1L"),
+    "kmer_checked_k": ("k INT", "INT", _CHECKED_K),
+    "kmer_mask": ("k INT", "BIGINT", "shiftleft(1L, 2 * kmer_checked_k(k)) - 1L"),
     "kmer_revcomp": ("kmer STRING", "STRING", "reverse(translate(kmer, 'ACGT', 'TGCA'))"),
     "kmer_canonical": ("kmer STRING", "STRING", "least(kmer, kmer_revcomp(kmer))"),
-    "kmer_encode": ("kmer STRING", "BIGINT", "CAST(conv(translate(kmer, 'ACGT', '0123'), 4, 10) AS BIGINT)"),
+    "kmer_encode": (
+        "kmer STRING",
+        "BIGINT",
+        "CASE WHEN kmer RLIKE '^[ACGT]{1,31}$' THEN CAST(conv(translate(kmer, 'ACGT', '0123'), 4, 10) AS BIGINT)"
+        " WHEN kmer IS NOT NULL THEN raise_error('a k-mer has 1 to 31 of the letters ACGT') END",
+    ),
     "kmer_decode": (
         "y BIGINT, k INT",
         "STRING",
-        "translate(lpad(conv(CAST(y AS STRING), 10, 4), k, '0'), '0123', 'ACGT')",
+        "translate(lpad(conv(CAST(y AS STRING), 10, 4), kmer_checked_k(k), '0'), '0123', 'ACGT')",
     ),
     # x ^ (x >>> n) and x plus shifted copies of itself, modulo the mask m
     "kmer_fold": ("x BIGINT, n INT", "BIGINT", "x ^ shiftrightunsigned(x, n)"),
@@ -72,7 +65,12 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
         "(((x + (shiftleft(x, a) & m)) & m) + (shiftleft(x, b) & m)) & m",
     ),
     "kmer_not_plus_shifted": ("x BIGINT, n INT, m BIGINT", "BIGINT", "((m - x) + (shiftleft(x, n) & m)) & m"),
-    "kmer_hash64_masked": ("y BIGINT, m BIGINT", "BIGINT", _hash64()),
+    # the invertible hash, step by step; fixed values: its shifts
+    "kmer_hash64_a": ("y BIGINT, m BIGINT", "BIGINT", "kmer_fold(kmer_not_plus_shifted(y, 21, m), 24)"),
+    "kmer_hash64_b": ("y BIGINT, m BIGINT", "BIGINT", "kmer_fold(kmer_add_two_shifted(y, 3, 8, m), 14)"),
+    "kmer_hash64_c": ("y BIGINT, m BIGINT", "BIGINT", "kmer_fold(kmer_add_two_shifted(y, 2, 4, m), 28)"),
+    "kmer_hash64_d": ("y BIGINT, m BIGINT", "BIGINT", "kmer_add_shifted(y, 31, m)"),
+    "kmer_hash64_masked": ("y BIGINT, m BIGINT", "BIGINT", "kmer_hash64_d(kmer_hash64_c(kmer_hash64_b(kmer_hash64_a(y, m), m), m), m)"),
     "kmer_hash64": ("y BIGINT, k INT", "BIGINT", "kmer_hash64_masked(y, kmer_mask(k))"),
     "kmer_xor_left": ("x BIGINT, n INT, m BIGINT", "BIGINT", "(x ^ shiftleft(x, n)) & m"),
     "kmer_hash_fe": (
@@ -116,23 +114,27 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     # the two finalizers; the full 64-bit pattern comes back as a signed BIGINT
     "kmer_murmur64": ("x BIGINT", "BIGINT", _finalizer((MURMUR_A, MURMUR_B), MURMUR_SHIFTS)),
     "kmer_mix64": ("x BIGINT", "BIGINT", _finalizer((SPLITMIX_A, SPLITMIX_B), SPLITMIX_SHIFTS)),
-    # count slot: the count above the key, and back
-    "kmer_slot_pack": ("n BIGINT, key BIGINT", "BIGINT", f"shiftleft(n, {KEY_BITS}) | key"),
-    "kmer_slot_count": ("slot BIGINT", "BIGINT", f"shiftrightunsigned(slot, {KEY_BITS})"),
-    "kmer_slot_key": ("slot BIGINT", "BIGINT", f"slot & {(1 << KEY_BITS) - 1}L"),
 }
 
-# All windows of k valid bases of one read, as an array.
+_SLICE, _PART = 1 << 17, 1 << 9  # windows of a slice of a run, and of a part of a slice: substr walks from the start of its text
+# All windows of k valid bases of one read, as an array; for reads that fit in memory once per window.
 _WINDOWS = (
-    "flatten(transform(filter(split(translate(seq, 'acgtuU', 'ACGTTT'), '[^ACGT]+'), b -> length(b) >= k),"
+    f"flatten(transform(filter(split(translate(seq, 'acgtuU', 'ACGTTT'), '[^ACGT]+'), b -> length(b) >= {_CHECKED_K}),"
     " b -> transform(sequence(1, length(b) - k + 1), p -> named_struct('pos', p, 'kmer', substr(b, p, k)))))"
 )
 FUNCTIONS["kmer_windows"] = ("seq STRING, k INT", "ARRAY<STRUCT<pos: INT, kmer: STRING>>", _WINDOWS)
-# The same as a table function: SELECT ... FROM reads, LATERAL kmers(seq, 21).
+# The same as a table function, for reads of any length: SELECT ... FROM reads, LATERAL kmers(seq, 21).
+# Slices of a run are exploded first, then parts of a slice, then the windows of a part.
 TABLE_FUNCTION = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION kmers(seq STRING, k INT)
 RETURNS TABLE(pos INT, kmer STRING)
-RETURN SELECT inline({_WINDOWS})
+RETURN SELECT at + p AS pos, substr(part, p, k) AS kmer FROM (
+  SELECT at, part, explode(sequence(1, length(part) - k + 1)) AS p FROM (
+    SELECT far + near AS at, substr(slice, near + 1, {_PART} + k - 1) AS part FROM (
+      SELECT far, slice, explode(sequence(0, length(slice) - k, {_PART})) AS near FROM (
+        SELECT far, substr(b, far + 1, {_SLICE} + k - 1) AS slice FROM (
+          SELECT b, explode(sequence(0, length(b) - k, {_SLICE})) AS far FROM (
+            SELECT explode(filter(split(translate(seq, 'acgtuU', 'ACGTTT'), '[^ACGT]+'), b -> length(b) >= {_CHECKED_K})) AS b))))))
 """
 
 _registered: set[str] = set()

@@ -20,7 +20,6 @@ from helixtally.operators.windows import kmers, tallied_kmers
 
 # The count caps of a 10-bit and of a 22-bit counter, and the last histogram bin.
 CAP_10_BIT, CAP_22_BIT, TOP_BIN = 1023, 4194303, 255
-SMALL_K = 12  # at most about 8 million distinct canonical k-mers
 
 
 def count_codes(codes: DataFrame) -> DataFrame:
@@ -29,17 +28,15 @@ def count_codes(codes: DataFrame) -> DataFrame:
 
 
 def count_kmers(
-    reads: DataFrame, k: int = bases.DEFAULT_K, seq: str = "seq", u_as_t: bool = True, shuffle: str | None = None
+    reads: DataFrame, k: int = bases.DEFAULT_K, seq: str = "seq", u_as_t: bool = True, shuffle: str = "superkmers"
 ) -> DataFrame:
     """Count table of the canonical k-mers of ``reads``.
 
     ``shuffle`` says what crosses the network: "kmers" (one row per k-mer, combined
     by Spark's partial aggregation), "tallies" (k-mers combined by sorting in the
-    task first) or "superkmers" (packed stretches of bases; see ``superkmers``).
-    By default tallies for small k, where few distinct k-mers exist, else superkmers.
+    task first) or "superkmers" (packed stretches of bases; see ``superkmers``), the default.
     """
     bases.check_k(k)
-    shuffle = shuffle or ("tallies" if k <= SMALL_K else "superkmers")
     if shuffle == "kmers":
         return count_codes(kmers(reads, k, seq=seq, u_as_t=u_as_t))
     if shuffle == "tallies":
@@ -125,11 +122,10 @@ def approx_unique(codes: DataFrame, rsd: float = 0.02) -> DataFrame:
     return codes.agg(F.approx_count_distinct("kmer", rsd).alias("n_unique_est"))
 
 
-def mate_unique(codes: DataFrame, mate: str = "mate") -> DataFrame:
-    """Occurrences and distinct k-mers of mate 1, mate 2 and both together, in one shuffle."""
-    per_kmer = codes.groupBy("kmer").agg(
-        F.count_if(F.col(mate) == 1).alias("n1"), F.count_if(F.col(mate) == 2).alias("n2")
-    )
+def mate_unique(tallied: DataFrame, mate: str = "mate") -> DataFrame:
+    """Occurrences and distinct k-mers of mate 1, mate 2 and both together, from rows (mate, kmer, part), in one shuffle."""
+    of = lambda number: F.sum(F.when(F.col(mate) == number, F.col("part")).otherwise(0))
+    per_kmer = tallied.groupBy("kmer").agg(of(1).alias("n1"), of(2).alias("n2"))
     sides = [("mate1", F.col("n1")), ("mate2", F.col("n2")), ("both", F.col("n1") + F.col("n2"))]
     wide = per_kmer.agg(
         F.array(

@@ -16,7 +16,6 @@ from helixtally.functions.sql import call, register
 CARD_SHIFT, CARDS = 27, 3  # card = (h >> 27) mod 3
 UNIT_BITS, SEGMENT_BITS = 2, 8  # 4 units of 256 segments per card
 PORT_BITS, SUBBIN_SHIFT, SUBBIN_BITS = 3, 3, 6  # 8 ports, 64 sub-bins
-BIN_BITS, SLOT_BITS = 12, 12  # 4096 bins of 4096 slots per port
 ROUTER_SHIFT = 21  # port = (y ^ (y >> 21)) mod 8
 SUFFIX_BITS = 10
 
@@ -97,12 +96,6 @@ def segment_rollup(counts: DataFrame, k: int) -> DataFrame:
     )
 
 
-def segment_ends(counts: DataFrame, k: int) -> DataFrame:
-    """Cumulative end of each segment in its unit's array; the window sees 256 rows per unit."""
-    upto = Window.partitionBy("cu").orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return segments(counts, k).select("cu", "seg", F.sum("n_total").over(upto).alias("seg_end"))
-
-
 def subbins(counts: DataFrame, k: int) -> DataFrame:
     """Per port of the unhashed code and 64 sub-bins of the XOR-shift hash, with the fullest sub-bin."""
     routed = with_hash_fe(counts, k).select(
@@ -112,44 +105,6 @@ def subbins(counts: DataFrame, k: int) -> DataFrame:
     return sized.withColumn("max_n", F.max("n_total").over(Window.partitionBy()))  # at most 8 x 64 rows
 
 
-def bins(counts: DataFrame, k: int, rehash: bool = True) -> DataFrame:
-    """Occupied slots per port and bin.
-
-    ``rehash`` takes the bin from a 64-bit finalizer of the hash; without it the
-    bin is a plain bit field of the hash, which follows the input's structure.
-    """
-    hashed = with_hash_fe(counts, k)
-    if rehash:
-        hashed = hashed.withColumn("mixed", call("kmer_mix64", F.col("h")))
-        bin_ = low_bits(F.col("mixed"), BIN_BITS)
-    else:
-        bin_ = low_bits(F.col("h"), BIN_BITS, PORT_BITS)
-    return hashed.groupBy(low_bits(F.col("h"), PORT_BITS).alias("cu"), bin_.alias("bin")).agg(
-        F.count(F.lit(1)).alias("occupied")
-    )
-
-
-def bin_census(counts: DataFrame, k: int, rehash: bool = True, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """Per port: used bins, bins at or over their nominal capacity, occupied slots, fullest bin, load.
-
-    Nothing is ever dropped here, so ``drops`` is 0 by construction.
-    """
-    capacity = 1 << slot_bits
-    occupied = F.col("occupied")
-    return (
-        bins(counts, k, rehash)
-        .groupBy("cu")
-        .agg(
-            F.count(F.lit(1)).alias("used_bins"),
-            F.count_if(occupied >= capacity).alias("full_bins"),
-            F.sum("occupied").alias("occupied"),
-            F.max("occupied").alias("max_occupied"),
-        )
-        .withColumn("capacity", F.lit((1 << BIN_BITS) * capacity).cast("bigint"))
-        .withColumn("drops", F.lit(0).cast("bigint"))
-    )
-
-
 def balance(counts: DataFrame, k: int) -> DataFrame:
     """How far the fullest part lies above and the emptiest below the mean, per routing scheme.
 
@@ -195,10 +150,3 @@ def suffixes(counts: DataFrame, k: int, bits: int = SUFFIX_BITS) -> DataFrame:
     if bits < SUFFIX_BITS:
         raise ValueError(f"bits must be at least {SUFFIX_BITS}")
     return part_totals(with_hash64(counts, k).withColumn("suffix", low_bits(F.col("h"), bits)), "suffix")
-
-
-def dump(counts: DataFrame, k: int, rows: int = 20, table_bits: int = 22) -> DataFrame:
-    """The first ``rows`` entries of a 2^table_bits bucket table in home-bucket order."""
-    hashed = with_hash64(counts, k)
-    bucket = F.col("h").bitwiseAND(F.lit((1 << table_bits) - 1).cast("bigint"))
-    return hashed.select(bucket.alias("bucket"), "h", "n").orderBy("bucket", "h").limit(rows)

@@ -10,10 +10,11 @@ A row of the exchange holds all super-k-mers that one slice of the input has for
 one bucket, packed into a binary column: handing rows from the JVM to Python
 costs far more than the bytes in them.
 
-The exchange is a REBALANCE by minimizer bucket: adaptive execution splits a
-bucket that is too large (a repeat that fills a third of the input) and merges
-small ones. The grouped sum behind it makes the counts right however buckets
-were split, and needs to move about one row per distinct k-mer only.
+The exchange is hashed by minimizer bucket, so all copies of a k-mer meet in one
+partition. Only a bucket that is hot within one slice of the input (a repeat that
+fills a third of it) is salted: each slice then sends its share to another partition.
+The grouped sum behind it makes the counts right either way, and moves about one row
+per distinct k-mer, and a few more for the k-mers of a hot bucket.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from helixtally.functions import bases
 from helixtally.operators import codes
 from helixtally.operators.windows import characters, tallies
 
-SCHEMA = "bucket int, stretches binary"
+SCHEMA = "bucket int, salt int, stretches binary"
 # A packed super-k-mer. head: code of its first k bases; rest: the next bases, left-aligned in
 # TAIL places of 2 bits, above 8 bits for the number of k-mers (so that number - 1 bases count).
 RECORD = np.dtype([("head", "<u8"), ("rest", "<u8")])
 TAIL = 20
-MAX_BUCKETS = 1 << 16
+BUCKETS = 1 << 12  # where no session says how many partitions there are
+HOT_SHARE, HOT_ROWS = 16, 1 << 12  # a hot bucket has so many times its even share of a slice, and so many records
+SALTS = 1 << 10
 _STEP = 1 << 17
 _PACK_ROWS = 1 << 20
 
@@ -94,38 +97,44 @@ def cut(
 
 
 def pack(cuts: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row (bucket, records) per bucket that occurs in about 2^20 super-k-mers."""
+    """One row (bucket, salt, records) per bucket that occurs in about 2^20 super-k-mers."""
     held, rows = [], 0
     for order, records in cuts:
-        held.append(((order % np.uint32(buckets)).astype(np.uint16), records))
+        held.append(((order % np.uint32(buckets)).astype(np.uint32), records))
         rows += len(records)
         if rows >= _PACK_ROWS:
-            yield _packed(held)
+            yield _packed(held, buckets)
             held, rows = [], 0
     if held:
-        yield _packed(held)
+        yield _packed(held, buckets)
 
 
-def _packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
     bucket = np.concatenate([b for b, _ in held])
     records = np.concatenate([r for _, r in held])
     order = np.argsort(bucket, kind="stable")
     bucket, records = bucket[order], records[order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    offsets = (np.append(first, len(bucket)) * RECORD.itemsize).astype(np.int32)
+    stops = np.append(first, len(bucket))
+    sizes = np.diff(stops)
+    hot = (sizes > HOT_ROWS) & (sizes * buckets > HOT_SHARE * len(bucket))
+    # the salt follows from the slice's content, so a repeated task sends the same rows
+    salt = np.where(hot, 1 + int(records["head"][:: max(1, len(records) // 64)].sum() % np.uint64(SALTS)), 0)
+    offsets = (stops * RECORD.itemsize).astype(np.int32)
     blobs = pa.BinaryArray.from_buffers(
         pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(records.view(np.uint8))]
     )
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), blobs], ["bucket", "stretches"])
+    names = ["bucket", "salt", "stretches"]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(salt.astype(np.int32)), blobs], names)
 
 
 def bucket_count(partitions: int) -> int:
     """Several buckets per shuffle partition, so that partitions come out even."""
-    return min(MAX_BUCKETS, 16 * partitions)
+    return 16 * partitions
 
 
 def super_kmers(reads: DataFrame, k: int, m: int | None = None, seq: str = "seq", u_as_t: bool = True) -> DataFrame:
-    """(bucket, stretches): every window of k valid bases lies in exactly one packed record."""
+    """(bucket, salt, stretches): every window of k valid bases lies in exactly one packed record."""
     m = minimizer_length(k, m)
     table = codes.base_table(u_as_t)
     buckets = bucket_count(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -179,6 +188,6 @@ def count_super_kmers(stretches: DataFrame, k: int) -> DataFrame:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from tallies(values for batch in batches for values in _codes_of(batch.column(0), k))
 
-    moved = stretches.hint("rebalance", F.col("bucket")).drop("bucket")
+    moved = stretches.repartition(F.col("bucket"), F.col("salt")).drop("bucket", "salt")
     tallied = moved.mapInArrow(tally, "kmer bigint, part bigint")
     return tallied.groupBy("kmer").agg(F.sum("part").alias("n"))

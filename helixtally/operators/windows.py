@@ -78,6 +78,27 @@ def run_lengths(values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values[first].view(np.int64)), pa.array(part)], ["kmer", "part"])
 
 
+def labelled_tallies(reads: DataFrame, k: int, label: str, seq: str = "seq", u_as_t: bool = True) -> DataFrame:
+    """(label INT, kmer BIGINT, part BIGINT): the same for the reads of each label (a batch, a mate) apart."""
+    bases.check_k(k)
+    table = codes.base_table(u_as_t)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = characters(batch.column(1))
+            owners = batch.column(0).to_numpy(zero_copy_only=False)
+            for starts, values in codes.canonical_slices(data, ends, k, table):
+                own = owners[np.searchsorted(ends, starts, "right")]
+                order = np.lexsort((values, own))
+                own, values = own[order], values[order]
+                first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (values[1:] != values[:-1])]))
+                part = np.diff(np.append(first, len(values)))
+                columns = [pa.array(own[first], pa.int32()), pa.array(values[first]), pa.array(part)]
+                yield pa.RecordBatch.from_arrays(columns, [label, "kmer", "part"])
+
+    return reads.select(F.col(label).cast("int"), seq).mapInArrow(extract, f"{label} int, {TALLY_SCHEMA}")
+
+
 def tallied_kmers(reads: DataFrame, k: int, seq: str = "seq", u_as_t: bool = True) -> DataFrame:
     """(kmer BIGINT, part BIGINT): k-mers with the counts of one stretch of input, combined in the task."""
     table = codes.base_table(u_as_t)
@@ -117,6 +138,16 @@ def kmer_strings(reads: DataFrame, k: int, keep: tuple[str, ...] = (), seq: str
 
 
 def total_kmers(reads: DataFrame, k: int = bases.DEFAULT_K, seq: str = "seq", u_as_t: bool = True) -> DataFrame:
-    """Number of k-mer occurrences, from run lengths alone: no k-mer row is built."""
-    lengths = F.sum(F.length("run") - F.lit(k - 1)).cast("bigint")
-    return runs(reads, k, seq=seq, u_as_t=u_as_t).agg(F.coalesce(lengths, F.lit(0).cast("bigint")).alias("n_total"))
+    """Number of k-mer occurrences, from the mask of valid windows alone: no k-mer is built, one row per task moves."""
+    bases.check_k(k)
+    table = codes.base_table(u_as_t)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            data, ends = characters(batch.column(0))
+            total += sum(int(np.count_nonzero(keep)) for _, keep in codes.slices(data, ends, k, table, codes._STEP))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["part"])
+
+    parts = reads.select(seq).mapInArrow(count, "part bigint")
+    return parts.agg(F.coalesce(F.sum("part"), F.lit(0)).cast("bigint").alias("n_total"))

@@ -8,6 +8,7 @@ whole text. k is 21 unless the name says otherwise.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from helixtally.functions import bases
 from helixtally.functions.sql import call, register
 from helixtally.operators import counting, routing, spectrum, windows
-from helixtally.session import shared_folder, spread
+from helixtally.session import shared_folder
 from helixtally.sources.fasta import read_fasta
-from helixtally.sources.fastq import count_fastq, fastq_kmers, fastq_lines
-from helixtally.sources.ranges import DEFAULT_SPLIT, list_files
+from helixtally.sources.fastq import count_fastq, fastq_kmers, fastq_lines, range_table, read_pair
+from helixtally.sources.ranges import DEFAULT_SPLIT
 from helixtally.sources.text_reads import text_reads
 from helixtally.streaming import incremental
 
@@ -36,7 +37,7 @@ def query(fn: Query) -> Query:
 
 def reads(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, seq) of the documents table."""
-    return text_reads(spread(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")))
+    return text_reads(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
 
 
 def counts(spark: SparkSession, folder: str, k: int = K) -> DataFrame:
@@ -170,34 +171,18 @@ def hash_fe(spark, folder):
 
 
 @query
-def mix64_bin_slot(spark, folder):
-    """Bin and slot of every distinct k-mer, from a 64-bit finalizer of its XOR-shift hash."""
+def mix64(spark, folder):
+    """XOR-shift hash of every distinct k-mer, and its 64-bit finalizer."""
     hashed = routing.with_hash_fe(counts(spark, folder), K)
-    mixed = hashed.select("h", call("kmer_mix64", F.col("h")).alias("m"))
-    return mixed.select(
-        "h",
-        routing.low_bits(F.col("m"), routing.BIN_BITS).alias("bin"),
-        routing.low_bits(F.col("m"), routing.SLOT_BITS, routing.BIN_BITS).alias("slot"),
-    )
+    return hashed.select("h", call("kmer_mix64", F.col("h")).alias("mixed"))
 
 
 @query
-def murmur_slot(spark, folder):
-    """Second-choice slot (17 bits) of every distinct k-mer."""
+def murmur64(spark, folder):
+    """Invertible hash of every distinct k-mer, and the other 64-bit finalizer of it."""
     hashed = routing.with_hash64(counts(spark, folder), K)
-    return hashed.select("h", routing.low_bits(call("kmer_murmur64", F.col("h")), 17).alias("h2"))
-
+    return hashed.select("h", call("kmer_murmur64", F.col("h")).alias("mixed"))
 
-@query
-def packed_slots(spark, folder):
-    """Count and 42-bit hash packed into one code, and taken apart again."""
-    hashed = routing.with_hash_fe(counting.saturate(counts(spark, folder), counting.CAP_22_BIT), K)
-    packed = hashed.select(call("kmer_slot_pack", F.col("n"), F.col("h")).alias("slot"))
-    return packed.select(
-        "slot",
-        call("kmer_slot_count", F.col("slot")).alias("n"),
-        call("kmer_slot_key", F.col("slot")).alias("key"),
-    )
 
 
 # --- counts and spectrum --------------------------------------------------------------------------
@@ -241,9 +226,9 @@ def sort_runlength_counts(spark, folder):
 
 
 @query
-def superkmer_counts(spark, folder):
-    """The count table with super-k-mers as the unit of the shuffle."""
-    return spelled(counting.count_kmers(reads(spark, folder), K, shuffle="superkmers"))
+def tallied_counts(spark, folder):
+    """The count table with k-mers combined in the task as the unit of the shuffle."""
+    return spelled(counting.count_kmers(reads(spark, folder), K, shuffle="tallies"))
 
 
 @query
@@ -305,17 +290,33 @@ def median_summary(spark, folder):
 
 @query
 def approx_unique(spark, folder):
-    """HyperLogLog estimate of the distinct k-mers."""
-    return counting.approx_unique(windows.kmers(reads(spark, folder), K))
+    """Exact number of distinct k-mers, and whether the HyperLogLog estimate lies within three of its deviations."""
+    rsd = 0.02
+    tallied = windows.tallied_kmers(reads(spark, folder), K)
+    estimate = counting.approx_unique(tallied, rsd)
+    both = counting.unique_kmers(counts(spark, folder)).join(estimate)  # one row each
+    near = F.abs(F.col("n_unique_est") - F.col("n_unique")) <= 3 * rsd * F.col("n_unique")
+    return both.select("n_unique", near.alias("near"))
+
+
+def _mates(spark, folder):
+    """Even documents as mate 1, odd ones as mate 2."""
+    return reads(spark, folder).withColumn("mate", (F.pmod("doc_id", F.lit(2)) + 1).cast("int"))
 
 
 @query
 def paired_union(spark, folder):
-    """Even documents as mate 1, odd ones as mate 2: per mate and together."""
-    mates = reads(spark, folder).withColumn("mate", (F.pmod("doc_id", F.lit(2)) + 1).cast("int"))
-    first, second = mates.where("mate = 1"), mates.where("mate = 2")
-    both = windows.kmers(first.unionByName(second), K, keep=("mate",))
-    return counting.mate_unique(both)
+    """Both mates together and each by itself, in one scan."""
+    return counting.mate_unique(windows.labelled_tallies(_mates(spark, folder), K, "mate"))
+
+
+@query
+def u_breaks_counts(spark, folder):
+    """Canonical 6-mer counts where U ends a window; every tenth letter A of the source is a U here."""
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    with_u = text_reads(texts).withColumn("seq", F.regexp_replace("seq", "A(.{9})A", "U$1A"))
+    return spelled(counting.count_kmers(with_u, 6, u_as_t=False), 6)
+
 
 
 # --- routing and balance --------------------------------------------------------------------------
@@ -341,27 +342,11 @@ def virtual_buckets_3072(spark, folder):
     return routing.segment_rollup(counts(spark, folder), K)
 
 
-@query
-def seg_ends(spark, folder):
-    return routing.segment_ends(counts(spark, folder), K)
-
-
 @query
 def subbins_8x64(spark, folder):
     return routing.subbins(counts(spark, folder), K)
 
 
-@query
-def bin_census(spark, folder):
-    return routing.bin_census(counts(spark, folder), K)
-
-
-@query
-def bin_census_plain(spark, folder):
-    """Bins from plain bit fields, in bins of 16 slots: uneven, many over capacity."""
-    return routing.bin_census(counts(spark, folder), K, rehash=False, slot_bits=4)
-
-
 @query
 def suffix_partitions(spark, folder):
     return routing.suffixes(counts(spark, folder), K)
@@ -372,12 +357,6 @@ def partition_balance(spark, folder):
     return routing.balance(counts(spark, folder), K)
 
 
-@query
-def table_dump(spark, folder):
-    """The first 20 table entries in bucket order."""
-    return routing.dump(counts(spark, folder), K)
-
-
 # --- files and streams ----------------------------------------------------------------------------
 
 
@@ -389,6 +368,30 @@ def fastq_roundtrip(spark, folder):
     return spelled(count_fastq(spark, target, K))
 
 
+@query
+def paired_files(spark, folder):
+    """The mates written to two FASTQ folders and read as a pair: per mate and together."""
+    work = shared_folder(spark, "pair")
+    for mate in (1, 2):
+        write_fastq(_mates(spark, folder).where(F.col("mate") == mate), f"{work}/reads_{mate}")
+    pair = read_pair(spark, f"{work}/reads_1", f"{work}/reads_2", columns="mate,seq")
+    return counting.mate_unique(windows.labelled_tallies(pair, K, "mate"))
+
+
+@query
+def fastq_split_invariance(spark, folder):
+    """Distinct and all k-mers of the same files in either mode at several split sizes."""
+    target = shared_folder(spark, "fastq")
+    write_fastq(reads(spark, folder), target)
+    rows = []
+    for mode in ("lines", "records"):
+        for split in (64 << 10, 1 << 20, DEFAULT_SPLIT):
+            table = count_fastq(spark, target, K, mode=mode, splitBytes=split)
+            figures = table.agg(F.count(F.lit(1)).alias("n_unique"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_total"))
+            rows.append(figures.select(F.lit(mode).alias("mode"), F.lit(split).cast("bigint").alias("split"), "n_unique", "n_total"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def fastq_kmer_scan(spark, folder):
     """The same with the scan emitting single k-mers."""
@@ -420,9 +423,9 @@ def stream_counts(spark, folder):
     """Counts from a stream that takes the reads in at least five micro-batches."""
     work = shared_folder(spark, "stream")
     write_fastq(reads(spark, folder), f"{work}/reads")
-    size = sum(n for _, n in list_files([f"{work}/reads"]))
-    batch = max(1, size // 5)
-    incremental.plan_batches(f"{work}/plan", f"{work}/reads", batch, split_bytes=min(DEFAULT_SPLIT, -(-batch // 8)))
+    sizes = range_table(spark, f"{work}/reads", splittable=False)
+    batch = max(1, (sizes.agg(F.sum("size")).first()[0] or 0) // 5)
+    incremental.plan_batches(spark, f"{work}/plan", f"{work}/reads", batch, split_bytes=min(DEFAULT_SPLIT, -(-batch // 8)))
     stream = incremental.stream_kmers(spark, f"{work}/plan", K)
     return spelled(incremental.stream_counts(stream, work))
 
@@ -431,7 +434,7 @@ def stream_counts(spark, folder):
 def batch_new_unique(spark, folder):
     """Distinct k-mers not seen in an earlier batch; the batch of a read is its id modulo 9."""
     batched = reads(spark, folder).withColumn("batch", F.pmod("doc_id", F.lit(BATCHES)).cast("int"))
-    return incremental.first_seen(windows.kmers(batched, K, keep=("batch",)))
+    return incremental.first_seen(windows.labelled_tallies(batched, K, "batch"))
 
 
 def _nine_batches(spark, folder) -> tuple[str, list[list[str]]]:
@@ -447,7 +450,7 @@ def stream_new_unique(spark, folder):
     """The same as a stream: nine batches arrive one after the other at a stateful de-duplication."""
     work, batches = _nine_batches(spark, folder)
     for i, batch in enumerate(batches):
-        incremental.plan_batches(f"{work}/plan", [batch], first=i)
+        incremental.plan_batches(spark, f"{work}/plan", [batch], first=i)
         result = incremental.stream_new_unique(incremental.stream_kmers(spark, f"{work}/plan", K), work)
     return result
 
@@ -456,6 +459,6 @@ def stream_new_unique(spark, folder):
 def stream_delta_counts(spark, folder):
     """Counts from per-batch count tables, summed afterwards; no state store."""
     work, batches = _nine_batches(spark, folder)
-    incremental.plan_batches(f"{work}/plan", batches)
+    incremental.plan_batches(spark, f"{work}/plan", batches)
     stream = incremental.stream_kmers(spark, f"{work}/plan", K)
     return spelled(incremental.merge_deltas(incremental.stream_deltas(stream, work)))

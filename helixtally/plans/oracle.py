@@ -96,17 +96,21 @@ first AS (SELECT canon, min(doc_id % 9) AS batch FROM canons GROUP BY canon)
 SELECT CAST(batch AS INTEGER) AS batch, CAST(count(*) AS BIGINT) AS new_unique FROM first GROUP BY 1"""
 
 
-def _census(bin_: str, capacity: int, extra: str = "", source: str = "gk") -> str:
-    return f"""{_G}{extra},
-occ AS (SELECT CAST(h & 7 AS INTEGER) AS cu, {bin_} AS bin, count(*) AS occupied FROM {source} GROUP BY 1, 2)
-SELECT cu, CAST(count(*) AS BIGINT) AS used_bins,
-       CAST(count(*) FILTER (occupied >= {capacity}) AS BIGINT) AS full_bins,
-       CAST(sum(occupied) AS BIGINT) AS occupied, CAST(max(occupied) AS BIGINT) AS max_occupied,
-       CAST({4096 * capacity} AS BIGINT) AS capacity, CAST(0 AS BIGINT) AS drops
-FROM occ GROUP BY cu"""
+def _signed(x: str) -> str:
+    """A 64-bit pattern as BIGINT."""
+    return f"CAST(CASE WHEN {x} >= {1 << 63}::UHUGEINT THEN {x}::HUGEINT - {1 << 64}::HUGEINT ELSE {x}::HUGEINT END AS BIGINT)"
 
 
-_MIXED_BINS = ",\n" + _finalizer("gk", "mix", "h", *_MIX)
+_MIXED = ",\n" + _finalizer("gk", "mix", "h", *_MIX)
+
+_PAIRED = f"""WITH {_words(21)},
+per AS (SELECT canon, count(*) FILTER (doc_id % 2 = 0) AS n1, count(*) FILTER (doc_id % 2 = 1) AS n2
+        FROM canons GROUP BY canon)
+SELECT 'mate1' AS part, CAST(sum(n1) AS BIGINT) AS n_total, CAST(count(*) FILTER (n1 > 0) AS BIGINT) AS n_unique FROM per
+UNION ALL
+SELECT 'mate2', CAST(sum(n2) AS BIGINT), CAST(count(*) FILTER (n2 > 0) AS BIGINT) FROM per
+UNION ALL
+SELECT 'both', CAST(sum(n1 + n2) AS BIGINT), CAST(count(*) AS BIGINT) FROM per"""
 
 ORACLE: dict[str, str] = {
     "read_scan": f"WITH {READS} SELECT doc_id, CAST(length(seq) AS BIGINT) AS seq_len FROM reads",
@@ -138,20 +142,18 @@ SELECT DISTINCT kmer, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS c
     "encode_2bit": f"WITH {_coded()} SELECT canon, CAST(y AS BIGINT) AS y FROM coded",
     "hash64": f"{_H} SELECT CAST(y AS BIGINT) AS y, h FROM hk",
     "hash_fe": f"{_G} SELECT CAST(y AS BIGINT) AS y, h FROM gk",
-    "mix64_bin_slot": f"""{_G}{_MIXED_BINS}
-SELECT h, CAST(x & 4095::UHUGEINT AS INTEGER) AS bin, CAST((x >> 12) & 4095::UHUGEINT AS INTEGER) AS slot FROM mix""",
-    "murmur_slot": f"""{_H},
+    "mix64": f"""{_G}{_MIXED}
+SELECT h, {_signed("x")} AS mixed FROM mix""",
+    "murmur64": f"""{_H},
 {_finalizer("hk", "mur", "h", *_MURMUR)}
-SELECT h, CAST(x & 131071::UHUGEINT AS INTEGER) AS h2 FROM mur""",
-    "packed_slots": f"""{_G}
-SELECT CAST(least(n, 4194303)::HUGEINT * {1 << 42} + h AS BIGINT) AS slot, least(n, 4194303) AS n, h AS key FROM gk""",
+SELECT h, {_signed("x")} AS mixed FROM mur""",
     "unique_kmers": f"WITH {_counts()} SELECT CAST(count(*) AS BIGINT) AS n_unique FROM cnt",
     "total_kmers": f"WITH {_words(21)} SELECT CAST(count(*) AS BIGINT) AS n_total FROM words",
     "kmer_counts": _TABLE,
     "kmer_counts_k31": f"WITH {_counts(31)} SELECT canon, n FROM cnt",
     "kmer_counts_builtin": _TABLE,
     "sort_runlength_counts": _TABLE,
-    "superkmer_counts": _TABLE,
+    "tallied_counts": _TABLE,
     "grouped_counts": _TABLE,
     "fastq_kmer_scan": _TABLE,
     "histogram_dense": f"""WITH {_counts()},
@@ -178,14 +180,18 @@ SELECT CAST(count(*) FILTER (n >= 2) AS BIGINT) AS kept, CAST(count(*) FILTER (n
 every AS (SELECT unnest(regexp_extract_all(seq, '[ACGT]+')) AS run FROM reads)
 SELECT (SELECT CAST(median(length(run)) AS DOUBLE) FROM every) AS median_run_len,
        (SELECT CAST(median(n) AS DOUBLE) FROM cnt) AS median_n""",
-    "paired_union": f"""WITH {_words(21)},
-per AS (SELECT canon, count(*) FILTER (doc_id % 2 = 0) AS n1, count(*) FILTER (doc_id % 2 = 1) AS n2
-        FROM canons GROUP BY canon)
-SELECT 'mate1' AS part, CAST(sum(n1) AS BIGINT) AS n_total, CAST(count(*) FILTER (n1 > 0) AS BIGINT) AS n_unique FROM per
-UNION ALL
-SELECT 'mate2', CAST(sum(n2) AS BIGINT), CAST(count(*) FILTER (n2 > 0) AS BIGINT) FROM per
-UNION ALL
-SELECT 'both', CAST(sum(n1 + n2) AS BIGINT), CAST(count(*) AS BIGINT) FROM per""",
+    "paired_union": _PAIRED,
+    "paired_files": _PAIRED,
+    "approx_unique": f"WITH {_counts()} SELECT CAST(count(*) AS BIGINT) AS n_unique, true AS near FROM cnt",
+    "u_breaks_counts": f"""WITH {READS},
+broken AS (SELECT regexp_replace(seq, 'A(.{{9}})A', 'U\\1A', 'g') AS seq FROM reads),
+runs AS (SELECT unnest(regexp_extract_all(seq, '[ACGT]{{6,}}')) AS run FROM broken),
+words AS (SELECT substr(run, i, 6) AS kmer FROM (SELECT run, unnest(range(1, length(run) - 4)) AS i FROM runs))
+SELECT least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS canon, CAST(count(*) AS BIGINT) AS n FROM words GROUP BY 1""",
+    "fastq_split_invariance": f"""WITH {_counts()},
+figures AS (SELECT CAST(count(*) AS BIGINT) AS n_unique, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_total FROM cnt)
+SELECT mode, CAST(split AS BIGINT) AS split, n_unique, n_total
+FROM figures, (VALUES ('lines'), ('records')) m(mode), (VALUES ({64 << 10}), ({1 << 20}), ({128 << 20})) s(split)""",
     "unique_by_cu4": f"{_H} SELECT {_CU} AS cu, {_TOTALS} FROM hk GROUP BY 1",
     "unique_by_port8": f"""{_H},
 {_hash_fe("coded", "mixed2")}
@@ -196,16 +202,10 @@ SELECT 'hash_fe', CAST(x & 7 AS INTEGER), {_TOTALS} FROM mixed2 GROUP BY 2""",
     "virtual_buckets_3072": f"""{_H},
 routed AS (SELECT {_CARD} AS card, {_CU} AS cu, {_SEG} AS seg, n FROM hk)
 SELECT card, cu, seg, {_TOTALS} FROM routed GROUP BY ROLLUP (card, cu, seg)""",
-    "seg_ends": f"""{_H},
-sized AS (SELECT {_CU} AS cu, {_SEG} AS seg, sum(n) AS n FROM hk GROUP BY 1, 2)
-SELECT cu, seg, CAST(sum(n) OVER (PARTITION BY cu ORDER BY seg ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg_end
-FROM sized""",
     "subbins_8x64": f"""{_G},
 sized AS (SELECT CAST(xor(y, y >> 21) & 7 AS INTEGER) AS cu, CAST((h >> 3) & 63 AS INTEGER) AS sbin, {_TOTALS}
           FROM gk GROUP BY 1, 2)
 SELECT cu, sbin, n_total, n_unique, max(n_total) OVER () AS max_n FROM sized""",
-    "bin_census": _census("CAST(x & 4095::UHUGEINT AS INTEGER)", 4096, _MIXED_BINS, "mix"),
-    "bin_census_plain": _census("(h >> 3) & 4095", 16),
     "suffix_partitions": f"{_H} SELECT CAST(h & 1023 AS INTEGER) AS suffix, {_TOTALS} FROM hk GROUP BY 1",
     "partition_balance": f"""{_H},
 parts AS (
@@ -217,7 +217,6 @@ spans AS (SELECT scheme, parts, max(u) AS hi, CASE WHEN count(*) < parts THEN 0
                  CAST(sum(u) AS DOUBLE) / parts AS mean FROM parts GROUP BY 1, 2)
 SELECT scheme, parts, hi AS max_unique, lo AS min_unique,
        round((hi - mean) / mean, 6) AS over, round((mean - lo) / mean, 6) AS under FROM spans""",
-    "table_dump": f"""{_H} SELECT h & 4194303 AS bucket, h, n FROM hk ORDER BY bucket, h LIMIT 20""",
     "fastq_roundtrip": _TABLE,
     "fastq_lines_roundtrip": _TABLE,
     "fasta_roundtrip": _TABLE,

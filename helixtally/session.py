@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -45,14 +45,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
         root = _local_folder()
+    if "://" not in root and not root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_KEY} must say its file system, such as hdfs:// or file://, for all to mean the same place")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the scan has fewer splits than the cluster has cores.
-
-    A large input already has more splits than cores and is left alone, so the
-    extra exchange only ever moves inputs of a few row groups.
-    """
-    width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a work folder, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,21 +15,24 @@ Two ways to keep counts:
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixtally.functions import bases
 from helixtally.operators import codes
-from helixtally.operators.counting import count_codes
+from helixtally.operators.counting import count_tallies
+from helixtally.operators.windows import tallies
+from helixtally.session import delete
 from helixtally.sources import ranges as br
-from helixtally.sources.fastq import RANGE_SCHEMA, as_ranges, range_kmers
+from helixtally.sources.fastq import RANGE_SCHEMA, as_ranges, numbered_ranges, one_by_one, range_kmers
 
-BATCH_SCHEMA = f"batch int, {RANGE_SCHEMA}"
+BATCH_SCHEMA = f"{RANGE_SCHEMA}, before bigint, upto bigint, batch int"
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -39,6 +42,7 @@ STATE_STORE = {
 
 
 def plan_batches(
+    spark: SparkSession,
     folder: str,
     paths: str | list[str] | list[list[str]],
     batch_bytes: int | None = None,
@@ -49,44 +53,48 @@ def plan_batches(
     """Add batch files for ``paths`` to ``folder``, numbered from ``first``; returns how many.
 
     ``paths`` may be a list of lists: one batch per inner list. Otherwise the
-    byte ranges are grouped in order, at most ``batch_bytes`` each (None: all in one).
+    byte ranges are grouped in order, about ``batch_bytes`` each (None: all in one).
+    Ranges carry line numbers, so a file means the same as outside a stream.
     Spark takes batch files by modification time; those written by one call may
     be taken in any order.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if paths and not isinstance(paths[0], str):
-        batches = [br.plan_ranges(br.list_files(group), split_bytes, splittable) for group in paths]
+        every = [numbered_ranges(spark, group, split_bytes, splittable).withColumn("batch", F.lit(i)) for i, group in enumerate(paths, first)]
+        planned = reduce(DataFrame.unionByName, every)
     else:
-        files = br.list_files(paths)
-        batch_bytes = batch_bytes or max(1, sum(size for _, size in files))
-        planned = br.plan_ranges(files, min(split_bytes, batch_bytes), splittable)
-        batches = br.pack_ranges(planned, batch_bytes)
-    system, inner = br.open_fs(folder)
-    system.create_dir(inner, recursive=True)
-    for number, batch in enumerate(batches, first):
-        lines = [json.dumps({"batch": number, "path": r.path, "lo": r.lo, "hi": r.hi, "size": r.size}) for r in batch]
-        with system.open_output_stream(f"{inner}/batch-{number:08d}.json") as out:
-            out.write("".join(line + "\n" for line in lines).encode())
-    return len(batches)
+        step = min(split_bytes, batch_bytes or split_bytes)
+        earlier = F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(Window.orderBy("path", "lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        batch = F.floor(earlier / F.lit(batch_bytes)).cast("int") + first if batch_bytes else F.lit(first)
+        planned = numbered_ranges(spark, paths, step, splittable).withColumn("batch", batch)  # the window sees a row per range
+    numbers = planned.repartition("batch").persist()  # what the line counts have cost
+    found = numbers.agg(F.count_distinct("batch")).first()[0]
+    if found:
+        numbers.select("*", F.col("batch").alias("file")).write.mode("append").partitionBy("file").json(folder)
+    numbers.unpersist()
+    return found
 
 
 def stream_kmers(
     spark: SparkSession, folder: str, k: int = bases.DEFAULT_K, u_as_t: bool = True, batches_per_trigger: int = 1
 ) -> DataFrame:
-    """Streaming (batch INT, kmer BIGINT) of the planned batches."""
+    """Streaming (batch INT, kmer BIGINT, part BIGINT) of the planned batches: k-mers combined within each range."""
     bases.check_k(k)
     table = codes.base_table(u_as_t)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, r in zip(batch.column("batch").to_pylist(), as_ranges(batch)):
-                for values in range_kmers(r, k, table):
-                    owner = pa.repeat(pa.scalar(number, pa.int32()), len(values))
-                    yield pa.RecordBatch.from_arrays([owner, pa.array(values)], names=["batch", "kmer"])
+            for number, r in zip(batch.column("batch").to_pylist(), as_ranges(batch), strict=True):
+                for part in tallies(range_kmers(r, k, table)):
+                    owner = pa.repeat(pa.scalar(number, pa.int32()), part.num_rows)
+                    yield pa.RecordBatch.from_arrays([owner, *part.columns], names=["batch", "kmer", "part"])
 
-    planned = spark.readStream.schema(BATCH_SCHEMA).option("maxFilesPerTrigger", batches_per_trigger).json(folder)
-    width = spark.sparkContext.defaultParallelism
-    return planned.repartition(width).mapInArrow(extract, "batch int, kmer bigint")
+    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(
+        spark._jvm.org.apache.hadoop.fs.Path(folder)
+    )
+    planned = spark.readStream.schema(BATCH_SCHEMA).option("maxFilesPerTrigger", batches_per_trigger)
+    planned = planned.option("recursiveFileLookup", "true").json(folder)
+    return one_by_one(planned).mapInArrow(extract, "batch int, kmer bigint, part bigint")
 
 
 @contextmanager
@@ -129,23 +137,38 @@ def _writer(out: str, prepare=lambda df: df):
     return write
 
 
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Existing folders that match a pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or ()]
+
+
 def _written(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    """Everything the epochs have written; empty before the first one."""
-    system, inner = br.open_fs(out)
-    if not system.get_file_info(br.pafs.FileSelector(inner, allow_not_found=True)):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(out)
+    """Everything written to folders that match; empty before the first."""
+    found = _folders(spark, out)
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
 def stream_counts(kmers: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
     """Run the stateful count over the stream; returns the count table (kmer, n).
 
-    Each epoch holds the new counts of the k-mers it touched. Counts only grow,
-    so the largest one written is the current one.
+    Each epoch holds the new counts of the k-mers it touched. Counts only grow, so the
+    largest one is the current one. At the end of a run the epochs are merged into one
+    table and deleted, so what is kept doesn't grow with the number of batches.
     """
-    _run(count_codes(kmers), _writer(f"{folder}/counts"), f"{folder}/checkpoint", "update", progress)
-    written = _written(kmers.sparkSession, f"{folder}/counts", "kmer bigint, n bigint")
-    return written.groupBy("kmer").agg(F.max("n").alias("n"))
+    spark, schema = kmers.sparkSession, "kmer bigint, n bigint"
+    _run(count_tallies(kmers), _writer(f"{folder}/counts"), f"{folder}/checkpoint", "update", progress)
+    old = _folders(spark, f"{folder}/table-*")
+    epochs = _folders(spark, f"{folder}/counts/epoch=*")
+    if not epochs:
+        return _written(spark, f"{folder}/table-*", schema)
+    every = spark.read.schema(schema).parquet(*epochs, *old)
+    table = f"{folder}/table-{uuid.uuid4().hex}"
+    every.groupBy("kmer").agg(F.max("n").alias("n")).write.parquet(table)
+    for done in (*epochs, *old):
+        delete(spark, done)
+    return spark.read.schema(schema).parquet(table)
 
 
 def stream_new_unique(kmers: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
@@ -153,14 +176,15 @@ def stream_new_unique(kmers: DataFrame, folder: str, progress: list | None = Non
 
     The stream must take one batch per trigger. First means first to arrive, so
     where batch numbers have to follow arrival, add and run one batch at a time:
-    the checkpoint carries the k-mers already seen from run to run.
+    the checkpoint carries the k-mers already seen from run to run. A k-mer reaches
+    the state once per byte range, however often the range holds it.
     """
 
     def per_batch(df: DataFrame) -> DataFrame:
         return df.groupBy("batch").agg(F.count(F.lit(1)).alias("new_unique"))
 
     _run(kmers.dropDuplicates(["kmer"]), _writer(f"{folder}/new", per_batch), f"{folder}/checkpoint", "append", progress)
-    written = _written(kmers.sparkSession, f"{folder}/new", "batch int, new_unique bigint")
+    written = _written(kmers.sparkSession, f"{folder}/new/epoch=*", "batch int, new_unique bigint")
     return written.groupBy("batch").agg(F.sum("new_unique").alias("new_unique"))
 
 
@@ -168,10 +192,10 @@ def stream_deltas(kmers: DataFrame, folder: str, progress: list | None = None) -
     """Count every batch on its own, without a state store; returns (batch, kmer, n)."""
 
     def per_batch(df: DataFrame) -> DataFrame:
-        return df.groupBy("batch", "kmer").agg(F.count(F.lit(1)).alias("n"))
+        return df.groupBy("batch", "kmer").agg(F.sum("part").alias("n"))
 
     _run(kmers, _writer(f"{folder}/deltas", per_batch), f"{folder}/checkpoint", "append", progress)
-    return _written(kmers.sparkSession, f"{folder}/deltas", "batch int, kmer bigint, n bigint").drop("epoch")
+    return _written(kmers.sparkSession, f"{folder}/deltas/epoch=*", "batch int, kmer bigint, n bigint")
 
 
 def merge_deltas(deltas: DataFrame) -> DataFrame:

@@ -18,9 +18,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import helixtally as ht  # noqa: E402
 from helixtally.functions import bases  # noqa: E402
-from helixtally.operators import routing  # noqa: E402
-from helixtally.session import shared_folder  # noqa: E402
-from helixtally.sources.ranges import list_files  # noqa: E402
+from helixtally.session import delete, shared_folder  # noqa: E402
+from helixtally.sources.fastq import range_table  # noqa: E402
 from helixtally.streaming import incremental  # noqa: E402
 
 MIB = 1 << 20
@@ -36,7 +35,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--u-breaks", action="store_true", help="U ends a window instead of counting as T")
     parser.add_argument("--hist", action="store_true", help="print the non-empty bins of the spectrum")
     parser.add_argument("--hist-all", action="store_true", help="print bins 1 to 255, empty ones too")
-    parser.add_argument("--dump", action="store_true", help="print the first 20 table entries in bucket order")
+    parser.add_argument("--mode", default="lines", choices=("lines", "records"), help="FASTQ by line numbers, or checked records")
     parser.add_argument("--min", type=int, default=1, metavar="N", help="keep k-mers that occur at least N times")
     parser.add_argument("--max", type=int, metavar="N", help="keep k-mers that occur at most N times")
     parser.add_argument("-o", metavar="FOLDER", help="write the count table as parquet")
@@ -49,44 +48,53 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     return args
 
 
-def count(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+def count(spark: SparkSession, args: argparse.Namespace, work: str, reports: list) -> DataFrame:
     as_t = str(not args.u_breaks).lower()
     if args.b:
-        work = shared_folder(spark, "counts")
-        incremental.plan_batches(f"{work}/plan", args.files, batch_bytes=args.b * MIB)
+        incremental.plan_batches(spark, f"{work}/plan", args.files, batch_bytes=args.b * MIB)
         stream = incremental.stream_kmers(spark, f"{work}/plan", args.k, u_as_t=not args.u_breaks)
-        return incremental.stream_counts(stream, work)
+        return incremental.stream_counts(stream, work, reports)
     if args.fasta:
         return ht.count_kmers(ht.read_fasta(spark, args.files, args.k), args.k, u_as_t=not args.u_breaks)
-    return ht.count_fastq(spark, args.files, args.k, uAsT=as_t)
+    return ht.count_fastq(spark, args.files, args.k, mode=args.mode, uAsT=as_t)
+
+
+def print_batches(reports: list) -> None:
+    """One line per micro-batch: new and known k-mers it brought, and where its time went."""
+    for r in (x for x in reports if x["numInputRows"]):
+        state = sum(x["numRowsUpdated"] for x in r["stateOperators"])
+        times = "\t".join(f"{name} {ms / 1000:.2f} s" for name, ms in r["durationMs"].items() if ms)
+        print(f"batch {r['batchId']}\tk-mers touched {state}\t{times}")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = arguments(argv)
     spark = spark or SparkSession.builder.appName("helixtally").getOrCreate()
-    megabytes = sum(size for _, size in list_files(args.files)) / MIB
-    seconds = []
-    for _ in range(args.n):
+    megabytes = range_table(spark, args.files, splittable=False).agg(F.sum("size")).first()[0] or 0
+    seconds, folders, reports = [], [], []
+    for run in range(args.n):
         start = time.perf_counter()
-        counts = ht.threshold(count(spark, args), args.min, args.max)
-        row = counts.agg(F.count(F.lit(1)).alias("unique"), F.sum("n").alias("total")).first()
+        folders.append(shared_folder(spark, "counts"))
+        named = args.o if args.o and run == args.n - 1 else f"{folders[-1]}/result"
+        reports.clear()
+        counts = ht.threshold(count(spark, args, folders[-1], reports), args.min, args.max)
+        counts.write.mode("errorifexists").parquet(named)  # counted once; all figures are read off the table
         seconds.append(time.perf_counter() - start)
+    counts = spark.read.parquet(named)
+    start = time.perf_counter()
+    row = counts.agg(F.count(F.lit(1)).alias("unique"), F.sum("n").alias("total")).first()
     median = statistics.median(seconds)
+    print_batches(reports)
     print(f"unique {args.k}-mers\t{row.unique}")
     print(f"total {args.k}-mers\t{row.total or 0}")
     print(f"seconds (median of {args.n})\t{median:.3f}")
-    print(f"MB/s\t{megabytes / median:.2f}")
-    if not (args.hist or args.hist_all or args.dump or args.o):
-        return
-    target = args.o or shared_folder(spark, "table")  # counted once, reported from the written table
-    counts.write.mode("errorifexists").parquet(target)
-    counts = spark.read.parquet(target)
+    print(f"MB/s\t{megabytes / MIB / median:.2f}")
     if args.hist or args.hist_all:
         for r in ht.histogram(counts, dense=args.hist_all).toLocalIterator():
             print(f"{r.bin}\t{r.freq}")
-    if args.dump:
-        for r in routing.dump(counts, args.k).toLocalIterator():
-            print(f"bucket={r.bucket}\tkey={r.h:#x}\tcount={r.n}")
+    print(f"seconds to report\t{time.perf_counter() - start:.3f}")
+    for folder in folders:
+        delete(spark, folder)
 
 
 if __name__ == "__main__":

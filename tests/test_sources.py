@@ -8,7 +8,9 @@ from helixtally.operators import codes
 from helixtally.operators.counting import count_codes, count_kmers, mate_unique
 from helixtally.operators.windows import kmers
 from helixtally.sources import fasta, ranges
-from helixtally.sources.fastq import fastq_kmers, fastq_lines, read_fastq, read_pair
+from helixtally.operators.windows import labelled_tallies
+from helixtally.sources.fastq import count_fastq, fastq_kmers, fastq_lines, range_table, read_fastq, read_pair
+from helixtally.streaming import incremental
 
 
 def rec(*seqs):
@@ -48,28 +50,83 @@ def test_edge_files(spark, tmp_path, name):
         paths.append(str(path))
     options = {"uAsT": str(u_as_t).lower(), "splittable": "false"}
     assert collected(count_codes(fastq_kmers(spark, paths, k, **options)), k) == expected
-    records = read_fastq(spark, paths, splittable="false")
+    records = read_fastq(spark, paths, splitBytes=3)
     assert collected(count_kmers(records, k, u_as_t=u_as_t), k) == expected
 
 
-@pytest.mark.parametrize("name", EDGE)
-@pytest.mark.parametrize("step", [1, 3, 7])
-def test_line_numbers_survive_any_split(tmp_path, name, step):
-    """fastq_lines' range reader: any split gives the lines of the unsplit file."""
-    from helixtally.sources.fastq import _numbered_lines
-
-    for text in EDGE[name][0]:
-        data = text.encode()
-        path = tmp_path / "x.fastq"
-        path.write_bytes(data)
-        whole = [s.rstrip("\r") for i, s in enumerate(text.split("\n")) if i % 4 == 1]
-        if text.endswith("\n") and text.count("\n") % 4 == 1:
-            whole.pop()
-        got = []
-        for r in ranges.plan_ranges([(str(path), len(data))], step):
-            for lines in _numbered_lines(r, data[: r.lo].count(b"\n")):
-                got += lines.to_pylist()
-        assert got == whole
+ODD = {
+    "blank_inside": rec("ACGTACGTAC", "GGGTTTAA") + "\n" + rec("CCCTTTA"),
+    "cut_off_quality": rec("ACGTAC", "GGGTTT")[:-4],
+    "crlf_without_end": "@r\r\nACGT\r\n+\r\nIIII\r\n@s\r\nTTGA\r\n+\r\nIIII",
+    "no_at": rec("ACGTAC") + "r1\nGGGTTT\n+\nIIIIII\n" + rec("AAACCC"),
+    "blank_end": rec("ACGTAC", "GGGTTT") + "\n\n\n\n\n",
+    "empty_read": "@r\n\n+\n\n" + rec("ACGTAC"),
+    "plus_sequence": rec("ACGTAC", "+CGTAC", "GGGTTT"),
+} | {name: EDGE[name][0][0] for name in EDGE if len(EDGE[name][0]) == 1}
+
+
+def sequences(ranges_):
+    """All sequence lines of some ranges, or the error."""
+    try:
+        return [
+            data[a:b].tobytes().decode().rstrip("\r")
+            for r in ranges_
+            for data, starts, ends in ranges.quads(r)
+            for a, b in zip(starts[1::4], ends[1::4])
+        ]
+    except ranges.MalformedRecord:
+        return "malformed"
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_one_meaning_at_every_split(tmp_path, name):
+    """Both modes: every two-way cut and every even cut gives what the whole file gives."""
+    data = ODD[name].encode()
+    path, size = tmp_path / "x.fastq", len(data)
+    path.write_bytes(data)
+    edges = [[0, size], *([0, c, size] for c in range(1, size)), *([*range(0, size, step), size] for step in (1, 3, 7))]
+    for mode in ("lines", "records"):
+        seen = set()
+        for cuts in edges:
+            some = [ranges.ByteRange(str(path), lo, hi, size) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
+            if mode == "lines":
+                some = [ranges.ByteRange(r.path, r.lo, r.hi, size, data[: r.lo].count(b"\n"), data[: r.hi].count(b"\n")) for r in some]
+            seen.add(str(sequences(some)))
+        assert len(seen) == 1, (mode, seen)
+        if mode == "lines":
+            lines = [s.rstrip("\r") for i, s in enumerate(data.decode().split("\n")) if i % 4 == 1]
+            if data.endswith(b"\n") and data.count(b"\n") % 4 == 1:
+                lines.pop()  # what follows the last line end is no line
+            got = sequences([ranges.ByteRange(str(path), 0, size, size, 0, 0)]) if size else []
+            assert [s for s in got if s] == [s for s in lines if s]
+
+
+@pytest.mark.parametrize("name", ["blank_inside", "cut_off_quality", "crlf_without_end", "no_at", "blank_end"])
+def test_sources_agree_on_odd_files(spark, tmp_path, name):
+    """count_fastq, read_fastq and the stream, at several splits and partitions: one result or one error per mode."""
+    path = str(tmp_path / "x.fastq")
+    (tmp_path / "x.fastq").write_bytes(ODD[name].encode())
+    size = len(ODD[name])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = {"lines": [], "records": []}
+    try:
+        for parts, split in ((1, size), (2, -(-size // 2)), (8, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            for mode in results:
+                try:
+                    one = collected(count_fastq(spark, path, 3, mode=mode, splitBytes=split), 3)
+                    assert one == collected(count_kmers(read_fastq(spark, path, mode, splitBytes=split), 3), 3)
+                except Exception as e:
+                    assert mode == "records" and "four-line" in str(e)
+                    one = "malformed"
+                results[mode].append(one)
+            work = str(tmp_path / f"work{parts}")
+            incremental.plan_batches(spark, f"{work}/plan", path, split_bytes=split)
+            results["lines"].append(collected(incremental.stream_counts(incremental.stream_kmers(spark, f"{work}/plan", 3), work), 3))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for seen in results.values():
+        assert all(x == seen[0] for x in seen)
 
 
 def random_records(seed, n=40):
@@ -112,10 +169,25 @@ def test_blank_lines_at_the_end(tmp_path, blank):
         assert got == [s for _, s, _ in records], cuts
 
 
-def test_range_list_stays_small():
-    planned = ranges.plan_ranges([("x", 100 << 40), ("y", 7)])
-    assert len(planned) <= ranges.MAX_RANGES + 2
-    assert sum(r.hi - r.lo for r in planned) == (100 << 40) + 7
+def test_listing(spark, tmp_path):
+    """Hidden parts, patterns within one part, suffixes in any case, nothing found: both listings agree."""
+    text = rec("ACGTAC")
+    for name in ("a.fastq", "old/b.fastq", "_temporary/0/c.fastq", ".snap/d.fastq", "old/.e.fastq", "sub/f.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    with gzip.open(tmp_path / "G.FASTQ.GZ", "wt") as f:
+        f.write(text)
+    short = lambda paths: sorted(p.rsplit("/", 1)[1] for p in paths)
+    for path, want in (("", ["G.FASTQ.GZ", "a.fastq", "b.fastq", "f.txt"]), ("*.fastq", ["a.fastq"]), ("o*/*.fastq", ["b.fastq"]), ("G.*", ["G.FASTQ.GZ"])):
+        full = f"{tmp_path}/{path}".rstrip("/")
+        assert short(p for p, _ in ranges.list_files([full])) == want, path
+        assert short(r.path for r in range_table(spark, full).collect()) == want, path
+    assert read_fastq(spark, f"{tmp_path}/G.FASTQ.GZ", splitBytes=3).count() == 1
+    for bad in (f"{tmp_path}/no*", f"{tmp_path}/absent"):
+        with pytest.raises(FileNotFoundError):
+            ranges.list_files([bad])
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+            range_table(spark, bad).collect()
 
 
 def test_small_blocks(tmp_path, monkeypatch):
@@ -136,7 +208,7 @@ def test_records_columns_and_splits(spark, tmp_path):
     records = random_records(7, 300)
     path = tmp_path / "x_1.fastq"
     path.write_text("".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in records))
-    df = read_fastq(spark, str(path), splitBytes=500)
+    df = read_fastq(spark, str(path), "records", splitBytes=500)
     assert df.columns == ["file", "mate", "read_id", "seq", "qual"]
     assert df.rdd.getNumPartitions() > 10
     rows = df.collect()
@@ -149,11 +221,12 @@ def test_records_columns_and_splits(spark, tmp_path):
     assert collected(count_kmers(fastq_lines(spark, str(path), 333), 5), 5) == brute
 
 
-def test_irregular_split_file_is_refused_not_misread(spark, tmp_path):
+def test_irregular_file_is_refused_or_read_by_lines(spark, tmp_path):
     path = tmp_path / "x.fastq"
     path.write_text((rec("ACGTACGTAC") + "\n") * 50)
-    with pytest.raises(Exception, match="four-line"):
-        fastq_kmers(spark, str(path), 3, splitBytes=100).count()
+    for split in (100, 10**6):
+        with pytest.raises(Exception, match="four-line"):
+            fastq_kmers(spark, str(path), 3, mode="records", splitBytes=split).count()
     whole = fastq_kmers(spark, str(path), 3, splittable="false").count()
     assert kmers(fastq_lines(spark, str(path), 100), 3).count() == whole
 
@@ -165,7 +238,7 @@ def test_gzip_and_pairs(spark, tmp_path):
     (tmp_path / "x_2.fastq").write_text(two)
     pair = read_pair(spark, str(tmp_path / "x_1.fastq.gz"), str(tmp_path / "x_2.fastq"))
     assert sorted((r.mate, r.seq) for r in pair.collect()) == [(1, "ACGTACGT"), (1, "TTTTT"), (2, "GGGGNACGT")]
-    got = {r.part: (r.n_total, r.n_unique) for r in mate_unique(kmers(pair, 3, keep=("mate",))).collect()}
+    got = {r.part: (r.n_total, r.n_unique) for r in mate_unique(labelled_tallies(pair, 3, "mate")).collect()}
     first, second = brute_counts(["ACGTACGT", "TTTTT"], 3), brute_counts(["GGGGNACGT"], 3)
     assert got == {
         "mate1": (first.total(), len(first)),
@@ -183,8 +256,11 @@ def test_bad_arguments(spark, tmp_path):
             fastq_kmers(spark, str(tmp_path), k)
     with pytest.raises(Exception, match="columns"):
         read_fastq(spark, str(tmp_path), columns="seq,nope").count()
-    with pytest.raises(Exception, match="absent"):
-        read_fastq(spark, str(tmp_path / "absent.fastq")).count()
+    for mode in ("lines", "records"):
+        with pytest.raises(Exception, match="absent"):
+            read_fastq(spark, str(tmp_path / "absent.fastq"), mode).count()
+    with pytest.raises(ValueError):
+        read_fastq(spark, str(tmp_path), "other")
 
 
 def test_fasta_split_at_every_byte(tmp_path, monkeypatch):

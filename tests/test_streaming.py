@@ -23,7 +23,7 @@ def test_stream_counts_any_batch_size(spark, tmp_path):
     want = brute_counts(seqs, 4)
     for size in (1500, 10**9):
         folder = str(tmp_path / f"work{size}")
-        batches = incremental.plan_batches(f"{folder}/plan", path, batch_bytes=size)
+        batches = incremental.plan_batches(spark, f"{folder}/plan", path, batch_bytes=size)
         assert (batches > 1) == (size == 1500)
         reports = []
         counts = incremental.stream_counts(incremental.stream_kmers(spark, f"{folder}/plan", 4), folder, reports)
@@ -43,7 +43,7 @@ def test_arrivals_restart_and_new_unique(spark, tmp_path):
         seen |= fresh
         expected[i] = len(fresh)
         for work in (folder, other, third):
-            incremental.plan_batches(f"{work}/plan", [[path]], first=i)
+            incremental.plan_batches(spark, f"{work}/plan", [[path]], first=i)
         found = incremental.stream_new_unique(incremental.stream_kmers(spark, f"{folder}/plan", 5), folder)
         assert {r.batch: r.new_unique for r in found.collect()} == expected
         counts = incremental.stream_counts(incremental.stream_kmers(spark, f"{other}/plan", 5), other)
@@ -57,6 +57,6 @@ def test_arrivals_restart_and_new_unique(spark, tmp_path):
 
 def test_stream_without_batches(spark, tmp_path):
     folder = str(tmp_path)
-    assert incremental.plan_batches(f"{folder}/plan", write(tmp_path / "x.fastq", [])) == 0
+    assert incremental.plan_batches(spark, f"{folder}/plan", write(tmp_path / "x.fastq", [])) == 0
     stream = incremental.stream_kmers(spark, f"{folder}/plan", 5)
     assert incremental.stream_counts(stream, folder).count() == 0
