@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from helixtally.llm.common import partitions
-from helixtally.llm.slices import Sent, Slice, aligned, answers, bits, bounds_of, cut, first_names, more_names
+from helixtally.llm.slices import Sent, Slice, aligned, answered, answers, bits, bounds_of, cut, first_names, more_names
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
@@ -137,7 +137,7 @@ def _smallest(bodies: list[bytes]) -> list[bytes]:
 def _least(names: np.ndarray, own: np.ndarray, given: list[dict] | None, buckets: int) -> np.ndarray:
     """The smallest doc_id of each name over all slices."""
     bounds, least = bounds_of(names, buckets), own.copy()
-    for row in given or ():
+    for row in answered(given):
         a, z = bounds[row["bucket"]], bounds[row["bucket"] + 1]
         cut_at = (z - a + 7) // 8
         less = np.unpackbits(np.frombuffer(row["answer"][:cut_at], np.uint8), count=z - a).astype(bool)
@@ -157,10 +157,10 @@ def removed_words(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     buckets = 4 * partitions(docs)
     known = _Words()
     slices = cut(docs)
-    hits = answers(first_names(docs, lambda made: _block_names(_Text(made, known))[1], buckets), _hits, "hits")
+    hits = answers(first_names(docs, lambda made: _block_names(_Text(made, known))[1], buckets), _hits, "hits", buckets)
     asked = slices.join(hits, "slice", "left")
     second = more_names(asked, lambda made, given: _window_names(made, _Text(made, known), given, buckets)[2], buckets)
-    asked = asked.join(answers(second, _smallest, "smaller"), "slice", "left")
+    asked = asked.join(answers(second, _smallest, "smaller", buckets), "slice", "left")
 
     def results(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

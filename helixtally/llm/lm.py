@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from helixtally.llm.common import partitions, written
 from helixtally.llm.gru import Gru
-from helixtally.llm.slices import Slice, bounds_of, cut, first_names
+from helixtally.llm.slices import Slice, answered, bounds_of, cut, first_names
 
 FREQUENT, ENDINGS = 1024, 64
 SMOOTH = 0.1
@@ -214,7 +214,7 @@ def _scored(made: Slice, given: list[dict], corpus: Corpus, model: Gru, known: _
     tokens, stops = _tokens(made.texts, known)
     names, place = np.unique(tokens, return_inverse=True)
     bounds, totals = bounds_of(names, buckets), np.zeros(len(names), np.int64)
-    for row in given or ():
+    for row in answered(given):
         a, z = bounds[row["bucket"]], bounds[row["bucket"] + 1]
         totals[a:z] = np.frombuffer(row["answer"], "<u4" if len(row["answer"]) == 4 * (z - a) else "<i8")
     starts = np.concatenate(([0], stops[:-1]))

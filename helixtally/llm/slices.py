@@ -93,7 +93,7 @@ def bounds_of(names: np.ndarray, buckets: int) -> np.ndarray:
 
 def _rows(key: int, sent: Sent, buckets: int) -> pa.RecordBatch:
     bounds = bounds_of(sent[0], buckets)
-    full = np.nonzero(np.diff(bounds))[0]
+    full = np.union1d(np.nonzero(np.diff(bounds))[0], [key % buckets])  # one bucket answers in any case
     bodies = [sent[1][bounds[b] : bounds[b + 1]].tobytes() for b in full]
     columns = [pa.array(full, pa.int32()), pa.array([key] * len(full), pa.int64()), pa.array(bodies, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["bucket", "slice", "body"])
@@ -121,23 +121,36 @@ def more_names(asked: DataFrame, emit: Callable[..., Sent], buckets: int) -> Dat
     return asked.mapInArrow(batches, "bucket int, slice bigint, body binary")
 
 
-def answers(names: DataFrame, decide: Callable[[list[bytes]], list[bytes]], called: str) -> DataFrame:
-    """(slice, <called>): per slice its buckets' answers; decide gets a bucket's bodies and gives one answer each, or b""."""
+def answers(names: DataFrame, decide: Callable[[list[bytes]], list[bytes]], called: str, buckets: int) -> DataFrame:
+    """(slice, <called>): per slice its buckets' answers; decide gets a bucket's bodies and gives one answer each, or b"".
+
+    Every slice has an answer, be it empty; one that finds none was not cut as before.
+    """
 
     def bucket(rows: pa.Table) -> pa.Table:
-        given = decide(rows.column("body").to_pylist())
-        return pa.table(
-            {"slice": rows.column("slice"), "bucket": rows.column("bucket"), "answer": pa.array(given, pa.binary())}
-        ).filter(pa.array([bool(x) for x in given], pa.bool_()))
+        slices, bodies = rows.column("slice").to_pylist(), rows.column("body").to_pylist()
+        sent = iter(decide([b for b in bodies if b]) if any(bodies) else [])
+        said = [(s, next(sent) if b else b"") for s, b in zip(slices, bodies, strict=True)]
+        number = rows.column("bucket")[0].as_py()
+        said = [(s, a) for s, a in said if a or s % buckets == number]
+        columns = [pa.array([s for s, _ in said], pa.int64()), pa.array([number] * len(said), pa.int32()), pa.array([a for _, a in said], pa.binary())]
+        return pa.Table.from_arrays(columns, ["slice", "bucket", "answer"])
 
     given = names.groupBy("bucket").applyInArrow(bucket, "slice bigint, bucket int, answer binary")
     return given.groupBy("slice").agg(F.collect_list(F.struct("bucket", "answer")).alias(called))
 
 
+def answered(given: list[dict] | None) -> list[dict]:
+    """The answers that say something; it is an error to have none at all."""
+    if given is None:
+        raise ValueError("a second read of the documents gave other slices; write them to a table first")
+    return [row for row in given if row["answer"]]
+
+
 def aligned(names: np.ndarray, given: list[dict] | None, buckets: int) -> np.ndarray:
     """Answers of one bit per name, in the order of names."""
     bounds, mask = bounds_of(names, buckets), np.zeros(len(names), np.bool_)
-    for row in given or ():
+    for row in answered(given):
         a, z = bounds[row["bucket"]], bounds[row["bucket"] + 1]
         mask[a:z] = np.unpackbits(np.frombuffer(row["answer"], np.uint8), count=z - a)
     return mask

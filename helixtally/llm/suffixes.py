@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from helixtally.llm.common import partitions
-from helixtally.llm.slices import Sent, Slice, aligned, answers, bits, bounds_of, cut, first_names, more_names
+from helixtally.llm.slices import Sent, Slice, aligned, answered, answers, bits, bounds_of, cut, first_names, more_names
 
 LENGTH = 200
 SAMPLED = LENGTH // 4
@@ -162,7 +162,7 @@ def _judge_pairs(bodies: list[bytes]) -> list[bytes]:
 
 def _said(names: np.ndarray, given: list[dict] | None, buckets: int) -> np.ndarray:
     bounds, out = bounds_of(names, buckets), np.zeros((len(names), 2), np.bool_)
-    for row in given or ():
+    for row in answered(given):
         a, z = bounds[row["bucket"]], bounds[row["bucket"] + 1]
         out[a:z] = np.unpackbits(np.frombuffer(row["answer"], np.uint8), count=2 * (z - a)).reshape(-1, 2)
     return out
@@ -214,9 +214,9 @@ def removed_bytes(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     buckets = 4 * partitions(docs)
     slices = cut(docs, SLICE_BYTES)
     first = first_names(docs, lambda made: _distinct_pairs(_suffixes(made))[1], buckets, SLICE_BYTES)
-    asked = slices.join(answers(first, _judge_pairs, "pairs"), "slice", "left")
+    asked = slices.join(answers(first, _judge_pairs, "pairs", buckets), "slice", "left")
     second = more_names(asked, lambda made, given: _edge_names(_suffixes(made), given, buckets)[3], buckets)
-    asked = asked.join(answers(second, _judge_names, "edges"), "slice", "left")
+    asked = asked.join(answers(second, _judge_names, "edges", buckets), "slice", "left")
 
     def results(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

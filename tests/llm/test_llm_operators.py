@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from helixtally.llm import blocks, bpe, decontaminate, gru, lm, pages, quality, secret_scan, simhash, suffixes, toxicity
+from helixtally.llm import blocks, bpe, decontaminate, gru, lm, pages, quality, secret_scan, simhash, slices, suffixes, toxicity
 from helixtally.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -166,6 +166,12 @@ def test_blocks(docs, rows, empty):
     assert blocks.removed_words(empty).count() == 0
 
 
+def test_a_slice_without_answers_is_an_error():
+    with pytest.raises(ValueError, match="other slices"):
+        slices.aligned(np.zeros(3, np.uint64), None, 4)
+    assert not slices.aligned(np.zeros(3, np.uint64), [{"bucket": 1, "answer": b""}], 4).any()
+
+
 def test_pages(spark):
     article = "<article><h1>Head &amp; all</h1><p>Some <b>bo</b>ld text\n that  runs on.<br>More &eacute;.</p><div class='ad'>Buy</div><p>Be.</p></article>"
     page = (
