@@ -45,9 +45,9 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
         root = _local_folder()
-    if "://" not in root and not root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_KEY} must say its file system, such as hdfs:// or file://, for all to mean the same place")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)  # tasks and Spark then mean the same place
+    return f"{whole.toString().rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def delete(spark: SparkSession, folder: str) -> None:
