@@ -40,7 +40,15 @@ FEATURES = (
 TREES, DEPTH, SEED = 24, 6, 17
 LABELLED = 4096  # labelled findings that built_in_findings() makes
 
-_VALUE = "[A-Za-z0-9_+/\\\\-]{12,}={0,2}"
+#: A run of key letters; it is cut before a provider's prefix that stands at a boundary, so `path/ghp_...` holds ghp_... as a value of its own.
+_LETTER = "[A-Za-z0-9_+/\\\\-]"
+_RUN = f"{_LETTER}(?:(?!(?<![A-Za-z0-9])(?:{'|'.join(PREFIXES)})){_LETTER}){{11,}}+(?:={{1,2}}(?![=\"\\\\x27A-Za-z0-9_+/\\\\-]))?"
+#: Parts joined by dots, as in web tokens.
+_DOTTED = "eyJ[A-Za-z0-9_\\\\-]{6,}+(?:[.]+[A-Za-z0-9_\\\\-]+)++"
+_VALUE = f"(?:{_DOTTED}|{_RUN})"
+#: What stands before a value since the last one, the value, and '=' or ':' behind it.
+_EACH = f"\\\\G((?s:.*?))({_VALUE})(?=([\"\\\\x27]?[=:])?)"
+_NAMED = "[\"\\\\x27]?[=:]+[^A-Za-z0-9]*$"
 _SPACE_RUN = "[ \\\\t-\\\\r]+"
 
 
@@ -75,14 +83,21 @@ def _features(x: str, words: str, path: str) -> str:
 
 
 def _candidates(words: str) -> str:
-    """SQL for the candidates of an array of words: value, its name before '=' or ':', the two words before, whether assigned."""
-    value = f"regexp_extract(w, '({_VALUE})[^A-Za-z0-9]*$', 1)"
-    name = f"regexp_extract(w, '^[^A-Za-z]*([A-Za-z_.-]*)[=:]', 1)"
+    """SQL for the candidates of an array of words, in order: value, its name before '=' or ':', the two words before, whether assigned.
+
+    A word holds as many as it has values. Letters alone before '=' or ':' are a name, not a candidate.
+    """
+    each = lambda k: f"regexp_extract_all(w, '{_EACH}', {k})"
+    ahead = "concat(if(k > 0, get(p.values, k - 1), ''), get(p.gaps, k))"
+    name = f"regexp_extract({ahead}, '([A-Za-z0-9_.-]*){_NAMED}', 1)"
     before = f"concat(coalesce(get({words}, i - 2), ''), ' ', coalesce(get({words}, i - 1), ''))"
-    mark = f"w RLIKE '[=:][^=:]' OR coalesce(get({words}, i - 1), '') RLIKE '[=:]$'"
-    one = f"named_struct('place', i, 'value', {value}, 'name', {name}, 'before', {before}, 'mark', {mark})"
-    found = f"transform({words}, (w, i) -> CASE WHEN length(w) >= 12 AND (w RLIKE '[0-9]' OR w RLIKE '{_any(PREFIXES)}') AND w RLIKE '{_VALUE}' THEN {one} END)"
-    return f"filter({found}, c -> c.value <> '')"
+    first = f"k = 0 AND NOT get(p.gaps, 0) RLIKE '[A-Za-z0-9]' AND coalesce(get({words}, i - 1), '') RLIKE '[=:]$'"
+    one = f"named_struct('place', i, 'value', v, 'name', {name}, 'before', {before}, 'mark', {ahead} RLIKE '{_NAMED}' OR {first})"
+    is_name = f"get(p.after, k) <> '' AND NOT v RLIKE '[0-9]' AND NOT v RLIKE '^({_any(PREFIXES)})'"
+    parts = f"array(named_struct('gaps', {each(1)}, 'values', {each(2)}, 'after', {each(3)}))"
+    inside = f"flatten(transform({parts}, p -> filter(transform(p.values, (v, k) -> CASE WHEN NOT ({is_name}) THEN {one} END), c -> c IS NOT NULL)))"
+    likely = f"length(w) >= 12 AND (w RLIKE '[0-9]' OR w RLIKE '{_any(PREFIXES)}') AND w RLIKE '{_VALUE}'"
+    return f"flatten(filter(transform({words}, (w, i) -> CASE WHEN {likely} THEN {inside} END), c -> c IS NOT NULL))"
 
 
 def built_in_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
@@ -117,6 +132,14 @@ def built_in_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (f"concat('words ', translate(substr({h}, 1, 14), '0123456789abcdef', 'etaoinshrdlucmfw'), substr({digits}, 1, 4), ' then')", 0),
         (f"concat('sum ', substr({digits}, 1, 20), ', all told')", 0),
         (f"concat('sha ', substr({h}, 1, 24 + id % 40), ' is right')", 0),
+        (f"concat('get /a?token=ghp_', {mixed}, '&user=bob again')", 1),
+        (f"concat('{{\"aws_key\":\"AKIA', {base32}, '\",\"region\":\"eu-west-1\"}} read')", 1),
+        (f"concat('open postgres://app:', substr({mixed}, 1, 12 + id % 12), '@db.host:5432/prod first')", 1),
+        (f"concat('sent eyJ', substr({mixed}, 1, 20), '.eyJ', {mixed}, '.', substr({h}, 1, 3 + id % 30), ' on')", 1),
+        (f"concat('a=ASIA', {base32}, ';b=2 both')", 1),
+        (f"concat('at http://a.example.org/page-release/', substr({digits}, 1, 8), '?page=', id % 9, ' now')", 0),
+        (f"concat('{{\"order\":\"', substr({digits}, 1, 12 + id % 8), '\",\"n\":', id % 9, '}} sold')", 0),
+        (f"concat('{{\"commit\":\"', substr({h}, 1, 40), '\",\"n\":', id % 9, '}} done')", 0),
     )
     text = "CASE " + " ".join(f"WHEN id % {len(kinds)} = {i} THEN {t}" for i, (t, _) in enumerate(kinds)) + " END"
     label = "CASE " + " ".join(f"WHEN id % {len(kinds)} = {i} THEN {v}" for i, (_, v) in enumerate(kinds)) + " END"
@@ -138,7 +161,7 @@ def _tree_sql(lines: list[str], x: str) -> str:
 def fit(findings: DataFrame) -> str:
     """SQL for the share of trees that call a feature array `f` a secret.
 
-    findings: (text, path, label); the candidate of each text is its labelled string.
+    findings: (text, path, label); the first candidate of each text is its labelled string.
     """
     shaped = findings.select("path", "label", F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+").alias("words"))
     rows = shaped.select("*", F.expr(f"get({_candidates('words')}, 0)").alias("c")).where("c IS NOT NULL AND label IS NOT NULL")
@@ -169,7 +192,7 @@ def _path(docs: DataFrame) -> str | None:
 def scan(docs: DataFrame, labelled: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """(doc_id, place, value_sha256, shown, n_chars, score) per secret in docs; `shown` has four characters of it.
 
-    A word holds one candidate at most, its last. Null and empty texts hold none.
+    Every value of a word is a candidate. Null and empty texts hold none.
     Rows are scanned one by one, repeated ones alike; a column `source` serves as path.
     """
     forest = fit(labelled if labelled is not None else built_in_findings(docs.sparkSession))
@@ -188,7 +211,8 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[s
     """docs with every secret in its texts replaced by `mark`; n_chars, if there, follows the text."""
     forest = fit(labelled if labelled is not None else built_in_findings(docs.sparkSession))
     found = docs.withColumn("_found", findings("text", _path(docs), forest))
-    clean = F.aggregate("_found", F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
+    longest = F.array_sort("_found", lambda a, b: F.length(b["value"]) - F.length(a["value"]))  # a value may be part of a longer one
+    clean = F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
     found = found.withColumn("_clean", F.when(F.size("_found") > 0, clean))
     columns = {"text": F.coalesce("_clean", "text")}
     if "n_chars" in docs.columns:
