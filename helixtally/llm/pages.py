@@ -3,8 +3,10 @@
 Markup is stripped so that every block is a line; page furniture leaves blank lines,
 and link text counts for nothing. The text lengths of a few neighbouring lines are
 summed over a sliding window: the sum surges where running text begins and dives to
-nothing where it ends, and the text between is kept. Where a page marks its article,
-only surges inside it count.
+nothing where it ends, and the text between is kept if a block of it has more text of
+its own than link text, whatever else the page holds. Where a page marks its article,
+only surges inside it count. Headings and paragraphs that are links belong to the text
+they stand in or beside.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3  # lines per block sum
-LEAST_PEAK_PERCENT = 20  # of the page's highest sum that a surge must reach, where no article is marked
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -39,15 +40,19 @@ _OWNER = re.compile(r"(?:copyright\s*)?(?:©|\(c\))\s*\S", re.I)
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _WHOLE = {"html", "body", "article", "main"}
+#: Elements whose block belongs to the text beside it, be it all link.
+_JOINING = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 
 
 @dataclass
 class Line:
-    """A block of text; its own characters without those of links; whether it stands in the article."""
+    """A block of text; its own characters without those of links; the same less those of links, blanks left out; whether it stands in the article; its element."""
 
     text: list[str] = field(default_factory=list)
     own: int = 0
+    excess: int = 0
     article: bool = False
+    name: str = ""
 
 
 def lines_of(page: str) -> list[Line]:
@@ -68,6 +73,7 @@ def lines_of(page: str) -> list[Line]:
         text = page[at : tag.start() if tag else len(page)]
         if text and not skip:
             line.text.append(text)
+            line.excess += (-1 if links else 1) * len("".join(text.split()))
             if not links:
                 line.own += len(text)
         if not tag:
@@ -118,6 +124,7 @@ def lines_of(page: str) -> list[Line]:
                 lines += [Line() for _ in range(WINDOW)]
         else:
             broken()
+            line.name = "" if closing else name
     broken()
     return lines
 
@@ -131,10 +138,10 @@ def main_text(page: str | None) -> str:
             x.text = x.text if x.article else []
     texts = [" ".join(html.unescape("".join(x.text)).split()) for x in lines]
     marked = any(x.article for x in lines)
-    lengths = [len(t) if x.own and (marked or not _OWNER.match(t)) else 0 for t, x in zip(texts, lines, strict=True)]
+    joins = [bool(t) and x.name in _JOINING and (marked or not _OWNER.match(t)) for t, x in zip(texts, lines, strict=True)]
+    lengths = [len(t) if (x.own or marked and j) and (marked or not _OWNER.match(t)) else 0 for t, x, j in zip(texts, lines, joins, strict=True)]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    peak = max(sums, default=0)
-    kept, at = [], 0
+    kept, at, done = [], 0, 0
     while at < len(lengths):
         if not lengths[at]:
             at += 1
@@ -142,8 +149,13 @@ def main_text(page: str | None) -> str:
         dive = at  # the surge begins here; it ends where a whole window has no text
         while dive < len(lengths) and sums[dive]:
             dive += 1
-        if marked or max(sums[at:dive]) * 100 >= peak * LEAST_PEAK_PERCENT:
+        if marked or any(n and x.excess > 0 for n, x in zip(lengths[at:dive], lines[at:dive], strict=True)):
+            while at > done and joins[at - 1]:
+                at -= 1
+            while dive < len(lengths) and joins[dive] and not lengths[dive]:
+                dive += 1
             kept += [t for t in texts[at:dive] if t]
+            done = dive
         at = dive
     return " ".join(kept)
 

@@ -193,6 +193,17 @@ def test_pages(spark):
     assert pages.extracted(df.limit(0)).count() == 0
 
 
+def test_pages_keep_short_stretches_and_linked_titles():
+    ad = "<div class=ad>Buy</div>"
+    block = "<p>" + "word " * 10000 + "</p>"
+    page = f"<h1>A title</h1><div class=share>Share</div>{block}{ad}<p>The end.</p>{ad}<ul><li><a href=/>Home page</a></li><li><a href=/b>Other pages</a> 3</li></ul>"
+    assert pages.main_text(page).split("word")[0::10000] == ["A title ", " The end."]
+    linked = "<h2><a href=/t>Linked title</a></h2><p>Some text of the page.</p><p><a href=/m>All of it a link</a></p><ul><li><a href=/>Home</a></li></ul>"
+    want = "Linked title Some text of the page. All of it a link"
+    assert pages.main_text(f"<article>{linked}</article>") == pages.main_text(linked) == want
+    assert pages.main_text(f"<article><h1><a href=/t>Title</a></h1>{ad}<p>Text.</p>{ad}<p><a href=/>Link.</a></p></article>") == "Title Text. Link."
+
+
 def test_scores_are_unigram_bases_and_probabilities(docs, rows, empty):
     counts, out = Counter(), lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     tokens = [(i, [w.lower() for w in words_of(t)] + [b"\n"]) for i, t in rows]
