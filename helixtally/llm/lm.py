@@ -2,7 +2,7 @@
 
 Counts of all words of the training documents are gathered through packed slices: each
 slice sends its distinct words once and is answered with their counts. The network
-learns on a share of the training documents in parallel, averaging weights after each
+learns on all training documents in parallel, averaging weights after each
 round; it starts as the unigram model. It predicts frequent words and classes of endings;
 within a class of endings, the counts decide.
 """
@@ -27,7 +27,7 @@ from helixtally.llm.slices import Slice, answered, bounds_of, cut, first_names
 FREQUENT, ENDINGS = 1024, 64
 SMOOTH = 0.1
 FOLDS = 10  # a document is held out if crc32 of its id leaves no remainder
-SHARE, ROUNDS = 16, 2  # the network learns on one training document in SHARE, in so many rounds
+ROUNDS = 1  # of all training documents
 _LOW = np.uint64(ENDINGS - 1)
 _CACHED = 1_000_000
 _FAN, _LEVELS = 32, 4  # weights are averaged so many at a time, level by level
@@ -147,7 +147,7 @@ def _weights(corpus: Corpus) -> Gru:
 def _learn(docs: DataFrame, corpus: Corpus) -> np.ndarray:
     """The network's weights after all rounds."""
     spark = docs.sparkSession
-    train = docs.where(f"crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % {FOLDS} <> 0 AND pmod(xxhash64(doc_id), {SHARE}) = 0")
+    train = docs.where(f"crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % {FOLDS} <> 0 OR doc_id IS NULL")
     values = _weights(corpus).values
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((corpus, values))

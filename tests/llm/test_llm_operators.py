@@ -219,6 +219,17 @@ def test_scores_are_unigram_bases_and_probabilities(docs, rows, empty):
     assert lm.scores(empty).count() == 0
 
 
+def test_network_learns_on_every_training_document(spark, tmp_path, monkeypatch):
+    """Documents one by one, also one without an id: the weights move unless it is held out."""
+    learn, moved = lm._learn, []
+    monkeypatch.setattr(lm, "_learn", lambda docs, corpus: moved.append(bool((learn(docs, corpus) != lm._weights(corpus).values).any())) or lm._weights(corpus).values)
+    for i in (1, 2, 3, None):
+        path = str(tmp_path / f"{i}.parquet")
+        spark.createDataFrame([(i, "one two three four " * 30)], "doc_id bigint, text string").write.parquet(path)
+        held = lm.scores(spark.read.parquet(path)).first().held_out
+        assert moved.pop() is not held
+
+
 def test_network_is_normalised_and_learns():
     frequent, endings, rnd = 64, 4, np.random.default_rng(1)
     model = gru.Gru(frequent, endings)
