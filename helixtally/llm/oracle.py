@@ -76,4 +76,85 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM lost
 """
 
-ORACLE = {"op4_substring_dedup": OP4, "op7_quality_rules": OP7}
+OP11 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+  FROM words, unnest(range(1, 6)) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i)
+  GROUP BY ALL HAVING count(*) >= 100
+),
+longer_ones AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE m > 1),
+cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:m], ' ') AS two FROM longer_ones, unnest(range(1, m)) AS t(k)),
+scored AS (
+  SELECT lang, phrase, a, x.f AS l, y.f AS r, n, k,
+    CAST(1000::HUGEINT * a::HUGEINT * n::HUGEINT // (x.f::HUGEINT * y.f::HUGEINT) AS BIGINT) AS score
+  FROM cuts JOIN (SELECT lang, phrase AS one, f FROM grams) x USING (lang, one) JOIN (SELECT lang, phrase AS two, f FROM grams) y USING (lang, two) JOIN totals USING (lang)
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + p - 1], ' ') AS phrase, max(a) AS longer
+  FROM longer_ones, unnest(range(2, m)) AS s(p), unnest(range(1, m - p + 2)) AS t(i) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM lowest LEFT JOIN inside USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000
+"""
+
+OP12 = """
+WITH spread AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents
+),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM spread GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM sizes),
+held AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark
+),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(
+    CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // len)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN counted USING (term) JOIN sizes USING (doc_id), total
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+OP13 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b USING (label)
+  WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reached AS (
+  SELECT vec_id, vec_id AS other FROM vectors
+  UNION
+  SELECT r.vec_id, l.v FROM reached r JOIN links l ON l.u = r.other
+),
+named AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+sums AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM named LEFT JOIN sums USING (vec_id)
+"""
+
+ORACLE = {
+    "op4_substring_dedup": OP4,
+    "op7_quality_rules": OP7,
+    "op11_phrase_collocations": OP11,
+    "op12_ranked_search": OP12,
+    "op13_embedding_near_dedup": OP13,
+}

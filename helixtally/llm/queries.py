@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.llm import blocks, bpe, decontaminate, lm, pages, quality, secret_scan, simhash, suffixes, toxicity
+from helixtally.llm import blocks, bpe, decontaminate, embeddings, lm, pages, phrases, quality, search, secret_scan, simhash, suffixes, toxicity
 from helixtally.llm.common import table
 from helixtally.llm.oracle import ORACLE
 
@@ -60,6 +60,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_copies(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -71,4 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }

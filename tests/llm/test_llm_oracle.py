@@ -13,7 +13,8 @@ FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{FOLDER}/documents.parquet')")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
     got, want = QUERIES[name](spark, FOLDER), con.sql(ORACLE[name])
     assert sorted(got.columns) == sorted(want.columns)
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
