@@ -11,8 +11,8 @@ import numpy as np
 
 HIDDEN = 16
 CLASS_WORDS = 32  # frequent words per output class
-WINDOW, LANES = 32, 48  # truncated backpropagation: steps, and streams side by side
-RATE = 0.01
+WINDOW, LANES = 32, 512  # truncated backpropagation: steps, and streams side by side
+RATE = 0.03
 _FLUSH = 1 << 13  # states whose outputs are computed at once
 
 
@@ -54,7 +54,10 @@ class Gru:
         return z, r, n, g[:, 2 * HIDDEN :], n + z * (h - n)
 
     def _outputs(self, h: np.ndarray, ids: np.ndarray, grads: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probability of each id after each state; with grads, also the loss's slope at the states."""
+        """Log probability of each id after each state; with grads, also the loss's slope at the states.
+
+        An id of -1 stands for no token: its log probability is 0, and nothing is learnt from it.
+        """
         rows, kind = np.arange(len(ids)), self.class_of(ids)
         p = h @ self.out.T
         p += self.out_bias
@@ -65,29 +68,37 @@ class Gru:
         logs = own - np.log(total)
         back = None
         if grads is not None:
-            p /= total[:, None]
-            p[rows, kind] -= 1
+            p *= ((ids >= 0) / total)[:, None].astype(p.dtype)
+            p[rows, kind] -= ids >= 0
             back = p @ self.out
             grads.out += p.T @ h
             grads.out_bias += p.sum(0)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(self.blocks + 1))
+        order = np.argsort(np.where(ids < 0, len(self.out), kind).astype(np.int16), kind="stable")  # by class, no tokens last
+        bounds = np.searchsorted(kind[order][: int((ids >= 0).sum())], np.arange(self.blocks + 1))
+        order = order[: bounds[-1]]
+        states, mine = h[order], ids[order] % CLASS_WORDS
+        found = np.empty(len(order), logs.dtype)
+        slopes = np.empty_like(states)
         for k in np.flatnonzero(np.diff(bounds)):
-            at, block = order[bounds[k] : bounds[k + 1]], slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            q = h[at] @ self.word[block].T
+            at, block = slice(bounds[k], bounds[k + 1]), slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
+            q = states[at] @ self.word[block].T
             q += self.word_bias[block]
             q -= q.max()
-            inside, mine = np.arange(len(at)), ids[at] - k * CLASS_WORDS
-            own = q[inside, mine]
+            inside = np.arange(len(q))
+            own = q[inside, mine[at]]
             np.exp(q, out=q)
             total = q @ np.ones(q.shape[1], q.dtype)
-            logs[at] += own - np.log(total)
+            found[at] = own - np.log(total)
             if grads is not None:
                 q /= total[:, None]
-                q[inside, mine] -= 1
-                back[at] += q @ self.word[block]
-                grads.word[block] += q.T @ h[at]
+                q[inside, mine[at]] -= 1
+                slopes[at] = q @ self.word[block]
+                grads.word[block] += q.T @ states[at]
                 grads.word_bias[block] += q.sum(0)
+        logs[order] += found
+        logs[ids < 0] = 0
+        if grads is not None:
+            back[order] += slopes
         return logs, back
 
     def score(self, ids: np.ndarray, stops: np.ndarray, first: int) -> np.ndarray:
@@ -128,44 +139,68 @@ class Gru:
         out[order] = found
         return out
 
-    def train(self, ids: np.ndarray, first: int) -> None:
-        """One pass over ids (documents in a row, each ended by `first`): streams side by side, windows with carried state, Adam."""
+    def learner(self, first: int) -> Learner:
+        return Learner(self, first)
+
+
+class Learner:
+    """Truncated backpropagation with Adam, whose state lasts from one run of ids to the next."""
+
+    def __init__(self, model: Gru, first: int) -> None:
+        self.model, self.first, self.turn = model, first, 0
+        self.mean, self.spread = np.zeros_like(model.values), np.zeros_like(model.values)
+        self.grads = Gru(model.frequent, len(model.out) - model.blocks, np.zeros_like(model.values))
+
+    def learn(self, ids: np.ndarray) -> None:
+        """One pass over all ids (documents in a row, each ended by `first`): streams side by side, windows with carried state.
+
+        The streams' last places, where ids don't fill them, hold no token (-1).
+        """
+        if not len(ids):
+            return
         lanes = max(1, min(LANES, len(ids) // WINDOW))
-        steps = len(ids) // lanes
-        wanted = ids[: steps * lanes].reshape(lanes, steps).T
-        given = np.concatenate((np.full((1, lanes), first, ids.dtype), wanted[:-1]))
+        steps = -(-len(ids) // lanes)
+        wanted = np.concatenate((ids, np.full(steps * lanes - len(ids), -1, ids.dtype))).reshape(lanes, steps).T.copy()
+        given = np.concatenate((np.full((1, lanes), self.first, ids.dtype), np.maximum(wanted[:-1], 0)))
         h = np.zeros((lanes, HIDDEN), np.float32)
-        mean, spread = np.zeros_like(self.values), np.zeros_like(self.values)
-        for turn, at in enumerate(range(0, steps, WINDOW), 1):
-            grads = Gru(self.frequent, len(self.out) - self.blocks, np.zeros_like(self.values))
-            h = self._window(given[at : at + WINDOW], wanted[at : at + WINDOW], h, first, grads)
-            slope = grads.values / (lanes * min(WINDOW, steps - at))
-            mean += 0.1 * (slope - mean)
-            spread += 0.01 * (slope * slope - spread)
-            self.values -= RATE * (mean / (1 - 0.9**turn)) / (np.sqrt(spread / (1 - 0.99**turn)) + 1e-6)
-
-    def _window(self, given: np.ndarray, wanted: np.ndarray, h: np.ndarray, first: int, grads: Gru) -> np.ndarray:
+        values = self.model.values
+        for at in range(0, steps, WINDOW):
+            self.grads.values[:] = 0
+            h = self._window(given[at : at + WINDOW], wanted[at : at + WINDOW], h)
+            self.turn += 1
+            slope = self.grads.values / max(1, int((wanted[at : at + WINDOW] >= 0).sum()))
+            self.mean += 0.1 * (slope - self.mean)
+            self.spread += 0.01 * (slope * slope - self.spread)
+            values -= RATE * (self.mean / (1 - 0.9**self.turn)) / (np.sqrt(self.spread / (1 - 0.99**self.turn)) + 1e-6)
+
+    def _window(self, given: np.ndarray, wanted: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Adds the window's slopes to grads; the state after it."""
-        kept = []
+        model, grads, kept = self.model, self.grads, []
         states = np.empty((*given.shape, HIDDEN), np.float32)
-        for t, ids in enumerate(given):
-            h = h * (ids != first)[:, None]  # a document begins
-            z, r, n, g, new = self.step(self.table[ids], h)
+        inputs, goes_on = model.table[given], (given != self.first)[:, :, None].astype(np.float32)  # a document begins with an empty state
+        for t in range(len(given)):
+            h = h * goes_on[t]
+            z, r, n, g, new = model.step(inputs[t], h)
             kept.append((h, z, r, n, g))
             states[t] = h = new
-        _, back = self._outputs(states.reshape(-1, HIDDEN), wanted.reshape(-1), grads)
+        _, back = model._outputs(states.reshape(-1, HIDDEN), wanted.reshape(-1), grads)
         back = back.reshape(states.shape)
         slopes = np.empty((*given.shape, 3 * HIDDEN), np.float32)
+        inner = np.empty_like(slopes)
         later = np.zeros_like(h)
         for t in range(len(given) - 1, -1, -1):
             old, z, r, n, g = kept[t]
             d = back[t] + later
             dn = d * (1 - z) * (1 - n * n)
-            dz = d * (old - n) * z * (1 - z)
-            dr = dn * g * r * (1 - r)
-            slopes[t] = np.concatenate((dz, dr, dn), 1)
-            inner = np.concatenate((dz, dr, dn * r), 1)
-            grads.recurrent += old.T @ inner
-            later = (d * z + inner @ self.recurrent.T) * (given[t] != first)[:, None]
-        np.add.at(grads.table, given.reshape(-1), slopes.reshape(-1, 3 * HIDDEN))
+            slopes[t, :, :HIDDEN] = inner[t, :, :HIDDEN] = d * (old - n) * z * (1 - z)
+            slopes[t, :, HIDDEN : 2 * HIDDEN] = inner[t, :, HIDDEN : 2 * HIDDEN] = dn * g * r * (1 - r)
+            slopes[t, :, 2 * HIDDEN :] = dn
+            inner[t, :, 2 * HIDDEN :] = dn * r
+            later = (d * z + inner[t] @ model.recurrent.T) * goes_on[t]
+        olds = np.stack([k[0] for k in kept]).reshape(-1, HIDDEN)
+        grads.recurrent += olds.T @ inner.reshape(-1, 3 * HIDDEN)
+        every = given.reshape(-1)
+        order = np.argsort(every.astype(np.int16), kind="stable")
+        starts = np.flatnonzero(np.diff(every[order], prepend=-1))
+        grads.table[every[order][starts]] += np.add.reduceat(slopes.reshape(-1, 3 * HIDDEN)[order], starts, 0)
         return h

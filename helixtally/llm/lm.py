@@ -9,6 +9,7 @@ within a class of endings, the counts decide.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +45,12 @@ class _Names(dict):
         return found
 
 
+@functools.cache
+def _known() -> _Names:
+    """This process's names, so that the tasks of a worker share what they remember."""
+    return _Names()
+
+
 END = xxhash.xxh3_64_intdigest(b"\n") // ENDINGS * ENDINGS  # no word holds a line end
 
 
@@ -154,11 +161,12 @@ def _learn(docs: DataFrame, corpus: Corpus) -> np.ndarray:
 
         def batches(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             corpus, start = shared.value
-            known, model, seen = _Names(), Gru(FREQUENT, ENDINGS, start.copy()), 0
+            model, seen = Gru(FREQUENT, ENDINGS, start.copy()), 0
+            learner = model.learner(0)
             for part in parts:
                 texts = [t.as_py() or b"" for t in part.column(0).cast(pa.binary())]
-                tokens, _ = _tokens(texts, known)
-                model.train(corpus.ids(tokens), 0)
+                tokens, _ = _tokens(texts, _known())
+                learner.learn(corpus.ids(tokens))
                 seen += len(tokens)
             if seen:
                 group = TaskContext.get().partitionId() // _FAN
@@ -191,8 +199,7 @@ def scores(docs: DataFrame) -> DataFrame:
     docs must be a table; other columns are not read.
     """
     buckets = 4 * partitions(docs)
-    known = _Names()
-    sent = first_names(docs, lambda made: _slice_counts(made, known), buckets)
+    sent = first_names(docs, lambda made: _slice_counts(made, _known()), buckets)
     given = written(sent.groupBy("bucket").applyInArrow(_summed, "slice bigint, bucket int, answer binary"), "counts")
     corpus = _corpus(given.where("bucket < 0").select("answer").toLocalIterator())
     shared = docs.sparkSession.sparkContext.broadcast((corpus, _learn(docs, corpus)))
@@ -204,7 +211,7 @@ def scores(docs: DataFrame) -> DataFrame:
         model = Gru(FREQUENT, ENDINGS, values)
         for part in parts:
             for row in part.to_pylist():
-                yield _scored(Slice.unpacked(row["body"]), row["counts"], corpus, model, known, buckets)
+                yield _scored(Slice.unpacked(row["body"]), row["counts"], corpus, model, _known(), buckets)
 
     fields = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return asked.select("slice", "body", "counts").mapInArrow(batches, fields)

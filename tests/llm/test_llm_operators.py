@@ -219,6 +219,64 @@ def test_scores_are_unigram_bases_and_probabilities(docs, rows, empty):
     assert lm.scores(empty).count() == 0
 
 
+def plain_score(tokens, corpus, values):
+    """log10 probability of tokens, the end among them, one number at a time."""
+    size, hidden = lm.FREQUENT + lm.ENDINGS, gru.HIDDEN
+    blocks = lm.FREQUENT // gru.CLASS_WORDS
+    classes, flat = blocks + lm.ENDINGS, iter(values.tolist())
+    rows = lambda n, m: [[next(flat) for _ in range(m)] for _ in range(n)]
+    table, recurrent, out, (bias,) = rows(size, 3 * hidden), rows(hidden, 3 * hidden), rows(classes, hidden), rows(1, classes)
+    word, (word_bias,) = rows(lm.FREQUENT, hidden), rows(1, lm.FREQUENT)
+    place = {int(n): k for k, n in enumerate(corpus.frequent)}
+    names, totals = lm._Names(), corpus.ending_total
+    h, before, total = [0.0] * hidden, 0, 0.0
+    gate = lambda x: 1 / (1 + math.exp(-x))
+    share = lambda scores, k: scores[k] - math.log(sum(map(math.exp, scores)))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for token, count in tokens:
+        name = lm.END if token is None else names[token]
+        x, g = table[before], [dot(h, [recurrent[i][j] for i in range(hidden)]) for j in range(3 * hidden)]
+        z, r = ([gate(x[k + i] + g[k + i]) for i in range(hidden)] for k in (0, hidden))
+        n = [math.tanh(x[2 * hidden + i] + r[i] * g[2 * hidden + i]) for i in range(hidden)]
+        h = [n[i] + z[i] * (h[i] - n[i]) for i in range(hidden)]
+        scores = [dot(h, o) + b for o, b in zip(out, bias, strict=True)]
+        before = place.get(name, lm.FREQUENT + name % lm.ENDINGS)
+        if before < lm.FREQUENT:
+            first = before // gru.CLASS_WORDS * gru.CLASS_WORDS
+            total += share(scores, before // gru.CLASS_WORDS)
+            total += share([dot(h, word[k]) + word_bias[k] for k in range(first, first + gru.CLASS_WORDS)], before - first)
+        else:
+            kind = name % lm.ENDINGS
+            total += share(scores, blocks + kind) + math.log((count + 0.1) / (totals[kind] + 0.1 * (corpus.ending_distinct[kind] + 1)))
+    return total / math.log(10)
+
+
+def test_scores_match_a_plain_forward_pass(docs, rows, monkeypatch):
+    kept, learn = [], lm._learn
+    monkeypatch.setattr(lm, "_learn", lambda docs, corpus: kept.append((corpus, learn(docs, corpus))) or kept[-1][1])
+    got = sorted((r.n_tokens, round(r.base_score, 4), r.score) for r in lm.scores(docs).collect())
+    counts = Counter(w.lower() for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10 for w in words_of(t))
+    every = [[*((w.lower(), counts[w.lower()]) for w in words_of(t)), (None, 0)] for _, t in rows]
+    (corpus, values), short = kept[0], [w for w in every if len(w) < 200]
+    assert (values != lm._weights(corpus).values).any()
+    want = sorted((len(w), plain_score(w, corpus, values)) for w in short)
+    got = sorted((n, s) for n, _, s in got if n < 200)
+    assert len(got) == len(want) > 10
+    for (n, s), (m, t) in zip(got, want, strict=True):
+        assert n == m
+        assert abs(s - t) < 1e-3 * max(1, abs(t))
+
+
+def test_the_last_tokens_are_learnt():
+    """A run that fills no stream evenly: its last token moves the weights as any other."""
+    for size in (1, 5, 700, 33_001):
+        ids = np.full(size, 7)
+        model, other = (gru.Gru(32, 2) for _ in range(2))
+        model.learner(0).learn(ids)
+        other.learner(0).learn(np.append(ids[:-1], 9))
+        assert (model.word_bias[7], model.word_bias[9]) != (other.word_bias[7], other.word_bias[9])
+
+
 def test_network_learns_on_every_training_document(spark, tmp_path, monkeypatch):
     """Documents one by one, also one without an id: the weights move unless it is held out."""
     learn, moved = lm._learn, []
@@ -238,7 +296,7 @@ def test_network_is_normalised_and_learns():
     stops = np.arange(5, len(ids) + 1, 5)
     before = model.score(ids, stops, 0).sum()
     for _ in range(40):
-        model.train(ids, 0)
+        model.learner(0).learn(ids)
     assert model.score(ids, stops, 0).sum() > 0.2 * before
     every = np.arange(frequent + endings)
     assert np.isclose(np.exp(model.score(every, every + 1, 0)).sum(), 1, atol=1e-4)
@@ -261,8 +319,9 @@ def test_network_slopes():
             total -= m._outputs(h, w)[0].sum()
         return total
 
-    grads = gru.Gru(32, 2, np.zeros_like(model.values))
-    model._window(given, ids, start, 0, grads)
+    learner = gru.Learner(model, 0)
+    learner._window(given, ids, start)
+    grads = learner.grads
     for at in rnd.choice(model.values.size, 60, replace=False):
         step = np.zeros_like(model.values)
         step[at] = 1e-5
