@@ -10,7 +10,6 @@ An entry whose pair has changed since is stale and skipped. Work grows as the me
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -22,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixtally.llm.common import kept
+
 _LEAF = 8  # bits of a rank that its leaf bitmap tells apart
 _LOW = (1 << _LEAF) - 1
 _CACHED = 800_000  # pre-tokens whose ids a worker process remembers
@@ -120,12 +121,6 @@ class Vocabulary(dict):
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=1)
-def vocabulary_of(path: str, pattern: str) -> Vocabulary:
-    """The vocabulary of this process, so that the tasks of a worker share what they remember."""
-    return Vocabulary(path, pattern)
-
-
 def encoded(texts: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) per row; ids only if asked for.
 
@@ -141,7 +136,7 @@ def encoded(texts: DataFrame, path: str, pattern: str, keep_ids: bool = True) ->
             yield (len(packed) // 4, hashlib.sha256(packed).hexdigest(), back, *([np.frombuffer(packed, "<i4")] * keep_ids))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = vocabulary_of(path, pattern)
+        vocabulary = kept(("bpe", path, pattern), lambda: Vocabulary(path, pattern))
         for part in parts:
             for at in range(0, part.num_rows, 512):
                 some = part.slice(at, 512)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +54,16 @@ def word_array(text: Column) -> Column:
 def partitions(df: DataFrame, least: int = 1) -> int:
     """Partitions for work in Python: the session's shuffle partitions."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once per worker process; only the object of the last key is held.
+
+    Task functions travel by value and bring their modules' globals along, so what should
+    outlast a task lies in a module of the process itself.
+    """
+    store = vars(sys.modules.setdefault("kept_by_worker", types.ModuleType("kept_by_worker"))).setdefault("objects", {})
+    if key not in store:
+        store.clear()
+        store[key] = make()
+    return store[key]

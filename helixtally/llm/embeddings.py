@@ -26,17 +26,21 @@ from helixtally.llm.components import components
 
 COSINE = 0.98
 BLOCK_DIMS = 8
-TILE = 2048  # rows of one side of a comparison
+TILE = 1024  # rows of one side of a comparison
 CELL_ROWS = 1024  # rows a cell should hold; decides how many dimensions the grid has
 _BITS, _MIDDLE = 4, 8  # of a cell's place in one dimension
 _PIECE = 1 << 15  # linked pairs whose blocks are looked at at once
 _SLACK = 1e-9
 
 
-@functools.cache
+_ROTATIONS: dict[int, np.ndarray] = {}
+
+
 def rotation(dims: int) -> np.ndarray:
     """A fixed orthogonal matrix."""
-    return np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))[0]
+    if dims not in _ROTATIONS:
+        _ROTATIONS[dims] = np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))[0]
+    return _ROTATIONS[dims]
 
 
 def blocks_of(dims: int) -> list[slice]:

@@ -9,7 +9,6 @@ within a class of endings, the counts decide.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixtally.llm.common import partitions, written
+from helixtally.llm.common import kept, partitions, written
 from helixtally.llm.gru import Gru
 from helixtally.llm.slices import Slice, answered, bounds_of, cut, first_names
 
@@ -45,10 +44,9 @@ class _Names(dict):
         return found
 
 
-@functools.cache
 def _known() -> _Names:
     """This process's names, so that the tasks of a worker share what they remember."""
-    return _Names()
+    return kept(("lm",), _Names)
 
 
 END = xxhash.xxh3_64_intdigest(b"\n") // ENDINGS * ENDINGS  # no word holds a line end
