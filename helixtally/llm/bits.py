@@ -11,7 +11,7 @@ TABLE, _STRIPE = 1 << 27, 1 << 20  # bits of a table (16 MB, whatever the corpus
 
 
 def table_of(names: DataFrame) -> np.ndarray:
-    """The table of the column `name` (bigint) of names."""
+    """The table of the column `name` (bigint) of names; the low 27 bits of a name are its place."""
 
     def stripe(rows: pa.Table) -> pa.Table:
         body = np.zeros(_STRIPE, np.bool_)

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixtally.llm.bits import passes, table_of
 from helixtally.llm.common import written
 from helixtally.llm.words import WordHashes, rolling
 
@@ -32,10 +33,10 @@ LEAST = 100  # occurrences of a candidate
 FIRST = 2000  # phrases reported per language
 INSIDE_PERCENT = 100  # of a candidate's occurrences in a longer one that drop it
 TRIGGER = LONGEST - 1  # words of the window whose hash triggers
-EVERY = 32  # one window in so many triggers
+EVERY = 64  # one window in so many triggers
 _SEGMENT = 1 << 20  # bytes after which a text is cut at the end of a piece
-_TOKENS = 1 << 21  # that are counted at once
-_TABLE, _STRIPE = 1 << 27, 1 << 20  # bits of a table, and of one row of it
+_TOKENS = 1 << 22  # that are counted at once
+_BYTES = 8 << 20  # of chunks that are looked at together
 _END = b"."  # stands for the end of a piece; no word holds it
 
 _PLAIN = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256)).lower()
@@ -98,7 +99,7 @@ def dictionary(docs: DataFrame) -> DataFrame:
 class _Batch:
     """Chunks in a row: token hashes, which tokens begin n-grams, and how often; chunks end like pieces."""
 
-    def __init__(self, part: pa.RecordBatch, known: WordHashes) -> None:
+    def __init__(self, part: pa.Table, known: WordHashes) -> None:
         heads, bodies = zip(*(c.split(b" ", 1) for c in part.column(1).to_pylist()), strict=True)
         self.langs = part.column(0).to_pylist()
         kinds = {x: np.uint64(xxhash.xxh64_intdigest(x)) for x in set(self.langs)}
@@ -137,23 +138,27 @@ def _weighted(names: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndar
     return names[first], order[first], sums
 
 
-def _passes(table: np.ndarray, names: np.ndarray) -> np.ndarray:
-    at = names & np.uint64(_TABLE - 1)
-    return table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
-
-
 def _after(x: np.ndarray) -> np.ndarray:
     return np.append(x[1:], False)
 
 
 def _batches(parts: Iterator[pa.RecordBatch], known: WordHashes) -> Iterator[_Batch]:
+    held: list[pa.RecordBatch] = []
     for part in parts:
         if part.num_rows:
-            yield _Batch(part, known)
+            held.append(part)
+        if sum(p.nbytes for p in held) >= _BYTES:
+            yield _Batch(pa.Table.from_batches(held), known)
+            held = []
+    if held:
+        yield _Batch(pa.Table.from_batches(held), known)
 
 
 def _table(chunks: DataFrame, n: int, inside: np.ndarray | None, least: int) -> np.ndarray:
-    """The bit table of n-grams (1 or 2 words) that occur `least` times or more; bigrams of words that `inside` lets pass."""
+    """The bit table of n-grams (1 or 2 words) that occur `least` times or more; bigrams of words that `inside` lets pass.
+
+    Half of a hash names an n-gram here: those that share a name only let each other through.
+    """
     shared = chunks.sparkSession.sparkContext.broadcast(inside)
 
     def named(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +166,14 @@ def _table(chunks: DataFrame, n: int, inside: np.ndarray | None, least: int) ->
 
         def rows() -> pa.RecordBatch:
             found, _, sums = _weighted(np.concatenate(names), np.concatenate(times))
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(sums)], ["name", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(sums)], ["name", "n"])
 
         for made in _batches(parts, known):
             good = made.words(n) & made.own
             if n == 2:
-                passed = _passes(shared.value, made.grams(1))
+                passed = passes(shared.value, made.grams(1))
                 good &= passed & _after(passed)
-            names.append(made.grams(n)[good])
+            names.append(made.grams(n)[good].astype(np.uint32))
             times.append(made.times[good])
             held += len(names[-1])
             if held > _TOKENS:
@@ -177,18 +182,8 @@ def _table(chunks: DataFrame, n: int, inside: np.ndarray | None, least: int) ->
         if held:
             yield rows()
 
-    def stripe(rows: pa.Table) -> pa.Table:
-        body = np.zeros(_STRIPE, np.bool_)
-        body[rows.column("bit").to_numpy()] = True
-        return pa.table({"stripe": rows.column("stripe")[:1], "body": pa.array([np.packbits(body, bitorder="little").tobytes()], pa.binary())})
-
-    counted = chunks.mapInArrow(named, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.col("name").bitwiseAND(F.lit(_TABLE - 1))
-    bits = counted.select(F.floor(place / _STRIPE).cast("int").alias("stripe"), (place % _STRIPE).cast("int").alias("bit")).distinct()
-    out = np.zeros(_TABLE // 8, np.uint8)
-    for row in bits.groupBy("stripe").applyInArrow(stripe, "stripe int, body binary").toLocalIterator():  # _TABLE bits at most
-        out[row.stripe * (_STRIPE // 8) :][: _STRIPE // 8] = np.frombuffer(row.body, np.uint8)
-    return out
+    counted = chunks.mapInArrow(named, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    return table_of(counted.where(F.col("n") >= least))
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -201,7 +196,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for made in _batches(parts, known):
-            single, pairs = _passes(shared.value[0], made.grams(1)), _passes(shared.value[1], made.grams(2))
+            single, pairs = passes(shared.value[0], made.grams(1)), passes(shared.value[1], made.grams(2))
             every = made.words(1) & made.own
             _, place, sums = _weighted(made.kind[every], made.times[every])
             langs, texts, sizes, counts = [made.langs[made.chunk[np.flatnonzero(every)[p]]] for p in place], [""] * len(place), [0] * len(place), sums.tolist()
