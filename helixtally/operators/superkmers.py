@@ -166,7 +166,7 @@ def expand(records: np.ndarray, k: int) -> Iterator[np.ndarray]:
         yield np.minimum(forward, reverse)
 
 
-def _codes_of(stretches: pa.Array, k: int) -> Iterator[np.ndarray]:
+def codes_of(stretches: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Canonical codes of a column of packed records."""
     records = characters(stretches)[0].view(RECORD)
     for lo in range(0, len(records), _STEP):
@@ -186,7 +186,7 @@ def count_super_kmers(stretches: DataFrame, k: int) -> DataFrame:
     """Count table of super-k-mers; copies meet in one task and are combined by sorting there."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from tallies(values for batch in batches for values in _codes_of(batch.column(0), k))
+        yield from tallies(values for batch in batches for values in codes_of(batch.column(0), k))
 
     moved = stretches.repartition(F.col("bucket"), F.col("salt")).drop("bucket", "salt")
     tallied = moved.mapInArrow(tally, "kmer bigint, part bigint")

@@ -21,7 +21,7 @@ from helixtally.sources.fasta import read_fasta
 from helixtally.sources.fastq import count_fastq, fastq_kmers, fastq_lines, range_table, read_pair
 from helixtally.sources.ranges import DEFAULT_SPLIT
 from helixtally.sources.text_reads import text_reads
-from helixtally.streaming import incremental
+from helixtally.streaming import buckets, incremental
 
 K = 21
 BATCHES = 9
@@ -418,14 +418,27 @@ def fasta_roundtrip(spark, folder):
     return spelled(counting.count_kmers(read_fasta(spark, target, K), K))
 
 
-@query
-def stream_counts(spark, folder):
-    """Counts from a stream that takes the reads in at least five micro-batches."""
+def _five_batches(spark, folder) -> str:
+    """A work folder with the reads planned as five batches or more."""
     work = shared_folder(spark, "stream")
     write_fastq(reads(spark, folder), f"{work}/reads")
     sizes = range_table(spark, f"{work}/reads", splittable=False)
     batch = max(1, (sizes.agg(F.sum("size")).first()[0] or 0) // 5)
     incremental.plan_batches(spark, f"{work}/plan", f"{work}/reads", batch, split_bytes=min(DEFAULT_SPLIT, -(-batch // 8)))
+    return work
+
+
+@query
+def stream_bucket_counts(spark, folder):
+    """Counts from such a stream with one state entry per minimizer bucket, read off the state itself."""
+    work = _five_batches(spark, folder)
+    return spelled(buckets.stream_bucket_counts(buckets.stream_super_kmers(spark, f"{work}/plan", K), work, K))
+
+
+@query
+def stream_counts(spark, folder):
+    """Counts from a stream that takes the reads in at least five micro-batches."""
+    work = _five_batches(spark, folder)
     stream = incremental.stream_kmers(spark, f"{work}/plan", K)
     return spelled(incremental.stream_counts(stream, work))
 

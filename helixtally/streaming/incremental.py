@@ -15,14 +15,17 @@ Two ways to keep counts:
 
 from __future__ import annotations
 
+import json
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from helixtally.functions import bases
 from helixtally.operators import codes
@@ -89,12 +92,15 @@ def stream_kmers(
                     owner = pa.repeat(pa.scalar(number, pa.int32()), part.num_rows)
                     yield pa.RecordBatch.from_arrays([owner, *part.columns], names=["batch", "kmer", "part"])
 
-    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(
-        spark._jvm.org.apache.hadoop.fs.Path(folder)
-    )
+    return one_by_one(planned_ranges(spark, folder, batches_per_trigger)).mapInArrow(extract, "batch int, kmer bigint, part bigint")
+
+
+def planned_ranges(spark: SparkSession, folder: str, batches_per_trigger: int) -> DataFrame:
+    """The planned batches as a stream of byte ranges."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     planned = spark.readStream.schema(BATCH_SCHEMA).option("maxFilesPerTrigger", batches_per_trigger)
-    planned = planned.option("recursiveFileLookup", "true").json(folder)
-    return one_by_one(planned).mapInArrow(extract, "batch int, kmer bigint, part bigint")
+    return planned.option("recursiveFileLookup", "true").json(folder)
 
 
 @contextmanager
@@ -110,25 +116,69 @@ def _state_store(spark: SparkSession):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def _run(stream: DataFrame, write, checkpoint: str, mode: str, progress: list | None) -> None:
+#: Gets Spark's report of a micro-batch: rows, durations, state size.
+Each = Callable[[dict], None]
+
+
+class Reports(StreamingQueryListener):
+    """Hands every report of one query on as it comes; ``ended`` is set behind the last one."""
+
+    def __init__(self, each: Each) -> None:
+        self.each, self.run_id, self.early, self.ended = each, None, [], threading.Event()
+
+    def of(self, run_id: str) -> None:
+        """The query is known only after its start, when reports may be here already."""
+        self.run_id = run_id
+        early, self.early = self.early, []
+        for kind, owner, report in early:
+            self._take(kind, owner, report)
+
+    def _take(self, kind: str, owner: str, report: dict | None) -> None:
+        if self.run_id is None:
+            self.early.append((kind, owner, report))
+        elif owner == self.run_id and kind == "ended":
+            self.ended.set()
+        elif owner == self.run_id:
+            self.each(report)
+
+    def onQueryStarted(self, event: object) -> None:
+        pass
+
+    def onQueryIdle(self, event: object) -> None:
+        pass
+
+    def onQueryProgress(self, event: object) -> None:
+        self._take("progress", str(event.progress.runId), json.loads(event.progress.json))
+
+    def onQueryTerminated(self, event: object) -> None:
+        self._take("ended", str(event.runId), None)
+
+
+def run(stream: DataFrame, write: Callable, checkpoint: str, mode: str, each: Each | None = None) -> None:
     """Work off everything planned so far; a later call with the same checkpoint goes on from there.
 
-    ``progress`` receives Spark's report of each micro-batch: rows, durations, state size.
+    ``each`` gets the report of a micro-batch while the next one runs, however many there are.
     """
-    with _state_store(stream.sparkSession):
-        query = (
-            stream.writeStream.outputMode(mode)
-            .option("checkpointLocation", checkpoint)
-            .foreachBatch(write)
-            .trigger(availableNow=True)
-            .start()
-        )
-    query.awaitTermination()
-    if progress is not None:
-        progress.extend(query.recentProgress)
-
-
-def _writer(out: str, prepare=lambda df: df):
+    spark = stream.sparkSession
+    reports = Reports(each or (lambda report: None))
+    spark.streams.addListener(reports)
+    try:
+        with _state_store(spark):
+            query = (
+                stream.writeStream.outputMode(mode)
+                .option("checkpointLocation", checkpoint)
+                .foreachBatch(write)
+                .trigger(availableNow=True)
+                .start()
+            )
+        reports.of(str(query.runId))
+        query.awaitTermination()
+        reports.ended.wait(60)
+    finally:
+        spark.streams.removeListener(reports)
+
+
+def writer(out: str, prepare=lambda df: df):
     """Write a micro-batch to its own folder; a repeated micro-batch replaces it."""
 
     def write(df: DataFrame, epoch: int) -> None:
@@ -144,13 +194,14 @@ def _folders(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in found or ()]
 
 
-def _written(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    """Everything written to folders that match; empty before the first."""
+def written(spark: SparkSession, out: str, schema: str, folder: str | None = None) -> DataFrame:
+    """Everything written to folders that match; empty before the first. ``folder``: where the names of partitions begin."""
     found = _folders(spark, out)
-    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+    reader = spark.read.option("basePath", folder) if folder else spark.read
+    return reader.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
-def stream_counts(kmers: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
+def stream_counts(kmers: DataFrame, folder: str, each: Each | None = None) -> DataFrame:
     """Run the stateful count over the stream; returns the count table (kmer, n).
 
     Each epoch holds the new counts of the k-mers it touched. Counts only grow, so the
@@ -158,11 +209,11 @@ def stream_counts(kmers: DataFrame, folder: str, progress: list | None = None) -
     table and deleted, so what is kept doesn't grow with the number of batches.
     """
     spark, schema = kmers.sparkSession, "kmer bigint, n bigint"
-    _run(count_tallies(kmers), _writer(f"{folder}/counts"), f"{folder}/checkpoint", "update", progress)
+    run(count_tallies(kmers), writer(f"{folder}/counts"), f"{folder}/checkpoint", "update", each)
     old = _folders(spark, f"{folder}/table-*")
     epochs = _folders(spark, f"{folder}/counts/epoch=*")
     if not epochs:
-        return _written(spark, f"{folder}/table-*", schema)
+        return written(spark, f"{folder}/table-*", schema)
     every = spark.read.schema(schema).parquet(*epochs, *old)
     table = f"{folder}/table-{uuid.uuid4().hex}"
     every.groupBy("kmer").agg(F.max("n").alias("n")).write.parquet(table)
@@ -171,7 +222,7 @@ def stream_counts(kmers: DataFrame, folder: str, progress: list | None = None) -
     return spark.read.schema(schema).parquet(table)
 
 
-def stream_new_unique(kmers: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
+def stream_new_unique(kmers: DataFrame, folder: str, each: Each | None = None) -> DataFrame:
     """Run stateful de-duplication; returns (batch, new_unique): k-mers first seen in each batch.
 
     The stream must take one batch per trigger. First means first to arrive, so
@@ -183,19 +234,19 @@ def stream_new_unique(kmers: DataFrame, folder: str, progress: list | None = Non
     def per_batch(df: DataFrame) -> DataFrame:
         return df.groupBy("batch").agg(F.count(F.lit(1)).alias("new_unique"))
 
-    _run(kmers.dropDuplicates(["kmer"]), _writer(f"{folder}/new", per_batch), f"{folder}/checkpoint", "append", progress)
-    written = _written(kmers.sparkSession, f"{folder}/new/epoch=*", "batch int, new_unique bigint")
-    return written.groupBy("batch").agg(F.sum("new_unique").alias("new_unique"))
+    run(kmers.dropDuplicates(["kmer"]), writer(f"{folder}/new", per_batch), f"{folder}/checkpoint", "append", each)
+    found = written(kmers.sparkSession, f"{folder}/new/epoch=*", "batch int, new_unique bigint")
+    return found.groupBy("batch").agg(F.sum("new_unique").alias("new_unique"))
 
 
-def stream_deltas(kmers: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
+def stream_deltas(kmers: DataFrame, folder: str, each: Each | None = None) -> DataFrame:
     """Count every batch on its own, without a state store; returns (batch, kmer, n)."""
 
     def per_batch(df: DataFrame) -> DataFrame:
         return df.groupBy("batch", "kmer").agg(F.sum("part").alias("n"))
 
-    _run(kmers, _writer(f"{folder}/deltas", per_batch), f"{folder}/checkpoint", "append", progress)
-    return _written(kmers.sparkSession, f"{folder}/deltas/epoch=*", "batch int, kmer bigint, n bigint")
+    run(kmers, writer(f"{folder}/deltas", per_batch), f"{folder}/checkpoint", "append", each)
+    return written(kmers.sparkSession, f"{folder}/deltas/epoch=*", "batch int, kmer bigint, n bigint")
 
 
 def merge_deltas(deltas: DataFrame) -> DataFrame:

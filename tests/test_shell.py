@@ -26,7 +26,9 @@ def test_shell(spark, tmp_path, capsys):
         got = numbers(out)
         assert (got["unique 5-mers"], got["total 5-mers"]) == (str(len(want)), str(want.total()))
         assert {b: int(f) for b, f in got.items() if b.isdigit()} == hist
-        assert ("batch 0" in out) == (extra[0] == "-b")
+        assert ("batch 0\tnew kmers " in out) == (extra[0] == "-b")
+        assert out.index("phase listing files") < out.index("unique 5-mers")
+        assert ("phase planning 1 batches" in out) == (extra[0] == "-b")
     target = str(tmp_path / "out")
     run_counts.main([str(one), str(two), "-k", "5", "--min", "2", "--max", "9", "--hist-all", "-o", target], spark)
     got = numbers(capsys.readouterr().out)

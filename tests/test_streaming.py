@@ -4,7 +4,11 @@ import random
 
 from conftest import brute_counts, collected
 
-from helixtally.streaming import incremental
+import numpy as np
+from pyspark.sql import functions as F
+
+from helixtally.operators import superkmers
+from helixtally.streaming import buckets, incremental
 
 
 def write(path, seqs):
@@ -26,7 +30,7 @@ def test_stream_counts_any_batch_size(spark, tmp_path):
         batches = incremental.plan_batches(spark, f"{folder}/plan", path, batch_bytes=size)
         assert (batches > 1) == (size == 1500)
         reports = []
-        counts = incremental.stream_counts(incremental.stream_kmers(spark, f"{folder}/plan", 4), folder, reports)
+        counts = incremental.stream_counts(incremental.stream_kmers(spark, f"{folder}/plan", 4), folder, reports.append)
         assert collected(counts, 4) == want
         assert len([r for r in reports if r["numInputRows"]]) == batches
 
@@ -60,3 +64,71 @@ def test_stream_without_batches(spark, tmp_path):
     assert incremental.plan_batches(spark, f"{folder}/plan", write(tmp_path / "x.fastq", [])) == 0
     stream = incremental.stream_kmers(spark, f"{folder}/plan", 5)
     assert incremental.stream_counts(stream, folder).count() == 0
+
+
+def bucket_counts(spark, work, k, each=None):
+    return buckets.stream_bucket_counts(buckets.stream_super_kmers(spark, f"{work}/plan", k, buckets=16), work, k, each)
+
+
+def test_bucket_state_over_restarts(spark, tmp_path):
+    """Each call is a restarted query that goes on from the bucket entries; repeated text makes a hot bucket."""
+    work, everything, new = str(tmp_path / "work"), [], []
+    for i in range(3):
+        seqs = [*make(i, 12), "ACGT" * 40]
+        everything += seqs
+        incremental.plan_batches(spark, f"{work}/plan", [[write(tmp_path / f"part{i}.fastq", seqs)]], first=i)
+        reports = []
+        assert collected(bucket_counts(spark, work, 9, reports.append), 9) == brute_counts(everything, 9)
+        new += [r["observedMetrics"]["batch"]["new_kmers"] for r in reports if r["numInputRows"]]
+    assert sum(new) == len(brute_counts(everything, 9))
+    assert collected(bucket_counts(spark, work, 9), 9) == brute_counts(everything, 9)  # nothing new: nothing is counted twice
+    found = buckets.batch_reports(spark, work)
+    assert found.agg(F.sum("occurrences")).first()[0] == brute_counts(everything, 9).total()
+    assert found.select("epoch").distinct().count() == 3
+    state = spark.read.format("statestore").option("stateVarName", "counts").load(f"{work}/checkpoint")
+    assert state.count() == found.select("bucket", "salt").distinct().count() <= 16  # one entry per bucket
+
+
+def test_bucket_state_with_salts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(superkmers, "HOT_ROWS", 4)
+    monkeypatch.setattr(superkmers, "HOT_SHARE", 2)
+    work, seqs = str(tmp_path / "work"), ["ACGTTGCA" * 30] * 40 + make(5, 20)
+    path = write(tmp_path / "x.fastq", seqs)
+    incremental.plan_batches(spark, f"{work}/plan", path, batch_bytes=3000)
+    assert collected(bucket_counts(spark, work, 7), 7) == brute_counts(seqs, 7)
+    assert buckets.batch_reports(spark, work).where("salt > 0").count()
+
+
+def test_bucket_state_without_batches(spark, tmp_path):
+    work = str(tmp_path)
+    incremental.plan_batches(spark, f"{work}/plan", write(tmp_path / "x.fastq", []))
+    assert bucket_counts(spark, work, 5).count() == 0
+
+
+def test_merged_arrays():
+    rng = np.random.default_rng(0)
+    old = (np.empty(0, np.int64), np.empty(0, np.int64))
+    want = {}
+    for _ in range(20):
+        kmers = np.unique(rng.integers(0, 200, rng.integers(0, 60)))
+        n = rng.integers(1, 9, len(kmers))
+        for a, b in zip(kmers.tolist(), n.tolist(), strict=True):
+            want[a] = want.get(a, 0) + b
+        old = buckets.merged(old, kmers, n)
+        assert (np.diff(old[0]) > 0).all()
+    assert dict(zip(old[0].tolist(), old[1].tolist(), strict=True)) == want
+
+
+def test_a_report_for_every_batch_while_it_runs(spark, tmp_path):
+    """150 micro-batches give 150 reports, each before the query has ended."""
+    folder = str(tmp_path / "many")
+    paths = [[write(tmp_path / f"{i}.fastq", ["ACGTACGTAA"])] for i in range(2)]
+    incremental.plan_batches(spark, f"{folder}/plan", paths)
+    one = spark.read.schema(incremental.BATCH_SCHEMA).json(f"{folder}/plan").drop("file").limit(1).collect()[0]
+    for i in range(150):
+        spark.createDataFrame([one], incremental.BATCH_SCHEMA).coalesce(1).write.mode("append").json(f"{folder}/more/{i}")
+    seen, last = [], []
+    stream = incremental.planned_ranges(spark, f"{folder}/more", 1)
+    incremental.run(stream, lambda df, epoch: last.append((epoch, len(seen))), str(tmp_path / "checkpoint"), "append", lambda r: seen.append(r["batchId"]))
+    assert sorted(seen) == list(range(150))
+    assert last[-1][1] > 100  # most lines were out before the last batch began
