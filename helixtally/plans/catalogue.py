@@ -435,6 +435,15 @@ def stream_bucket_counts(spark, folder):
     return spelled(buckets.stream_bucket_counts(buckets.stream_super_kmers(spark, f"{work}/plan", K), work, K))
 
 
+@query
+def stream_source_counts(spark, folder):
+    """Counts from format("fastq") as a stream over a folder of files, a fifth of the bytes admitted at a time."""
+    work = shared_folder(spark, "stream")
+    write_fastq(reads(spark, folder), f"{work}/reads")
+    total = range_table(spark, f"{work}/reads", splittable=False).agg(F.sum("size")).first()[0] or 0
+    return spelled(buckets.stream_source_counts(spark, f"{work}/reads", work, K, max(1, -(-total // 5))))
+
+
 @query
 def stream_counts(spark, folder):
     """Counts from a stream that takes the reads in at least five micro-batches."""

@@ -221,6 +221,7 @@ SELECT scheme, parts, hi AS max_unique, lo AS min_unique,
     "fastq_lines_roundtrip": _TABLE,
     "fasta_roundtrip": _TABLE,
     "stream_bucket_counts": _TABLE,
+    "stream_source_counts": _TABLE,
     "stream_counts": _TABLE,
     "batch_new_unique": _NEW,
     "stream_new_unique": _NEW,

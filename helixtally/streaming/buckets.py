@@ -26,7 +26,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from helixtally.functions import bases
 from helixtally.operators import codes, superkmers
 from helixtally.operators.windows import tallies
-from helixtally.sources.fastq import as_ranges, one_by_one, range_super_kmers
+from helixtally.sources.fastq import as_ranges, one_by_one, range_super_kmers, register_sources
 from helixtally.streaming.incremental import Each, planned_ranges, run, written, writer
 
 BUCKETS = 128
@@ -88,7 +88,17 @@ def stream_super_kmers(
     return one_by_one(planned_ranges(spark, folder, batches_per_trigger)).mapInArrow(extract, superkmers.SCHEMA)
 
 
-def stream_bucket_counts(stretches: DataFrame, folder: str, k: int = bases.DEFAULT_K, each: Each | None = None) -> DataFrame:
+def stream_source_counts(
+    spark: SparkSession, paths: str | list[str], folder: str, k: int = bases.DEFAULT_K, bytes_per_trigger: int = 1 << 30, buckets: int = BUCKETS, each: Each | None = None
+) -> DataFrame:
+    """The same straight from folders in which FASTQ files arrive, in mode "records", without planned batches."""
+    register_sources(spark)
+    options = {"superkmers": k, "buckets": buckets, "bytesPerTrigger": bytes_per_trigger}
+    stretches = spark.readStream.format("fastq").options(**options).load(paths)
+    return stream_bucket_counts(stretches, folder, k, each, until_empty=True)
+
+
+def stream_bucket_counts(stretches: DataFrame, folder: str, k: int = bases.DEFAULT_K, each: Each | None = None, until_empty: bool = False) -> DataFrame:
     """Run the count over the stream of super-k-mers; returns the count table (kmer, n).
 
     A later call with the same folder goes on from the state it finds there. ``each``
@@ -97,7 +107,7 @@ def stream_bucket_counts(stretches: DataFrame, folder: str, k: int = bases.DEFAU
     """
     sums = [F.sum(c).alias(c) for c in ("new_kmers", "touched", "occurrences")]
     counted = stretches.groupBy("bucket", "salt").transformWithStateInPandas(BucketCounts(k), REPORT, "Update", "None").observe("batch", *sums)
-    run(counted, writer(f"{folder}/reports"), f"{folder}/checkpoint", "update", each)
+    run(counted, writer(f"{folder}/reports"), f"{folder}/checkpoint", "update", each, until_empty)
     return bucket_table(stretches.sparkSession, folder)
 
 

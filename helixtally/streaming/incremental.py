@@ -154,25 +154,28 @@ class Reports(StreamingQueryListener):
         self._take("ended", str(event.runId), None)
 
 
-def run(stream: DataFrame, write: Callable, checkpoint: str, mode: str, each: Each | None = None) -> None:
+def run(stream: DataFrame, write: Callable, checkpoint: str, mode: str, each: Each | None = None, until_empty: bool = False) -> None:
     """Work off everything planned so far; a later call with the same checkpoint goes on from there.
 
     ``each`` gets the report of a micro-batch while the next one runs, however many there are.
+    ``until_empty`` asks the source again and again until it has nothing more, for sources that
+    admit a part of what they have at a time.
     """
     spark = stream.sparkSession
     reports = Reports(each or (lambda report: None))
     spark.streams.addListener(reports)
     try:
         with _state_store(spark):
-            query = (
-                stream.writeStream.outputMode(mode)
-                .option("checkpointLocation", checkpoint)
-                .foreachBatch(write)
-                .trigger(availableNow=True)
-                .start()
-            )
+            writing = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
+            query = (writing if until_empty else writing.trigger(availableNow=True)).start()
         reports.of(str(query.runId))
-        query.awaitTermination()
+        if until_empty:
+            try:
+                query.processAllAvailable()
+            finally:
+                query.stop()
+        else:
+            query.awaitTermination()
         reports.ended.wait(60)
     finally:
         spark.streams.removeListener(reports)

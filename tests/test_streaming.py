@@ -1,13 +1,16 @@
 """Incremental counting equals counting in one go, also over a restart."""
 
+import gzip
 import random
 
+import numpy as np
+import pytest
 from conftest import brute_counts, collected
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from helixtally.operators import superkmers
+from helixtally.sources.fastq import register_sources
 from helixtally.streaming import buckets, incremental
 
 
@@ -132,3 +135,43 @@ def test_a_report_for_every_batch_while_it_runs(spark, tmp_path):
     incremental.run(stream, lambda df, epoch: last.append((epoch, len(seen))), str(tmp_path / "checkpoint"), "append", lambda r: seen.append(r["batchId"]))
     assert sorted(seen) == list(range(150))
     assert last[-1][1] > 100  # most lines were out before the last batch began
+
+
+def take_all(spark, paths, work, batches, **options):
+    """Work off what has arrived as a query that starts (again), and stop it; the rows of each micro-batch."""
+    def keep(df, epoch):
+        df.write.mode("overwrite").parquet(f"{work}/out/epoch={epoch}")
+        batches.add(epoch)
+
+    stream = spark.readStream.format("fastq").options(**options).load(paths)
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{work}/checkpoint").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def test_fastq_source_as_a_stream(spark, tmp_path):
+    """Arrivals, restarts and any admission give each record once."""
+    register_sources(spark)
+    records = [(f"r{i}", s) for i, s in enumerate(make(3, 90))]
+    text = lambda rows: "".join(f"@{n}\n{s}\n+\n{'@' * len(s)}\n" for n, s in rows)
+    for size, split in ((1500, 300), (40, 1 << 20), (1 << 20, 997)):
+        folder, work, batches = tmp_path / f"in{size}", str(tmp_path / f"work{size}"), set()
+        folder.mkdir()
+        arrivals = (records[:4], [], records[4:6]) if size == 40 else (records[:40], [], records[40:70], records[70:])
+        for i, part in enumerate(arrivals):
+            if part:
+                (folder / f"{9 - i}.fastq").write_text(text(part))
+            if i == 2:
+                with gzip.open(folder / "0.fastq.gz", "wt") as packed:
+                    packed.write(text([("z", "ACGT")]))
+            options = {"bytesPerTrigger": size, "splitBytes": split, "columns": "read_id,seq"}
+            take_all(spark, str(folder), work, batches, **options)
+        got = sorted(tuple(r) for r in spark.read.parquet(f"{work}/out").select("read_id", "seq").collect())
+        assert got == sorted([*(r for part in arrivals for r in part), ("z", "ACGT")])
+        assert len(batches) > (4 if size < 1 << 20 else 2)
+    counted = buckets.stream_source_counts(spark, str(folder), str(tmp_path / "counts"), 5, bytes_per_trigger=2000)
+    assert collected(counted, 5) == brute_counts([*(s for part in arrivals for _, s in part), "ACGT"], 5)
+    with pytest.raises(Exception, match="bytesPerTrigger"):
+        take_all(spark, str(folder), str(tmp_path / "bad"), set(), bytesPerTrigger=0)
