@@ -25,7 +25,7 @@ from helixtally.llm.common import kept
 
 _LEAF = 8  # bits of a rank that its leaf bitmap tells apart
 _LOW = (1 << _LEAF) - 1
-_CACHED = 800_000  # pre-tokens whose ids a worker process remembers
+_CACHED = 300_000  # pre-tokens whose ids a worker process remembers
 
 
 class Vocabulary(dict):

@@ -29,7 +29,7 @@ SMOOTH = 0.1
 FOLDS = 10  # a document is held out if crc32 of its id leaves no remainder
 ROUNDS = 1  # of all training documents
 _LOW = np.uint64(ENDINGS - 1)
-_CACHED = 1_000_000
+_CACHED = 400_000
 _FAN, _LEVELS = 32, 4  # weights are averaged so many at a time, level by level
 
 
