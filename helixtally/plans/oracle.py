@@ -219,6 +219,7 @@ SELECT scheme, parts, hi AS max_unique, lo AS min_unique,
        round((hi - mean) / mean, 6) AS over, round((mean - lo) / mean, 6) AS under FROM spans""",
     "fastq_roundtrip": _TABLE,
     "fastq_lines_roundtrip": _TABLE,
+    "fastq_wrapped_roundtrip": _TABLE,
     "fasta_roundtrip": _TABLE,
     "stream_bucket_counts": _TABLE,
     "stream_source_counts": _TABLE,

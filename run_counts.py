@@ -36,7 +36,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--u-breaks", action="store_true", help="U ends a window instead of counting as T")
     parser.add_argument("--hist", action="store_true", help="print the non-empty bins of the spectrum")
     parser.add_argument("--hist-all", action="store_true", help="print bins 1 to 255, empty ones too")
-    parser.add_argument("--mode", default="lines", choices=("lines", "records"), help="FASTQ by line numbers, or checked records")
+    parser.add_argument("--mode", default="lines", choices=("lines", "records", "wrapped"), help="FASTQ by line numbers, checked four-line records, or records over several lines")
     parser.add_argument("--min", type=int, default=1, metavar="N", help="keep k-mers that occur at least N times")
     parser.add_argument("--max", type=int, metavar="N", help="keep k-mers that occur at most N times")
     parser.add_argument("-o", metavar="FOLDER", help="write the count table as parquet")
