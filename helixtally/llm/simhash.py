@@ -1,12 +1,17 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints have 64 bits; two link at two differing bits or fewer. For every
-distinct fingerprint, each segment's Hamming ball of radius 1 is enumerated: the
-fingerprint with one bit of that segment flipped, beside the fingerprint itself.
-These are the table keys. Fingerprints at distance 2 or less share a key (the one
-halfway), whether their bits differ in one segment or in two, and a key is held by
-65 fingerprints at most, so there is no large bucket and no pair is enumerated
-within a group: neighbours in a bucket are linked and their whole distance verified.
+Fingerprints have 64 bits; two link at two differing bits or fewer. The distinct ones are
+indexed once per segment, by (segment, its 32 bits). Of two differing bits at most one lies
+in the first segment or none in the second, so a fingerprint probes the first segment's
+table with the Hamming ball of radius 1 around its bits there, and the second's with its
+bits as they are; what it meets is verified by the whole distance.
+
+A table entry may hold many fingerprints (copies of one page with different tails). Where
+it holds more than HOT_ENTRY, the key is refined by the other segment: the entry's own
+fingerprints take a ball of radius 1 around it, those that probe with a flipped bit take it
+as it is. Fingerprints at two bits or fewer still meet, at the one halfway; all holders of
+a refined key are one bit from it, 65 at most, and so linked with each other, and a chain
+through them connects them without enumerating pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ from helixtally.llm.components import components
 
 SEED = 42
 SHINGLE = 3
-SEGMENT_BITS = 16
+SEGMENT_BITS = 32
+HOT_ENTRY = 256  # fingerprints of a table entry beyond which keys are refined
 LINK_BITS = 2
 _BLOCK = 1 << 16  # hashes whose bits are unpacked at once
 
@@ -66,20 +72,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(batches, "doc_id bigint, bits bigint")
 
 
-def ball(bits: Column) -> Column:
-    """The table keys of a fingerprint: itself and, segment by segment, one bit flipped."""
-    keys = [bits]
-    for segment in range(0, 64, SEGMENT_BITS):
-        keys += [bits.bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(segment, segment + SEGMENT_BITS)]
-    return F.array(*keys)
+def ball(segment: Column) -> Column:
+    """A segment's bits and, bit by bit, those with one flipped."""
+    return F.array(segment, *[segment.bitwiseXOR(F.lit(1 << b)) for b in range(SEGMENT_BITS)])
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(u, v), v < u: enough of the pairs of distinct bits at LINK_BITS or fewer to connect all of them."""
-    table = distinct.select("bits", F.explode(ball(F.col("bits"))).alias("key"))
-    before = F.lag("bits").over(Window.partitionBy("key").orderBy("bits"))
-    pairs = table.select(F.col("bits").alias("u"), before.alias("v")).where(F.col("v").isNotNull())
-    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= LINK_BITS).distinct()
+    """(u, v), v < u: all pairs of distinct bits at LINK_BITS or fewer, but in hot entries only enough to connect them."""
+    low = F.col("bits").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
+    segments = distinct.select("bits", F.shiftrightunsigned("bits", SEGMENT_BITS).alias("a"), low.alias("b"))
+    entry = lambda number, value, rest: F.struct(F.lit(number).alias("segment"), value.alias("value"), F.col(rest).alias("rest"))
+    table = segments.select("bits", F.inline(F.array(entry(0, F.col("a"), "b"), entry(1, F.col("b"), "a"))))
+    probes = F.concat(F.transform(ball(F.col("a")), lambda x: entry(0, x, "b")), F.array(entry(1, F.col("b"), "a")))
+    probes = segments.select("bits", F.inline(probes))
+    place = ["segment", "value"]
+    hot = written(table.groupBy(*place).count().where(F.col("count") > HOT_ENTRY).select(*place, F.lit(True).alias("hot")), "hot")
+
+    def met(rows: DataFrame, name: str) -> DataFrame:
+        """Rows of entries that aren't hot."""
+        return rows.join(hot, place, "left_anti").select(F.col("bits").alias(name), *place)
+
+    def refined(rows: DataFrame, fine: Column) -> DataFrame:
+        return rows.join(hot, place, "left_semi").select("bits", *place, F.explode(fine).alias("fine"))
+
+    pairs = met(probes, "u").join(met(table, "v"), place).select("u", "v")
+    within = refined(probes, F.array("rest")).unionByName(refined(table, ball(F.col("rest")))).distinct()
+    before = F.lag("bits").over(Window.partitionBy(*place, "fine").orderBy("bits"))
+    pairs = pairs.unionByName(within.select(F.col("bits").alias("u"), before.alias("v")).where("v IS NOT NULL"))
+    return pairs.where((F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= LINK_BITS) & (F.col("u") != F.col("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -105,10 +105,14 @@ def test_simhash_groups(docs, rows, empty):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(i for i, c in known.items() if i == c)
 
 
-def test_simhash_links_at_two_bits(spark):
+@pytest.mark.parametrize("hot", [0, 3, 256])
+def test_simhash_links_at_two_bits(spark, hot, monkeypatch):
+    """Also where some or all entries are hot: one half is shared by many, so entries hold fingerprints that differ much."""
+    monkeypatch.setattr(simhash, "HOT_ENTRY", hot)
     rnd = random.Random(2)
-    marks = [rnd.getrandbits(64) for _ in range(40)]
+    marks = [rnd.getrandbits(64) for _ in range(40)] + [0xABCD0123 << 32 | rnd.getrandbits(32) for _ in range(10)] + [rnd.getrandbits(32) << 32 | 77 for _ in range(10)]
     marks += [m ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) for m in marks for _ in range(3)]
+    marks += [m ^ 1 << rnd.randrange(64) for m in marks[:60]]
     marks = sorted(set(np.array(marks, np.uint64).view(np.int64).tolist()))
     found = simhash.links(spark.createDataFrame([(m,) for m in marks], "bits bigint"))
     got = {r.node: r.root for r in components(found).collect()}
