@@ -29,12 +29,17 @@ _RAW = {"script", "style", "template", "noscript", "textarea", "title", "svg", "
 #: Elements of page furniture.
 _FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head"}
 #: Words in class, id or role that mark page furniture.
-_MARKS = re.compile(
-    r"(?:^|[-_\s\"'])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|header|masthead|footer|sidebar|aside|breadcrumbs?|pagination|pager"
+_MARK = re.compile(
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|header|masthead|footer|sidebar|aside|breadcrumbs?|pagination|pager"
     r"|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended"
-    r"|comments?|replies|reply|respond|discussion|disqus|widget|toolbar|form|complementary|contentinfo|navigation|dialog)(?:$|[-_\s\"'])",
+    r"|comments?|replies|reply|respond|discussion|disqus|widget|toolbar|form|complementary|contentinfo|dialog)\Z",
     re.I,
 )
+#: Words that may stand beside such a mark in one name and don't make it the name of something else.
+_BESIDE = set(
+    "area bar bottom box block button buttons bottom card cell col container count fixed global group holder icon icons inner item items left links list"
+    " main mobile outer page panel posts primary right row secondary section site slot sticky stories strip thread top unit wrap wrapper".split()
+)
 #: How a line of ownership begins; such a line is a footer.
 _OWNER = re.compile(r"(?:copyright\s*)?(?:©|\(c\))\s*\S", re.I)
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -55,6 +60,17 @@ class Line:
     name: str = ""
 
 
+def marked_furniture(attributes: str) -> bool:
+    """Whether a class, id or role names page furniture: a name is one whole, so `share-buttons` does and `share-price` doesn't."""
+    for value in _ATTRIBUTE.finditer(attributes):
+        for name in html.unescape(value[1].strip("\"'")).lower().split():
+            parts = [p for p in re.split("[-_]+", name) if p and not p.isdigit()]
+            marks = [bool(_MARK.match(p)) for p in parts]
+            if any(marks) and all(m or p in _BESIDE for m, p in zip(marks, parts, strict=True)):
+                return True
+    return False
+
+
 def lines_of(page: str) -> list[Line]:
     """A page's blocks in order, with blank lines for furniture."""
     lines, line = [], Line()
@@ -106,7 +122,7 @@ def lines_of(page: str) -> list[Line]:
         if name in _INLINE and not _ATTRIBUTE.search(attributes):
             continue
         if not closing and name not in _WHOLE and name not in _VOID:
-            if name in _FURNITURE or any(_MARKS.search(m[1]) for m in _ATTRIBUTE.finditer(attributes)):
+            if name in _FURNITURE or marked_furniture(attributes):
                 if not attributes.endswith("/"):
                     skip, deep = name, 1
                 broken()

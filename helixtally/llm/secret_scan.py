@@ -56,12 +56,20 @@ def _any(words: tuple[str, ...]) -> str:
     return "|".join(words)
 
 
+def _holds(ordered: str, x: str) -> str:
+    """SQL: whether an ascending array holds x, by halving steps, so that a text's cost grows with its length and not the square of it."""
+    bits = f"length(bin(size({ordered})))"
+    step = f"shiftleft(1, {bits} - i)"
+    below = f"aggregate(sequence(1, {bits}), 0, (at, i) -> at + if(get({ordered}, at + {step} - 1) < {x}, {step}, 0))"
+    return f"coalesce(get({ordered}, {below}) = {x}, false)"
+
+
 def _features(x: str, words: str, path: str) -> str:
-    """SQL for the features of a candidate x (value, name, before, mark); words: the document's."""
+    """SQL for the features of a candidate x (value, name, before, mark); words: the document's distinct ones, ascending."""
     v = f"{x}.value"
     share = lambda letters: f"regexp_count({v}, '{letters}') / length({v})"
     runs = f"filter(split({v}, '[^A-Za-z]+'), r -> length(r) >= 3)"
-    known = f"lower(r) RLIKE '{_any(PLACEHOLDERS)}' OR array_contains({words}, r)"
+    known = f"lower(r) RLIKE '{_any(PLACEHOLDERS)}' OR {_holds(words, 'r')}"
     beside = f"lower(concat({x}.name, ' ', {x}.before))"
     parts = (
         f"length({v})",
@@ -178,11 +186,12 @@ def findings(text: str, path: str | None, forest: str, least: float = 0.5) -> Co
     """An array of a text's secrets: place (word number), value, name, score."""
     words = f"split(coalesce({text}, ''), '{_SPACE_RUN}')"
     scored = (
-        f"transform({_candidates('words')}, c -> get(transform(array({_features('c', 'words', path or 'NULL')}), "
+        f"transform(found, c -> get(transform(array({_features('c', 'ordered', path or 'NULL')}), "
         f"f -> named_struct('place', c.place, 'value', c.value, 'name', c.name, 'score', {forest})), 0))"
     )
-    kept = f"filter({scored}, s -> s.score >= {least})"
-    return F.expr(f"get(transform(array({words}), words -> {kept}), 0)")
+    kept = f"get(transform(array(sort_array(array_distinct(words))), ordered -> filter({scored}, s -> s.score >= {least})), 0)"
+    some = f"CASE WHEN size(found) > 0 THEN {kept} ELSE array() END"  # few texts have candidates, and only theirs are put in order
+    return F.expr(f"get(transform(array({words}), words -> get(transform(array({_candidates('words')}), found -> {some}), 0)), 0)")
 
 
 def _path(docs: DataFrame) -> str | None:
@@ -208,14 +217,24 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, least: float = 0.5)
 
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret in its texts replaced by `mark`; n_chars, if there, follows the text."""
+    """docs with every secret in its texts replaced by `mark`; n_chars, if there, follows the text.
+
+    All rows and columns stay, whatever the columns' names; null and empty texts stay as
+    they are, and repeated rows are cleaned alike.
+    """
     forest = fit(labelled if labelled is not None else built_in_findings(docs.sparkSession))
-    found = docs.withColumn("_found", findings("text", _path(docs), forest))
-    longest = F.array_sort("_found", lambda a, b: F.length(b["value"]) - F.length(a["value"]))  # a value may be part of a longer one
+    one = "found"
+    while one in docs.columns:
+        one += "_"
+    two = f"{one}_clean"
+    while two in docs.columns:
+        two += "_"
+    found = docs.withColumn(one, findings("text", _path(docs), forest))
+    longest = F.array_sort(one, lambda a, b: F.length(b["value"]) - F.length(a["value"]))  # a value may be part of a longer one
     clean = F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(mark)))
-    found = found.withColumn("_clean", F.when(F.size("_found") > 0, clean))
-    columns = {"text": F.coalesce("_clean", "text")}
+    found = found.withColumn(two, F.when(F.size(one) > 0, clean))
+    columns = {"text": F.coalesce(two, "text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.col("_clean").isNotNull(), F.length("_clean").cast(kind)).otherwise(F.col("n_chars"))
+        columns["n_chars"] = F.when(F.col(two).isNotNull(), F.length(two).cast(kind)).otherwise(F.col("n_chars"))
     return found.withColumns(columns).select(*docs.columns)
