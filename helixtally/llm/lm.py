@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -67,6 +68,15 @@ def _held_out(made: Slice) -> np.ndarray:
     return np.array([v and zlib.crc32(b"%d" % i) % FOLDS == 0 for i, v in zip(made.ids.tolist(), made.valid.tolist(), strict=True)], np.bool_)
 
 
+def _distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens in order, and the place of each token among them; by a hash table, since texts repeat their words."""
+    place, names = pd.factorize(tokens)
+    order = np.argsort(names)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return names[order], rank[place]
+
+
 _COUNT = np.dtype([("name", "<u8"), ("n", "<i8")])
 
 
@@ -74,7 +84,7 @@ def _slice_counts(made: Slice, known: _Names) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of a slice, and how often its training documents hold them."""
     tokens, stops = _tokens(made.texts, known)
     trained = np.repeat(~_held_out(made), np.diff(np.concatenate(([0], stops))))
-    names, place = np.unique(tokens, return_inverse=True)
+    names, place = _distinct(tokens)
     body = np.zeros(len(names), _COUNT)
     body["name"], body["n"] = names, np.bincount(place, trained, len(names)).astype(np.int64)
     return names, body
@@ -217,7 +227,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
 def _scored(made: Slice, given: list[dict], corpus: Corpus, model: Gru, known: _Names, buckets: int) -> pa.RecordBatch:
     tokens, stops = _tokens(made.texts, known)
-    names, place = np.unique(tokens, return_inverse=True)
+    names, place = _distinct(tokens)
     bounds, totals = bounds_of(names, buckets), np.zeros(len(names), np.int64)
     for row in answered(given):
         a, z = bounds[row["bucket"]], bounds[row["bucket"] + 1]
