@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixtally.functions import bases
 from helixtally.operators import codes
-from helixtally.operators.windows import characters, tallies
+from helixtally.operators.windows import characters, run_lengths, tallies
 
 SCHEMA = "bucket int, salt int, stretches binary"
 # A packed super-k-mer. head: code of its first k bases; rest: the next bases, left-aligned in
@@ -40,6 +41,7 @@ HOT_SHARE, HOT_ROWS = 16, 1 << 12  # a hot bucket has so many times its even sha
 SALTS = 1 << 10
 _STEP = 1 << 17
 _PACK_ROWS = 1 << 20
+_WHOLE = 1 << 24  # windows of a bucket that are sorted at once
 
 
 def minimizer_length(k: int, m: int | None = None) -> int:
@@ -125,7 +127,12 @@ def _packed(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Recor
         pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(records.view(np.uint8))]
     )
     names = ["bucket", "salt", "stretches"]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(salt.astype(np.int32)), blobs], names)
+    columns = [pa.array(bucket[first].astype(np.int32)), pa.array(salt.astype(np.int32)), blobs]
+    marks = bucket[first][hot].astype(np.int32)  # an empty row tells the task of the unsalted rest that the bucket has more elsewhere
+    if len(marks):
+        empty = [pa.array(marks), pa.array(np.zeros(len(marks), np.int32)), pa.array([b""] * len(marks), pa.binary())]
+        columns = [pa.concat_arrays(pair) for pair in zip(columns, empty, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def bucket_count(partitions: int) -> int:
@@ -191,3 +198,43 @@ def count_super_kmers(stretches: DataFrame, k: int) -> DataFrame:
     moved = stretches.repartition(F.col("bucket"), F.col("salt")).drop("bucket", "salt")
     tallied = moved.mapInArrow(tally, "kmer bigint, part bigint")
     return tallied.groupBy("kmer").agg(F.sum("part").alias("n"))
+
+
+def count_repeated(stretches: DataFrame, k: int, least: int = 2) -> DataFrame:
+    """The rows of the count table with n >= least; k-mers that occur less are dropped before the second exchange.
+
+    All copies of a k-mer whose bucket is nowhere salted meet in one task, which knows its
+    whole count; only counts from salted buckets, and from buckets of more than _WHOLE
+    windows, which are combined piece by piece, are added up behind the exchange.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, whole, held, rows, done = None, True, [], 0, []
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            if rows:
+                found = run_lengths(np.concatenate(held))
+                yield found.filter(pc.greater_equal(found.column(1), least)) if whole else found
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, salt, body = (batch.column(c)[i].as_py() for c in range(3))
+                if number != bucket:
+                    done += pieces()
+                    bucket, whole, held, rows = number, True, [], 0
+                whole &= salt == 0 and len(body) > 0
+                for values in codes_of(pa.array([body], pa.binary()), k) if body else ():
+                    held.append(values)
+                    rows += len(values)
+                    if rows >= _WHOLE:
+                        whole = False
+                        done += pieces()
+                        held, rows = [], 0
+            if sum(len(d) for d in done) >= _STEP:
+                yield from done
+                done = []
+        yield from (*done, *pieces())
+
+    moved = stretches.repartition(F.col("bucket"), F.col("salt")).sortWithinPartitions("bucket")
+    tallied = moved.mapInArrow(tally, "kmer bigint, part bigint")
+    return tallied.groupBy("kmer").agg(F.sum("part").alias("n")).where(F.col("n") >= least)

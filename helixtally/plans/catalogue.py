@@ -7,15 +7,17 @@ whole text. k is 21 unless the name says otherwise.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixtally.functions import bases
 from helixtally.functions.sql import call, register
-from helixtally.operators import counting, routing, spectrum, windows
+from helixtally.functions.tables import register_count_kmers
+from helixtally.operators import counting, routing, sketches, spectrum, superkmers, tables, windows
 from helixtally.session import shared_folder
 from helixtally.sources.fasta import read_fasta
 from helixtally.sources.fastq import count_fastq, fastq_kmers, fastq_lines, range_table, read_pair
@@ -137,6 +139,14 @@ def sql_table_function(spark, folder):
     )
 
 
+@query
+def sql_count_kmers(spark, folder):
+    """Canonical 21-mer counts through the table function over a table argument."""
+    register_count_kmers(spark)
+    reads(spark, folder).createOrReplaceTempView("reads_to_count")
+    return spelled(spark.sql(f"SELECT kmer, sum(n) AS n FROM count_kmers(TABLE(reads_to_count), {K}) GROUP BY kmer"))
+
+
 @query
 def revcomp(spark, folder):
     """Distinct 5-mers and their reverse complements."""
@@ -278,6 +288,34 @@ def min_count_table(spark, folder):
     return spelled(counting.threshold(counts(spark, folder), 2, 255))
 
 
+@query
+def repeated_counts(spark, folder):
+    """The k-mers that occur twice or more; what occurs once is dropped before the second exchange."""
+    return spelled(superkmers.count_repeated(superkmers.super_kmers(reads(spark, folder), K), K))
+
+
+@query
+def merged_count_table(spark, folder):
+    """A saved count table to which two more batches of reads are added; only new counts are moved."""
+    name = f"counts_{uuid.uuid4().hex}"
+    for i in range(3):
+        part = counting.count_kmers(reads(spark, folder).where(F.pmod("doc_id", F.lit(3)) == i), K)
+        tables.add_counts(spark, name, part) if i else tables.save_counts(part, name, 16)
+    return spelled(spark.table(name))
+
+
+@query
+def sketch_unions(spark, folder):
+    """Exact distinct k-mers of the batches up to each one, and whether the union of their sketches says so within three standard errors."""
+    batched = reads(spark, folder).withColumn("batch", F.pmod("doc_id", F.lit(BATCHES)).cast("int"))
+    tallied = windows.labelled_tallies(batched, K, "batch")
+    upto = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # a row per batch
+    exact = incremental.first_seen(tallied).select("batch", F.sum("new_unique").over(upto).alias("n_unique"))
+    both = exact.join(sketches.running_unions(sketches.label_sketches(tallied, "batch"), "batch"), "batch")
+    near = F.abs(F.col("n_unique_est") - F.col("n_unique")) <= 3 * sketches.standard_error() * F.col("n_unique")
+    return both.select("batch", "n_unique", near.alias("near"))
+
+
 @query
 def median_summary(spark, folder):
     """Exact medians of run length and of k-mer count."""

@@ -175,6 +175,13 @@ SELECT CAST(sum(least(n, 7)) AS BIGINT) AS cap_7, CAST(sum(least(n, 1023)) AS BI
 SELECT CAST(count(*) FILTER (n >= 2) AS BIGINT) AS kept, CAST(count(*) FILTER (n < 2) AS BIGINT) AS below,
        CAST(count(*) FILTER (n > 255) AS BIGINT) AS above,
        CAST(coalesce(sum(n) FILTER (n >= 2), 0) AS BIGINT) AS kept_total FROM cnt""",
+    "sql_count_kmers": _TABLE,
+    "repeated_counts": f"WITH {_counts()} SELECT canon, n FROM cnt WHERE n >= 2",
+    "merged_count_table": _TABLE,
+    "sketch_unions": f"""WITH {_words(21)},
+first AS (SELECT canon, min(doc_id % 9) AS batch FROM canons GROUP BY canon),
+new AS (SELECT CAST(batch AS INTEGER) AS batch, count(*) AS n FROM first GROUP BY 1)
+SELECT batch, CAST(sum(n) OVER (ORDER BY batch) AS BIGINT) AS n_unique, true AS near FROM new""",
     "min_count_table": f"WITH {_counts()} SELECT canon, n FROM cnt WHERE n BETWEEN 2 AND 255",
     "median_summary": f"""WITH {_counts()},
 every AS (SELECT unnest(regexp_extract_all(seq, '[ACGT]+')) AS run FROM reads)

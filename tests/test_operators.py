@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 
 from helixtally.functions import bases
 from helixtally.functions.sql import MURMUR_A, MURMUR_B, SPLITMIX_A, SPLITMIX_B, call, register
-from helixtally.operators import codes, counting, routing, spectrum, superkmers, windows
+from helixtally.functions.tables import register_count_kmers
+from helixtally.operators import codes, counting, routing, sketches, spectrum, superkmers, tables, windows
 from pyspark.sql import functions as F
 
 SHUFFLES = ("kmers", "tallies", "superkmers")
@@ -114,6 +115,82 @@ def test_second_exchange_moves_distinct_kmers(spark, monkeypatch):
     assert written and written[-1] <= 1.2 * distinct
 
 
+def test_repeated_counts_drop_before_the_second_exchange(spark, monkeypatch):
+    """Also with a hot bucket, whose single k-mers can't be told from parts, and with buckets counted piece by piece."""
+    reads = make_reads(11, 300, "ACGT") + make_reads(12, 60, "ACGT") * 2 + ["A" * 140] * 400
+    df = spark.createDataFrame([(r,) for r in reads], "seq string").repartition(5)
+    whole = brute_counts(reads, 21)
+    for least in (2, 3):
+        want = {w: n for w, n in whole.items() if n >= least}
+        found = superkmers.count_repeated(superkmers.super_kmers(df, 21), 21, least)
+        assert collected(found, 21) == want
+        if least == 2:
+            written = [int(x) for x in re.findall(r"\d+", metrics(found))]
+            assert written[-1] <= 1.2 * len(want) < len(whole)
+    for name, value in (("HOT_ROWS", 4), ("HOT_SHARE", 1), ("_WHOLE", 50)):
+        monkeypatch.setattr(superkmers, name, value)
+        assert collected(superkmers.count_repeated(superkmers.super_kmers(df, 21), 21), 21) == {w: n for w, n in whole.items() if n >= 2}
+    assert superkmers.count_repeated(superkmers.super_kmers(df.limit(0), 21), 21).count() == 0
+
+
+def test_adding_to_a_saved_table_moves_only_the_new_counts(spark):
+    every, name = [], "saved_counts_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for i in range(3):
+        reads = make_reads(20 + i, 40, "ACGTN")
+        every += reads
+        new = counting.count_kmers(spark.createDataFrame([(r,) for r in reads], "seq string"), 9)
+        if i:
+            above = ancestors(plan(tables.merged_counts(spark, name, new)), "Bucketed: true")
+            assert any("SortMergeJoin" in line for line in above)
+            assert not any("Exchange" in line for line in above)
+            tables.add_counts(spark, name, new)
+        else:
+            tables.save_counts(new, name, 4)
+        assert collected(spark.table(name), 9) == brute_counts(every, 9)
+    assert tables.buckets_of(spark, name) == 4
+    tables.add_counts(spark, name, new.limit(0))
+    assert collected(spark.table(name), 9) == brute_counts(every, 9)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def ancestors(text, mark):
+    """The nodes of a printed plan above the one that holds the mark."""
+    lines = text[: text.index("== Initial Plan ==")].splitlines() if "== Initial Plan ==" in text else text.splitlines()
+    depth = lambda line: len(re.match(r"[\s:|+*\-]*", line)[0])
+    at = next(i for i, line in enumerate(lines) if mark in line)
+    found, limit = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < limit:
+            found.append(line)
+            limit = depth(line)
+    return found
+
+
+def test_sketches_of_any_union(spark):
+    reads = [(i % 4, r) for i, r in enumerate(make_reads(30, 400, "ACGT"))]
+    tallied = windows.labelled_tallies(spark.createDataFrame(reads, "port int, seq string"), 15, "port")
+    found = sketches.label_sketches(tallied, "port")
+    assert found.count() == 4
+    for chosen in ([0], [1, 3], [0, 1, 2, 3]):
+        exact = len(brute_counts([r for p, r in reads if p in chosen], 15))
+        estimate = sketches.union_estimate(found.where(F.col("port").isin(chosen))).first()[0]
+        assert abs(estimate - exact) <= 3 * sketches.standard_error() * exact
+    assert sketches.union_estimate(found.where("port > 9")).first()[0] in (0, None)
+
+
+def test_table_function_over_a_table(spark):
+    register_count_kmers(spark)
+    reads = make_reads(8, 50, "ACGTNu")
+    spark.createDataFrame([(i, r, "x") for i, r in enumerate(reads)], "id int, seq string, other string").createOrReplaceTempView("some_reads")
+    spark.createDataFrame([(r,) for r in reads], "dna string").createOrReplaceTempView("one_column")
+    for call in ("TABLE(some_reads), 7", "TABLE(one_column), 7", "TABLE(one_column), 7, 'dna'"):
+        assert collected(spark.sql(f"SELECT kmer, sum(n) AS n FROM count_kmers({call}) GROUP BY kmer"), 7) == brute_counts(reads, 7)
+    for bad in ("TABLE(some_reads), 40", "TABLE(some_reads), 7, 'id'", "TABLE(SELECT 1 AS x), 5"):
+        with pytest.raises(Exception, match="k must|name the text"):
+            spark.sql(f"SELECT * FROM count_kmers({bad})").collect()
+
+
 def metrics(df):
     """Rows that each exchange of an executed plan wrote, the second exchange last."""
     found = []
