@@ -1,5 +1,6 @@
 import gzip
 import random
+import re
 
 import pytest
 from conftest import brute_counts, collected
@@ -301,3 +302,39 @@ def test_base_table():
     assert [table[ord(c)] for c in "ACGTUacgtuN\n-"] == [0, 1, 2, 3, 3, 0, 1, 2, 3, 3, 4, 4, 4]
     assert codes.base_table(False)[ord("U")] == codes.base_table(False)[ord("u")] == 4
     assert (table < 4).sum() == 10
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    """Conditions on mate and read length are the scan's: files are skipped and rows don't leave Python."""
+    for mate in (1, 2):
+        (tmp_path / f"x_{mate}.fastq").write_text("".join(f"@m{mate}n{n}\n{'A' * n}\r\n+\n{'I' * n}\r\n" for n in range(60)))
+    (tmp_path / "other.fastq").write_text("@o\nACGT\n+\nIIII\n")
+    read = lambda **o: read_fastq(spark, str(tmp_path), mode="records", columns="mate,read_id,n_bases", **o)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    try:
+        for condition in ("mate = 2 AND n_bases >= 50", "n_bases > 10 AND n_bases < 20", "mate IN (1, 2) AND n_bases <= 3", "n_bases = 4", "mate IS NOT NULL", "mate = 1 AND read_id LIKE '%7'", "mate <=> 1", "n_bases <> 5 AND n_bases < 9", "mate IS NULL"):
+            plain = sorted((tuple(r) for r in read().where(condition).collect()), key=repr)
+            pushed = read(pushFilters="true").where(condition)
+            assert sorted((tuple(r) for r in pushed.collect()), key=repr) == plain, condition
+            assert plain
+        pushed = read(pushFilters="true").where("mate = 2 AND n_bases >= 50")
+        assert pushed.collect()
+        node = pushed._jdf.queryExecution().executedPlan()
+        assert not re.search(r"\bFilter \(", node.toString())
+        rows = []
+
+        def walk(x):
+            kind = x.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                return walk(x.executedPlan())
+            if "Scan" in kind:
+                rows.append(x.metrics().apply("numOutputRows").value())
+            for i in range(x.children().size()):
+                walk(x.children().apply(i))
+
+        walk(node)
+        assert rows == [10]
+        lengths = read_fastq(spark, str(tmp_path), columns="n_bases").agg({"n_bases": "sum"}).first()[0]
+        assert lengths == 2 * sum(range(60)) + 4 == read_fastq(spark, str(tmp_path), "wrapped", columns="n_bases").agg({"n_bases": "sum"}).first()[0]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
