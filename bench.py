@@ -46,6 +46,10 @@ HEADLINE = (
     "batch_new_unique",
     "approx_unique",
     "fastq_roundtrip",
+    "fastq_wrapped_roundtrip",
+    "repeated_counts",
+    "merged_count_table",
+    "stream_bucket_counts",
     "stream_counts",
     "stream_delta_counts",
 )
@@ -88,7 +92,7 @@ def at_size(spark: SparkSession, pairs: int) -> dict[str, float]:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     start = time.perf_counter()
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, memory="12g")
     spark.range(1).count()

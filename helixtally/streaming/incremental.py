@@ -33,7 +33,7 @@ from helixtally.operators.counting import count_tallies
 from helixtally.operators.windows import tallies
 from helixtally.session import delete
 from helixtally.sources import ranges as br
-from helixtally.sources.fastq import RANGE_SCHEMA, as_ranges, numbered_ranges, one_by_one, range_kmers
+from helixtally.sources.fastq import RANGE_SCHEMA, as_ranges, number_lines, numbered_ranges, one_by_one, range_kmers, range_table
 
 BATCH_SCHEMA = f"{RANGE_SCHEMA}, before bigint, upto bigint, batch int"
 STATE_STORE = {
@@ -63,14 +63,15 @@ def plan_batches(
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if paths and not isinstance(paths[0], str):
-        every = [numbered_ranges(spark, group, split_bytes, splittable).withColumn("batch", F.lit(i)) for i, group in enumerate(paths, first)]
-        planned = reduce(DataFrame.unionByName, every)
+        every = [range_table(spark, group, split_bytes, splittable).withColumn("batch", F.lit(i)) for i, group in enumerate(paths, first)]
+        planned = number_lines(reduce(DataFrame.unionByName, every))
     else:
         step = min(split_bytes, batch_bytes or split_bytes)
         earlier = F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(Window.orderBy("path", "lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         batch = F.floor(earlier / F.lit(batch_bytes)).cast("int") + first if batch_bytes else F.lit(first)
         planned = numbered_ranges(spark, paths, step, splittable).withColumn("batch", batch)  # the window sees a row per range
-    numbers = planned.repartition("batch").persist()  # what the line counts have cost
+    names = [x.split()[0] for x in BATCH_SCHEMA.split(", ")]
+    numbers = planned.select(*names).repartition("batch").persist()  # what the line counts have cost
     found = numbers.agg(F.count_distinct("batch")).first()[0]
     if found:
         numbers.select("*", F.col("batch").alias("file")).write.mode("append").partitionBy("file").json(folder)
