@@ -7,11 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE, _STRIPE = 1 << 27, 1 << 20  # bits of a table (16 MB, whatever the corpus), and of one row that brings it to the driver
+TABLE, _STRIPE = 1 << 27, 1 << 20  # bits of a table at most (16 MB, whatever the corpus), and of one row that brings it to the driver
+_SPARSE = 64
 
 
 def table_of(names: DataFrame) -> np.ndarray:
-    """The table of the column `name` (bigint) of names; the low 27 bits of a name are its place."""
+    """The table of the column `name` (bigint) of names; the low bits of a name are its place, 27 at most.
+
+    Halves are laid on each other while fewer than one bit in _SPARSE is set, so a small set has a small table.
+    """
 
     def stripe(rows: pa.Table) -> pa.Table:
         body = np.zeros(_STRIPE, np.bool_)
@@ -23,10 +27,14 @@ def table_of(names: DataFrame) -> np.ndarray:
     out = np.zeros(TABLE // 8, np.uint8)
     for row in bits.groupBy("stripe").applyInArrow(stripe, "stripe int, body binary").toLocalIterator():
         out[row.stripe * (_STRIPE // 8) :][: _STRIPE // 8] = np.frombuffer(row.body, np.uint8)
+    full = int(np.bitwise_count(out).sum())
+    while len(out) > 1 << 10 and full * _SPARSE < 4 * len(out):
+        half = len(out) // 2
+        out = out[:half] | out[half:]
     return out
 
 
 def passes(table: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Whether each name may be in the table's set; names are unsigned."""
-    at = names & np.uint64(TABLE - 1)
+    at = names & np.uint64(8 * len(table) - 1)
     return table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
