@@ -33,10 +33,9 @@ LEAST = 100  # occurrences of a candidate
 FIRST = 2000  # phrases reported per language
 INSIDE_PERCENT = 100  # of a candidate's occurrences in a longer one that drop it
 TRIGGER = LONGEST - 1  # words of the window whose hash triggers
-EVERY = 64  # one window in so many triggers
+EVERY = 128  # one window in so many triggers
 _SEGMENT = 1 << 20  # bytes after which a text is cut at the end of a piece
 _TOKENS = 1 << 22  # that are counted at once
-_BYTES = 8 << 20  # of chunks that are looked at together
 _END = b"."  # stands for the end of a piece; no word holds it
 
 _PLAIN = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256)).lower()
@@ -99,7 +98,7 @@ def dictionary(docs: DataFrame) -> DataFrame:
 class _Batch:
     """Chunks in a row: token hashes, which tokens begin n-grams, and how often; chunks end like pieces."""
 
-    def __init__(self, part: pa.Table, known: WordHashes) -> None:
+    def __init__(self, part: pa.RecordBatch, known: WordHashes) -> None:
         heads, bodies = zip(*(c.split(b" ", 1) for c in part.column(1).to_pylist()), strict=True)
         self.langs = part.column(0).to_pylist()
         kinds = {x: np.uint64(xxhash.xxh64_intdigest(x)) for x in set(self.langs)}
@@ -143,15 +142,9 @@ def _after(x: np.ndarray) -> np.ndarray:
 
 
 def _batches(parts: Iterator[pa.RecordBatch], known: WordHashes) -> Iterator[_Batch]:
-    held: list[pa.RecordBatch] = []
     for part in parts:
         if part.num_rows:
-            held.append(part)
-        if sum(p.nbytes for p in held) >= _BYTES:
-            yield _Batch(pa.Table.from_batches(held), known)
-            held = []
-    if held:
-        yield _Batch(pa.Table.from_batches(held), known)
+            yield _Batch(part, known)
 
 
 def _table(chunks: DataFrame, n: int, inside: np.ndarray | None, least: int) -> np.ndarray:
@@ -199,7 +192,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
             single, pairs = passes(shared.value[0], made.grams(1)), passes(shared.value[1], made.grams(2))
             every = made.words(1) & made.own
             _, place, sums = _weighted(made.kind[every], made.times[every])
-            langs, texts, sizes, counts = [made.langs[made.chunk[np.flatnonzero(every)[p]]] for p in place], [""] * len(place), [0] * len(place), sums.tolist()
+            keys, counts = [f"\n{made.langs[made.chunk[i]]}" for i in np.flatnonzero(every)[place]], sums.tolist()
             alive = np.ones(len(single), np.bool_)
             for n in range(1, LONGEST + 1):
                 if n > 1:
@@ -208,15 +201,16 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 at = np.flatnonzero(made.words(n) & made.own & (single if n == 1 else alive))
                 _, place, sums = _weighted(made.grams(n)[at], made.times[at])
                 at = at[place].tolist()
-                langs += [made.langs[made.chunk[i]] for i in at]
-                texts += [made.text(i, n) for i in at]
-                sizes += [n] * len(at)
+                keys += [f"{made.text(i, n).decode()}\n{made.langs[made.chunk[i]]}" for i in at]
                 counts += sums.tolist()
-            texts = [t.decode() if t else "" for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "n"])
-
-    found = chunks.mapInArrow(counted, "lang string, phrase string, words int, n bigint")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts, pa.int64())], ["key", "n"])
+
+    # one text per row of the exchange: the phrase, which holds no line end, and its language
+    sums = chunks.mapInArrow(counted, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    place = F.expr("instr(key, '\\n')")
+    phrase, lang = F.expr("left(key, instr(key, '\\n') - 1)"), F.substr("key", place + 1)
+    words = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1)
+    return sums.select(lang.alias("lang"), phrase.alias("phrase"), words.cast("int").alias("words"), "n").where((F.col("n") >= least) | (F.col("words") == 0))
 
 
 def _part(first: Column | int, size: Column | int) -> Column:

@@ -65,7 +65,7 @@ def best_phrases(rows, least, first, inside):
 def test_collocations(docs, least, first, inside, monkeypatch):
     monkeypatch.setattr(phrases, "_SEGMENT", 1000)
     monkeypatch.setattr(phrases, "_TOKENS", 5000)
-    monkeypatch.setattr(phrases, "_BYTES", 20_000)
+    monkeypatch.setattr(phrases, "EVERY", 8)
     found = phrases.collocations(docs, least, first, inside)
     got = sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in found.collect())
     assert got == best_phrases(awkward(), least, first, inside)
