@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TABLE, _STRIPE = 1 << 27, 1 << 20  # bits of a table at most (16 MB, whatever the corpus), and of one row that brings it to the driver
-_SPARSE = 64
 
 
-def table_of(names: DataFrame) -> np.ndarray:
+def table_of(names: DataFrame, one_in: int = 64) -> np.ndarray:
     """The table of the column `name` (bigint) of names; the low bits of a name are its place, 27 at most.
 
-    Halves are laid on each other while fewer than one bit in _SPARSE is set, so a small set has a small table.
+    Halves are laid on each other while fewer than one bit in `one_in` would be set, so a small set has a small table.
     """
 
     def stripe(rows: pa.Table) -> pa.Table:
@@ -28,7 +27,7 @@ def table_of(names: DataFrame) -> np.ndarray:
     for row in bits.groupBy("stripe").applyInArrow(stripe, "stripe int, body binary").toLocalIterator():
         out[row.stripe * (_STRIPE // 8) :][: _STRIPE // 8] = np.frombuffer(row.body, np.uint8)
     full = int(np.bitwise_count(out).sum())
-    while len(out) > 1 << 10 and full * _SPARSE < 4 * len(out):
+    while len(out) > 1 << 10 and full * one_in < 4 * len(out):
         half = len(out) // 2
         out = out[:half] | out[half:]
     return out

@@ -25,7 +25,7 @@ from helixtally.llm.common import kept
 
 _LEAF = 8  # bits of a rank that its leaf bitmap tells apart
 _LOW = (1 << _LEAF) - 1
-_CACHED = 300_000  # pre-tokens whose ids a worker process remembers
+_CACHED = 300_000  # pre-tokens of a generation; a worker process remembers the ids of two
 
 
 class Vocabulary(dict):
@@ -41,15 +41,19 @@ class Vocabulary(dict):
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = dict(zip(self.ranks.values(), self.ranks, strict=True))
         self.split = regex.compile(pattern).findall
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= _CACHED:
+            self.older = dict(self)  # what is used again comes over from there, the rest goes with the next generation
             self.clear()
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else self.merge(raw)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= 64:
+        packed = self.older.pop(piece, None)
+        if packed is None:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            ids = [whole] if whole is not None else self.merge(raw)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
             self[piece] = packed
         return packed
 

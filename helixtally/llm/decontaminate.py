@@ -27,6 +27,7 @@ SEED = 4
 LEAST_SIMILARITY = 0.8
 _PUNCTUATION = b".,;:!?\"'()[]"
 _SLACK = 4
+_FEW = 1 << 16  # seeds of documents, of which one passes by chance at most while the items' seeds are few
 _HELD = 1 << 20  # distinct words that a task counts before it hands them on
 
 
@@ -198,7 +199,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     lengths = sorted(r.length for r in seeds.select("length").distinct().collect())  # 1 to SEED
     counts = written(_word_counts(docs, table_of(seeds.select(F.explode("words").alias("name")))), "counts")
     judged = written(_with_rarity(seeds, counts), "judged")
-    own = written(_doc_seeds(docs, table_of(seeds.select("name")), lengths), "own")
+    own = written(_doc_seeds(docs, table_of(seeds.select("name"), _FEW), lengths), "own")
     met = own.select("row", F.inline(F.arrays_zip(F.col("names").alias("name"), "at"))).join(judged, "name")
     met = met.select("row", "item", F.struct((F.col("at") - F.col("place")).alias("diagonal"), "rare").alias("hit"))
     calls = met.groupBy("row", "item").agg(F.collect_list("hit").alias("hits"), F.max("hit.rare").alias("rare"))

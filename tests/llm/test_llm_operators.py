@@ -553,6 +553,17 @@ def test_forest_removes_false_findings(spark):
     assert found.where("label = said").count() >= 0.95 * found.count()
 
 
+def test_bpe_remembers_two_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "_CACHED", 3)
+    vocabulary, fresh = (bpe.Vocabulary(PATH, public_tokenizers.PATTERN) for _ in range(2))
+    for text in ["aab bba", " abc xyz aab", "aab aab q", " xyz bba c d e f g aab", ""] * 3:
+        packed = vocabulary.encode(text)
+        fresh.clear()
+        fresh.older.clear()
+        assert packed == fresh.encode(text)
+        assert len(vocabulary) <= 3 and len(vocabulary.older) <= 3
+
+
 def test_bpe(docs, rows, empty):
     vocabulary = bpe.Vocabulary(PATH, public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
