@@ -123,18 +123,18 @@ _WINDOWS = (
     " b -> transform(sequence(1, length(b) - k + 1), p -> named_struct('pos', p, 'kmer', substr(b, p, k)))))"
 )
 FUNCTIONS["kmer_windows"] = ("seq STRING, k INT", "ARRAY<STRUCT<pos: INT, kmer: STRING>>", _WINDOWS)
-# The same as a table function, for reads of any length: SELECT ... FROM reads, LATERAL kmers(seq, 21).
-# Slices of a run are exploded first, then parts of a slice, then the windows of a part.
+# The same as a table function: SELECT ... FROM reads, LATERAL kmers(seq, 21).
+# One generator is all there is to the body: Spark then makes it a step of the calling plan, where a body of several
+# is joined back to the reads by their text, with that text beside every window. Runs are cut into slices and those
+# into parts inside it; a read's windows are one array for a moment.
+_RUNS = f"filter(split(translate(seq, 'acgtuU', 'ACGTTT'), '[^ACGT]+'), b -> length(b) >= {_CHECKED_K})"
+_SLICES = f"flatten(transform({_RUNS}, b -> transform(sequence(0, length(b) - k, {_SLICE}), f -> named_struct('at', f, 's', substr(b, f + 1, {_SLICE} + k - 1)))))"
+_PARTS = f"flatten(transform({_SLICES}, x -> transform(sequence(0, length(x.s) - k, {_PART}), f -> named_struct('at', x.at + f, 's', substr(x.s, f + 1, {_PART} + k - 1)))))"
+_IN_PARTS = f"flatten(transform({_PARTS}, x -> transform(sequence(1, length(x.s) - k + 1), p -> named_struct('pos', x.at + p, 'kmer', substr(x.s, p, k)))))"
 TABLE_FUNCTION = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION kmers(seq STRING, k INT)
 RETURNS TABLE(pos INT, kmer STRING)
-RETURN SELECT at + p AS pos, substr(part, p, k) AS kmer FROM (
-  SELECT at, part, explode(sequence(1, length(part) - k + 1)) AS p FROM (
-    SELECT far + near AS at, substr(slice, near + 1, {_PART} + k - 1) AS part FROM (
-      SELECT far, slice, explode(sequence(0, length(slice) - k, {_PART})) AS near FROM (
-        SELECT far, substr(b, far + 1, {_SLICE} + k - 1) AS slice FROM (
-          SELECT b, explode(sequence(0, length(b) - k, {_SLICE})) AS far FROM (
-            SELECT explode(filter(split(translate(seq, 'acgtuU', 'ACGTTT'), '[^ACGT]+'), b -> length(b) >= {_CHECKED_K})) AS b))))))
+RETURN SELECT pos, kmer FROM inline({_IN_PARTS}) AS w(pos, kmer)
 """
 
 _registered: set[str] = set()
