@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from helixtally.session import delete, shared_folder
 
 BUCKETS = 64
+_BUCKET_ROWS = 1 << 23
+
+
+def buckets_for(kmers: int) -> int:
+    """Buckets for a table of so many k-mers at most: a task sorts one, which so stays below some hundred megabytes."""
+    return max(16, 1 << max(0, kmers // _BUCKET_ROWS).bit_length())
 
 
 def save_counts(counts: DataFrame, name: str, buckets: int = BUCKETS) -> None:

@@ -31,8 +31,12 @@ from helixtally.streaming.incremental import Each, planned_ranges, run, written,
 
 BUCKETS = 128
 LARGEST = 1 << 26  # k-mers of one entry
+_ROWS = 1 << 18  # of a batch that is read off the state
 REPORT = "bucket int, salt int, new_kmers bigint, touched bigint, occurrences bigint"
+PACKED_REPORT = "bucket int, batch int, new_kmers bigint"
 _STATE = "kmers binary, n binary"
+_PACKED = "bucket int, batch int, kmers binary, n binary"
+_PACK_ROWS, _ROW_KMERS = 1 << 20, 1 << 10
 
 
 def merged(old: tuple[np.ndarray, np.ndarray], kmers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +79,83 @@ class BucketCounts(StatefulProcessor):
         pass
 
 
+class PackedCounts(StatefulProcessor):
+    """Adds a micro-batch's packed k-mers of one bucket to its entry, batch by batch, and reports how many of each batch are new."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entry = handle.getValueState("counts", _STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        found: dict[int, list] = {}
+        for part in rows:
+            for number, *pair in zip(part["batch"], part["kmers"], part["n"], strict=True):
+                found.setdefault(number, []).append([np.frombuffer(x, np.int64) for x in pair])
+        state = self.entry.get()
+        table = tuple(np.frombuffer(x, np.int64) for x in state) if state else (np.empty(0, np.int64), np.empty(0, np.int64))
+        report = []
+        for number in sorted(found):
+            before, table = len(table[0]), merged(table, *combined(*map(np.concatenate, zip(*found.pop(number), strict=True))))
+            report.append((key[0], number, len(table[0]) - before))
+        if len(table[0]) > LARGEST:
+            raise ValueError(f"bucket {key[0]} holds {len(table[0])} k-mers; start again with more buckets")
+        self.entry.update(tuple(x.tobytes() for x in table))
+        yield pd.DataFrame(report, columns=["bucket", "batch", "new_kmers"])
+
+    def close(self) -> None:
+        pass
+
+
+def combined(kmers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct k-mers with the sums of their counts."""
+    order = np.argsort(kmers, kind="stable")
+    kmers, n = kmers[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], kmers[1:] != kmers[:-1]]))
+    return kmers[first], np.add.reduceat(n, first)
+
+
+def packed(kmers: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows (batch, kmer, part) as rows of up to 2^10 k-mers of one bucket: the state is then asked once per bucket, not per k-mer."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for part in parts:
+            held.append(part)
+            rows += part.num_rows
+            if rows >= _PACK_ROWS:
+                yield _packed(held, buckets)
+                held, rows = [], 0
+        if rows:
+            yield _packed(held, buckets)
+
+    return kmers.select("batch", "kmer", "part").mapInArrow(pack, _PACKED)
+
+
+def _packed(held: list[pa.RecordBatch], buckets: int) -> pa.RecordBatch:
+    batch, kmers, n = (np.concatenate([part.column(c).to_numpy(zero_copy_only=False) for part in held]) for c in range(3))
+    bucket = (kmers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.lexsort((bucket, batch))
+    batch, bucket, kmers, n = batch[order], bucket[order], kmers[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (batch[1:] != batch[:-1])]))
+    sizes = np.diff(np.append(first, len(kmers)))
+    pieces = -(-sizes // _ROW_KMERS)
+    place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.repeat(first, pieces) + place * _ROW_KMERS
+    offsets = pa.py_buffer((np.append(first, len(kmers)) * 8).astype(np.int32))
+    blobs = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(np.ascontiguousarray(x, np.int64))]) for x in (kmers, n)]
+    columns = [pa.array(bucket[first].astype(np.int32)), pa.array(batch[first].astype(np.int32)), *blobs]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "batch", "kmers", "n"])
+
+
+def stream_packed(kmers: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Streaming (bucket, batch, new_kmers): the state counts the k-mers, the rows say how many of them each batch brought."""
+    return packed(kmers, buckets).groupBy("bucket").transformWithStateInPandas(PackedCounts(), PACKED_REPORT, "Update", "None")
+
+
+def buckets_for(total: int) -> int:
+    """Buckets for so many bytes of FASTQ: an entry of some megabytes at most."""
+    return max(BUCKETS, 1 << max(0, total >> 21).bit_length())
+
+
 def stream_super_kmers(
     spark: SparkSession, folder: str, k: int = bases.DEFAULT_K, u_as_t: bool = True, batches_per_trigger: int = 1, buckets: int = BUCKETS
 ) -> DataFrame:
@@ -116,10 +197,12 @@ def bucket_table(spark: SparkSession, folder: str) -> DataFrame:
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kmers, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (kmers, n)], ["kmer", "n"])
+            for pair in zip(batch.column(0), batch.column(1), strict=True):
+                kmers, n = (np.frombuffer(x.as_buffer(), np.int64) for x in pair)
+                for lo in range(0, len(kmers), _ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + _ROWS]) for x in (kmers, n)], ["kmer", "n"])
 
-    if not written(spark, f"{folder}/reports/epoch=*", REPORT).take(1):
+    if not written(spark, f"{folder}/reports/epoch=*", "bucket int").take(1):
         return spark.createDataFrame([], "kmer bigint, n bigint")
     state = spark.read.format("statestore").option("stateVarName", "counts").load(f"{folder}/checkpoint")
     rows = state.select("value.kmers", "value.n").mapInArrow(unpacked, "kmer bigint, n bigint")
