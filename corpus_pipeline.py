@@ -15,8 +15,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that of the smallest doc_id."""
-    return near_copies.one_of_each_group(docs)
+    """One document of each group of near copies, that of the smallest doc_id.
+
+    Near copies are linked by their SimHash fingerprints as in op1, and where those lie further
+    apart by a similarity of 0.8 or more over five-word shingles.
+    """
+    return near_copies.one_of_each_group(docs, fingerprints=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ its sets: of the ranges in use, similar sets agree on four fifths; a pair that a
 than two fifths of 48 or more is let go, which by Chernoff's bound happens to one similar
 pair in 10^7 at most at exactly 48 ranges and to one in 10^19 where all are in use. All
 others are verified on whole sets. The sample decides costs, not results.
+
+The pipeline's stage goes by SimHash first: rows whose fingerprints link (simhash.py) are near
+copies, and the exact similarity adds those that lie at more bits, in one search for components.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixtally.llm import simhash
 from helixtally.llm.bits import passes, table_of
-from helixtally.llm.common import delete, written
+from helixtally.llm.common import delete, kept, written
 from helixtally.llm.components import components
 
 SHINGLE = 5
@@ -51,6 +55,11 @@ class _Names(dict):
         return found
 
 
+def _known() -> _Names:
+    """This process's names, so that the tasks of a worker share what they remember."""
+    return kept(("near_copies",), _Names)
+
+
 def shingles(text: bytes | None, shingle: int, known: dict) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles, lower-cased; a text of fewer words is one shingle, one without words has none."""
     words = (text or b"").lower().split()
@@ -121,18 +130,23 @@ def _some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (part.slice(at, _ROWS) for at in range(0, part.num_rows, _ROWS))
 
 
-def _tags(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, name, node, sketch) per row."""
+def _tags(docs: DataFrame, shingle: int, fingerprints: bool = False) -> DataFrame:
+    """(doc_id, name, node, sketch, bits) per row; bits: the SimHash fingerprint, null unless asked for."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Names()
+        known = _known()
         for part in _some(parts):
-            sets = [shingles(t.as_py(), shingle, known) for t in part.column(1).cast(pa.binary())]
+            texts = part.column(1).cast(pa.binary())
+            sets = [shingles(t.as_py(), shingle, known) for t in texts]
             nodes = np.array([_node(s) for s in sets], np.int64)
             names = _name(nodes, part.column(0)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(nodes), pa.array(list(map(sketch, sets)), pa.binary())], ["doc_id", "name", "node", "sketch"])
+            bits = pa.nulls(len(sets), pa.int64())
+            if fingerprints:
+                bits = pa.array(np.array([simhash.fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
+            columns = [part.column(0), pa.array(names), pa.array(nodes), pa.array(list(map(sketch, sets)), pa.binary()), bits]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "node", "sketch", "bits"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "doc_id bigint, name bigint, node bigint, sketch binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "doc_id bigint, name bigint, node bigint, sketch binary, bits bigint")
 
 
 def _sets(docs: DataFrame, shingle: int, wanted: np.ndarray | None = None) -> DataFrame:
@@ -140,7 +154,7 @@ def _sets(docs: DataFrame, shingle: int, wanted: np.ndarray | None = None) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _Names(), set()
+        known, seen = _known(), set()
         for part in _some(parts):
             sets = [shingles(t.as_py(), shingle, known) for t in part.column(0).cast(pa.binary())]
             nodes = np.array([_node(s) for s in sets], np.int64)
@@ -172,7 +186,7 @@ def _keys(docs: DataFrame, shingle: int, percent: int, rows: int) -> DataFrame:
     names = ["key", "salt", "node", "size", "at", "marks"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _Names(), set()
+        known, seen = _known(), set()
         for part in _some(parts):
             firsts, salts, nodes, sizes, places, signs = [], [], [], [], [], []
             for t in part.column(0).cast(pa.binary()):
@@ -257,24 +271,37 @@ def _roots(docs: DataFrame, tags: DataFrame, shingle: int, percent: int) -> Data
     return found
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _joined(found: DataFrame) -> DataFrame:
+    """(doc_id, name, root) of found (doc_id, name, root, bits), roots whose fingerprints link made one."""
+    found = written(found, "apart")
+    alike = simhash.roots(written(found.select("bits").distinct(), "bits")).select(F.col("node").alias("bits"), F.col("root").alias("alike"))
+    held = found.select("bits", "root").distinct().join(alike, "bits", "left").select(F.coalesce("alike", "bits").alias("alike"), "root")
+    held = written(held.distinct(), "held")
+    hubs = held.groupBy("alike").agg(F.min("root").alias("hub"))
+    met = held.join(hubs, "alike").where("root <> hub").select(F.col("root").alias("u"), F.col("hub").alias("v"))
+    tops = components(met.distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return found.join(tops, "root", "left").select("doc_id", "name", F.coalesce("top", "root").alias("root"))
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, fingerprints: bool = False) -> DataFrame:
     """(doc_id, name, root) per row of docs: name stands for its doc_id with its set of shingles, root for its component over similar texts.
 
-    A null text is empty, and empty ones are copies of each other. Repeated rows have one
+    With `fingerprints`, texts whose SimHash fingerprints link are similar too. A null text is empty, and empty ones are copies of each other. Repeated rows have one
     name. Columns beside doc_id and text are not read. docs must be a table.
     """
-    tags = written(_tags(docs, shingle), "tags")
+    tags = written(_tags(docs, shingle, fingerprints), "tags")
     roots = _roots(docs, tags, shingle, percent)
-    return tags.join(roots, "node", "left").select("doc_id", "name", F.coalesce("root", "node").alias("root"))
+    found = tags.join(roots, "node", "left").select("doc_id", "name", F.coalesce("root", "node").alias("root"), "bits")
+    return _joined(found) if fingerprints else found.drop("bits")
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, fingerprints: bool = False) -> DataFrame:
     """docs without the near copies: one row of each component stays, that of the smallest doc_id; null comes last.
 
     All columns of docs are returned, whatever their names. Of rows that share doc_id and
     set of shingles one stays. docs must be a table.
     """
-    found = written(groups(docs, shingle, percent), "groups")
+    found = written(groups(docs, shingle, percent, fingerprints), "groups")
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("x")).select("x.name")
     chosen = written(least, "chosen")
     often = found.groupBy("name").count().where("count > 1").select("name")
@@ -288,7 +315,7 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         field.nullable = True
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Names()
+        known = _known()
         for part in _some(parts):
             texts, ids = part.column(columns.index("text")).cast(pa.binary()), part.column(columns.index("doc_id")).cast(pa.int64())
             names = _name(np.array([_node(shingles(t.as_py(), shingle, known)) for t in texts], np.int64), ids)

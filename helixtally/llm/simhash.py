@@ -102,6 +102,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.where((F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= LINK_BITS) & (F.col("u") != F.col("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def roots(distinct: DataFrame) -> DataFrame:
+    """(node, root) of all fingerprints of distinct (bits) that link with another one."""
+    return components(written(links(distinct), "links"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, bits, component_id) per row of docs: the smallest doc_id reachable over links.
 
@@ -111,8 +116,8 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     rows = written(fingerprints(docs), "fingerprints")
     nodes = written(rows.groupBy("bits").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(written(links(nodes), "links"))
-    named = nodes.join(roots, nodes.bits == roots.node, "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
+    linked = roots(nodes)
+    named = nodes.join(linked, nodes.bits == linked.node, "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = named.join(smallest, "root").select("bits", "component_id")
     return rows.join(ids, "bits").select("doc_id", "bits", "component_id")
