@@ -40,7 +40,8 @@ BUCKETS = 1 << 12  # where no session says how many partitions there are
 HOT_SHARE, HOT_ROWS = 16, 1 << 12  # a hot bucket has so many times its even share of a slice, and so many records
 SALTS = 1 << 10
 _STEP = 1 << 17
-_PACK_ROWS = 1 << 20
+_PACK_ROWS = 1 << 18
+_TALLY_ROWS = 1 << 21  # windows that a task of the count sorts at once
 _ROW_RECORDS = 1 << 7  # of a row of the exchange: a batch of Spark's 10,000 rows then stays below 21 MB
 _WHOLE = 1 << 23  # windows of a bucket that are sorted at once
 
@@ -100,7 +101,7 @@ def cut(
 
 
 def pack(cuts: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, salt, records) of the buckets that occur in about 2^20 super-k-mers, up to 128 records each."""
+    """Rows (bucket, salt, records) of the buckets that occur in about 2^18 super-k-mers, up to 128 records each."""
     held, rows = [], 0
     for order, records in cuts:
         held.append(((order % np.uint32(buckets)).astype(np.uint32), records))
@@ -197,12 +198,16 @@ def _reverse_complement(code: np.ndarray, k: int) -> np.ndarray:
 
 
 def count_super_kmers(stretches: DataFrame, k: int) -> DataFrame:
-    """Count table of super-k-mers; copies meet in one task and are combined by sorting there."""
+    """Count table of super-k-mers; copies meet in one task and are combined by sorting there.
+
+    A task takes its buckets one after the other, so the copies of a k-mer come close together
+    and a short stretch of windows, sorted at a time, combines most of them.
+    """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from tallies(values for batch in batches for values in codes_of(batch.column(0), k))
+        yield from tallies((values for batch in batches for values in codes_of(batch.column(0), k)), _TALLY_ROWS)
 
-    moved = stretches.repartition(F.col("bucket"), F.col("salt")).drop("bucket", "salt")
+    moved = stretches.repartition(F.col("bucket"), F.col("salt")).sortWithinPartitions("bucket").drop("bucket", "salt")
     tallied = moved.mapInArrow(tally, "kmer bigint, part bigint")
     return tallied.groupBy("kmer").agg(F.sum("part").alias("n"))
 

@@ -57,21 +57,22 @@ def kmers(
     return reads.select(*keep, seq).mapInArrow(extract, schema)
 
 
-def tallies(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Combine codes within a task: (kmer, part) per run of equal codes in about 2^23 sorted ones.
+def tallies(parts: Iterator[np.ndarray], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Combine codes within a task: (kmer, part) per run of equal codes in about 2^23 (or `most`) sorted ones.
 
     The codes lie in one array that is filled again and again; it and the places of its runs are all that is held.
     """
+    most = most or _SORT_ROWS
     held, rows = np.empty(0, np.int64), 0
     for values in parts:
         done = 0
         while done < len(values):
-            if rows == _SORT_ROWS:
+            if rows == most:
                 yield from sorted_runs(held)
                 rows = 0
-            some = values[done : done + _SORT_ROWS - rows]
+            some = values[done : done + most - rows]
             if rows + len(some) > len(held):
-                held = np.concatenate([held[:rows], np.empty(min(_SORT_ROWS, max(2 * len(held), rows + len(some), 1 << 16)) - rows, np.int64)])
+                held = np.concatenate([held[:rows], np.empty(min(most, max(2 * len(held), rows + len(some), 1 << 16)) - rows, np.int64)])
             held[rows : rows + len(some)] = some.view(np.int64)
             rows, done = rows + len(some), done + len(some)
     if rows:
