@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from helixtally.operators import codes
 
 TALLY_SCHEMA = "kmer bigint, part bigint"
 _SORT_ROWS, _OUT_ROWS = 1 << 23, 1 << 18
+PIECE = 1 << 8  # windows of a piece of a run: substr walks from the start of its text
 
 
 def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,19 +140,35 @@ def kmer_strings(reads: DataFrame, k: int, keep: tuple[str, ...] = (), seq: str
     """Built-ins only: (..keep.., run, pos, kmer, canon) per window, in text form.
 
     ``run`` numbers the stretches of at least k bases of a read from 0, ``pos``
-    the windows of a stretch from 1.
+    the windows of a stretch from 1. Runs are cut into pieces, and both strands of
+    a piece are spelled once, so a window costs two short substrings.
     """
     bases.check_k(k)
     stretches = F.split(bases.normalize(F.col(seq), u_as_t), "[^ACGT]+")
     return (
         reads.select(*keep, F.posexplode_outer(F.filter(stretches, lambda s: F.length(s) >= k)).alias("run", "bases"))
         .where(F.col("bases").isNotNull())
-        .select(*keep, "run", "bases", F.explode_outer(F.sequence(F.lit(1), F.length("bases") - (k - 1))).alias("pos"))
-        .select(*keep, "run", "pos", F.substr("bases", "pos", F.lit(k)).alias("kmer"))
-        .withColumn("canon", bases.canonical(F.col("kmer")))
+        .select(*keep, "run", F.inline_outer(_pieces("bases", k, PIECE * PIECE)).alias("far", "slice"))
+        .select(*keep, "run", "far", F.inline_outer(_pieces("slice", k, PIECE)).alias("near", "piece"))
+        .select(*keep, "run", (F.col("far") + F.col("near")).alias("at"), "piece", bases.revcomp(F.col("piece")).alias("other"))
+        .select(*keep, "run", "at", "piece", "other", F.explode_outer(F.sequence(F.lit(1), F.length("piece") - (k - 1))).alias("p"))
+        .select(
+            *keep,
+            "run",
+            (F.col("at") + F.col("p")).alias("pos"),
+            F.substr("piece", "p", F.lit(k)).alias("kmer"),
+            F.substr("other", F.length("piece") - F.col("p") - (k - 2), F.lit(k)).alias("mirror"),
+        )
+        .select(*keep, "run", "pos", "kmer", F.least("kmer", "mirror").alias("canon"))
     )
 
 
+def _pieces(text: str, k: int, size: int) -> Column:
+    """(place from 0, piece) of a text of k characters or more: every window of k lies in one piece, `size` in each but the last."""
+    starts = F.sequence(F.lit(0), F.length(text) - k, F.lit(size))
+    return F.transform(starts, lambda f: F.struct(f.alias("at"), F.substr(F.col(text), f + 1, F.lit(size + k - 1)).alias("piece")))
+
+
 def total_kmers(reads: DataFrame, k: int = bases.DEFAULT_K, seq: str = "seq", u_as_t: bool = True) -> DataFrame:
     """Number of k-mer occurrences, from the mask of valid windows alone: no k-mer is built, one row per task moves."""
     bases.check_k(k)
