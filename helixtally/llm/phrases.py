@@ -7,10 +7,11 @@ up to five words that begins before the next trigger, and each such n-gram belon
 chunk alone. The distinct chunks of a language with their numbers are the dictionary;
 n-grams are counted inside distinct chunks, weighted by these numbers.
 
-A phrase is frequent only if all phrases inside it are, so bigrams are named where both
-words may be frequent, and longer n-grams where all their bigrams may be. "May be" is a
+A phrase is frequent only if all phrases inside it are. Words and bigrams are counted by
+half hashes first, then longer n-grams all of whose bigrams may be frequent. "May be" is a
 bit table of fixed size over hashes of what is frequent: it lets through too much, never
-too little, and decides costs only. What passes is counted exactly, text by text.
+too little, and decides costs only. What passes, hardly more than what is frequent, is
+counted exactly, text by text. A task sums up what it counts and sends a row per bucket.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixtally.llm.bits import passes, table_of
-from helixtally.llm.common import written
+from helixtally.llm.common import partitions, written
+from helixtally.llm.slices import bounds_of
 from helixtally.llm.words import WordHashes, rolling
 
 LONGEST = 5
@@ -36,6 +39,7 @@ TRIGGER = LONGEST - 1  # words of the window whose hash triggers
 EVERY = 128  # one window in so many triggers
 _SEGMENT = 1 << 20  # bytes after which a text is cut at the end of a piece
 _TOKENS = 1 << 22  # that are counted at once
+_TEXTS = 1 << 18  # distinct phrases that a task sums up at once
 _END = b"."  # stands for the end of a piece; no word holds it
 
 _PLAIN = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256)).lower()
@@ -102,9 +106,8 @@ class _Batch:
         heads, bodies = zip(*(c.split(b" ", 1) for c in part.column(1).to_pylist()), strict=True)
         self.langs = part.column(0).to_pylist()
         kinds = {x: np.uint64(xxhash.xxh64_intdigest(x)) for x in set(self.langs)}
-        tokens = [b.split(b" ") for b in bodies]
-        sizes = np.array([len(t) + 1 for t in tokens])
-        self.tokens = [x for t in tokens for x in (*t, _END)]
+        sizes = np.array([b.count(b" ") + 2 for b in bodies])
+        self.tokens = b" ".join(x for b in bodies for x in (b, _END)).split(b" ")
         self.names = _named(self.tokens, known)
         starts = np.cumsum(sizes) - sizes
         self.chunk = np.repeat(np.arange(len(sizes)), sizes)
@@ -121,7 +124,7 @@ class _Batch:
     def words(self, n: int) -> np.ndarray:
         """Whether an n-gram of words begins at each position."""
         if n not in self.whole:
-            self.whole[n] = self.whole[n - 1] & np.append(self.whole[1][n - 1 :], np.zeros(n - 1, np.bool_))
+            self.whole[n] = self.words(n - 1) & np.append(self.whole[1][n - 1 :], np.zeros(n - 1, np.bool_))
         return self.whole[n]
 
     def text(self, at: int, n: int) -> bytes:
@@ -130,87 +133,121 @@ class _Batch:
 
 def _weighted(names: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct names, where one of each stands, and the sum of its times."""
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     names = names[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(names)), np.bool_), names[1:] != names[:-1])))
     sums = np.add.reduceat(times[order], first) if len(first) else times[:0]
     return names[first], order[first], sums
 
 
-def _after(x: np.ndarray) -> np.ndarray:
-    return np.append(x[1:], False)
-
-
 def _batches(parts: Iterator[pa.RecordBatch], known: WordHashes) -> Iterator[_Batch]:
     for part in parts:
         if part.num_rows:
             yield _Batch(part, known)
 
 
-def _table(chunks: DataFrame, n: int, inside: np.ndarray | None, least: int) -> np.ndarray:
-    """The bit table of n-grams (1 or 2 words) that occur `least` times or more; bigrams of words that `inside` lets pass.
+def _alive(made: _Batch, inside: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For 3 words and more: which n-grams here have only bigrams that the table lets pass."""
+    pairs = passes(inside, made.grams(2))
+    alive = pairs
+    for n in range(3, LONGEST + 1):
+        alive = alive & np.append(pairs[n - 2 :], np.zeros(n - 2, np.bool_))
+        yield n, made.words(n) & made.own & alive
+
+
+def _table(chunks: DataFrame, inside: np.ndarray | None, least: int) -> np.ndarray:
+    """The bit table of n-grams that occur `least` times or more: of words and bigrams, or of longer ones by the bigrams `inside` lets pass.
 
     Half of a hash names an n-gram here: those that share a name only let each other through.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(inside)
+    buckets = 4 * partitions(chunks)
+    small = np.min_scalar_type(least)  # a sum beyond `least` says no more than `least`
 
     def named(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, names, times, held = WordHashes(), [], [], 0
 
         def rows() -> pa.RecordBatch:
             found, _, sums = _weighted(np.concatenate(names), np.concatenate(times))
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(sums)], ["name", "n"])
+            sums, bounds = np.minimum(sums, least).astype(small), bounds_of(found.astype(np.uint64) << np.uint64(32), buckets)
+            full = np.flatnonzero(np.diff(bounds))
+            bodies = [found[bounds[b] : bounds[b + 1]].tobytes() + sums[bounds[b] : bounds[b + 1]].tobytes() for b in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
         for made in _batches(parts, known):
-            good = made.words(n) & made.own
-            if n == 2:
-                passed = passes(shared.value, made.grams(1))
-                good &= passed & _after(passed)
-            names.append(made.grams(n)[good].astype(np.uint32))
-            times.append(made.times[good])
-            held += len(names[-1])
+            good = ((n, made.words(n) & made.own) for n in (1, 2)) if shared.value is None else _alive(made, shared.value)
+            for n, at in good:
+                names.append(made.grams(n)[at].astype(np.uint32))
+                times.append(made.times[at])
+                held += len(names[-1])
             if held > _TOKENS:
                 yield rows()
                 names, times, held = [], [], 0
         if held:
             yield rows()
 
-    counted = chunks.mapInArrow(named, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
-    return table_of(counted.where(F.col("n") >= least))
+    def summed(rows: pa.Table) -> pa.Table:
+        bodies = [(b, len(b) // (4 + small.itemsize)) for b in rows.column("body").to_pylist()]
+        names = np.concatenate([np.frombuffer(b, np.uint32, n) for b, n in bodies])
+        found, _, sums = _weighted(names, np.concatenate([np.frombuffer(b, small, n, 4 * n) for b, n in bodies]).astype(np.int64))
+        return pa.table({"name": pa.array(found[sums >= least].astype(np.int64))})
+
+    sent = chunks.mapInArrow(named, "bucket int, body binary")
+    return table_of(sent.groupBy("bucket").applyInArrow(summed, "name bigint"))
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, n): phrases of 1 to LONGEST words that occur `least` times or more, and a row of 0 words with the number of all words."""
     chunks = written(dictionary(docs), "chunks")
-    one = _table(chunks, 1, None, least)
-    two = _table(chunks, 2, one, least)
-    shared = chunks.sparkSession.sparkContext.broadcast((one, two))
+    short = _table(chunks, None, least)
+    shared = chunks.sparkSession.sparkContext.broadcast((short, _table(chunks, short, least)))
+    buckets = 4 * partitions(chunks)
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, found = WordHashes(), Counter()
+
+        def rows() -> pa.RecordBatch:
+            keys, counts = np.array(list(found), object), np.fromiter(found.values(), np.int64, len(found))
+            bucket = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)) % np.uint64(buckets)
+            order = np.argsort(bucket)
+            stops = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).astype(np.int32)
+            full = np.flatnonzero(np.diff(stops))
+            offsets = pa.array(np.append(stops[full], stops[-1]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(keys[order], pa.string()), pa.array(counts[order]))]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *lists], ["bucket", "keys", "counts"])
+
+        def add(keys: list[str], sums: np.ndarray) -> None:
+            for key, n in zip(keys, sums.tolist(), strict=True):
+                found[key] += n
+
         for made in _batches(parts, known):
-            single, pairs = passes(shared.value[0], made.grams(1)), passes(shared.value[1], made.grams(2))
-            every = made.words(1) & made.own
+            every = np.flatnonzero(made.words(1) & made.own)
             _, place, sums = _weighted(made.kind[every], made.times[every])
-            keys, counts = [f"\n{made.langs[made.chunk[i]]}" for i in np.flatnonzero(every)[place]], sums.tolist()
-            alive = np.ones(len(single), np.bool_)
-            for n in range(1, LONGEST + 1):
-                if n > 1:
-                    good = np.append(pairs[n - 2 :], np.zeros(n - 2, np.bool_))
-                    alive = alive & good
-                at = np.flatnonzero(made.words(n) & made.own & (single if n == 1 else alive))
+            add([f"\n{made.langs[made.chunk[i]]}" for i in every[place]], sums)
+            short, long = shared.value
+            good = [(n, made.words(n) & made.own & passes(short, made.grams(n))) for n in (1, 2)]
+            for n, at in (*good, *((n, at & passes(long, made.grams(n))) for n, at in _alive(made, short))):
+                at = np.flatnonzero(at)
                 _, place, sums = _weighted(made.grams(n)[at], made.times[at])
-                at = at[place].tolist()
-                keys += [f"{made.text(i, n).decode()}\n{made.langs[made.chunk[i]]}" for i in at]
-                counts += sums.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts, pa.int64())], ["key", "n"])
+                add([f"{made.text(i, n).decode()}\n{made.langs[made.chunk[i]]}" for i in at[place].tolist()], sums)
+            if len(found) > _TEXTS:
+                yield rows()
+                found.clear()
+        if found:
+            yield rows()
+
+    def summed(rows: pa.Table) -> pa.Table:
+        every = pa.table({"key": pc.list_flatten(rows.column("keys")), "n": pc.list_flatten(rows.column("counts"))})
+        sums = every.group_by("key").aggregate([("n", "sum")]).select(["key", "n_sum"]).rename_columns(["key", "n"])
+        return sums.filter(pc.or_(pc.greater_equal(sums.column("n"), least), pc.starts_with(sums.column("key"), "\n")))
 
-    # one text per row of the exchange: the phrase, which holds no line end, and its language
-    sums = chunks.mapInArrow(counted, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    # one text per phrase: the phrase, which holds no line end, and its language
+    sent = chunks.mapInArrow(counted, "bucket int, keys array<string>, counts array<bigint>")
+    sums = sent.groupBy("bucket").applyInArrow(summed, "key string, n bigint")
     place = F.expr("instr(key, '\\n')")
     phrase, lang = F.expr("left(key, instr(key, '\\n') - 1)"), F.substr("key", place + 1)
     words = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1)
-    return sums.select(lang.alias("lang"), phrase.alias("phrase"), words.cast("int").alias("words"), "n").where((F.col("n") >= least) | (F.col("words") == 0))
+    return sums.select(lang.alias("lang"), phrase.alias("phrase"), words.cast("int").alias("words"), "n")
 
 
 def _part(first: Column | int, size: Column | int) -> Column:

@@ -92,6 +92,19 @@ def test_chunks_overlap_once(docs):
     assert one.count() <= 3 * 8
 
 
+def test_rows_of_counts_follow_tasks(spark, tmp_path, monkeypatch):
+    """Round 3, op11: a task sends a row per bucket, and of texts hardly more than those that are frequent."""
+    spark.createDataFrame([(prose(k, 1500, "abcdefghijklmnop").replace(".", ""), "en") for k in range(40)], "text string, lang string").repartition(4).write.parquet(str(tmp_path / "x"))
+    docs, made = spark.read.parquet(str(tmp_path / "x")), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **b: made.append(plain(*a, **b)) or made[-1])
+    want = phrases.frequent(docs, 60).count()
+    sent = made[-1].collect()
+    tasks, buckets = made[-1].rdd.getNumPartitions(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(step.count() <= tasks * buckets for step in made[1:])
+    assert want - 1 <= sum(len(r["keys"]) for r in sent) <= 1.1 * tasks * want + 20
+
+
 def test_large_numbers_are_exact(spark, monkeypatch):
     """Products beyond 64 bits: counts as if every row stood for 10^7."""
     table = phrases.frequent(spark.createDataFrame([("a b c. a b. b c. a c. " * 30, "en")], "text string, lang string"), 20)
