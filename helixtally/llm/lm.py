@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -53,14 +54,28 @@ def _known() -> _Names:
 END = xxhash.xxh3_64_intdigest(b"\n") // ENDINGS * ENDINGS  # no word holds a line end
 
 
+def _strings(column: pa.LargeStringArray) -> list[bytes]:
+    """The column's strings as bytes, faster than to_pylist()."""
+    _, bounds, body = column.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[column.offset :][: len(column) + 1].tolist() if len(column) else [0]
+    body = body.to_pybytes() if body else b""
+    return [body[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
+
+
 def _tokens(texts: list[bytes], known: _Names) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of the texts in a row, each text closed by END; where each text stops."""
-    words = [t.lower().split() for t in texts]
-    stops = np.cumsum([len(w) + 1 for w in words])
+    lowered = pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    split = pc.ascii_split_whitespace(lowered)
+    words, bounds = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+    kinds = _strings(words.dictionary)  # distinct words, and what stands before a text's first white space or behind its last
+    place = words.indices.to_numpy()
+    real = np.fromiter(map(bool, kinds), np.bool_, len(kinds))[place]
+    stops = np.concatenate(([0], np.cumsum(real)))[bounds[1:] - bounds[0]] + np.arange(1, len(texts) + 1)
     every = np.empty(int(stops[-1]) if len(stops) else 0, np.uint64)
-    for w, stop in zip(words, stops.tolist(), strict=True):
-        every[stop - 1 - len(w) : stop - 1] = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-        every[stop - 1] = END
+    word = np.ones(len(every), np.bool_)
+    word[stops - 1] = False
+    every[word] = np.fromiter(map(known.__getitem__, kinds), np.uint64, len(kinds))[place[real]]
+    every[stops - 1] = END
     return every, stops
 
 

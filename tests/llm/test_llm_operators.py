@@ -274,6 +274,25 @@ def test_scores_are_unigram_bases_and_probabilities(docs, rows, empty):
     assert lm.scores(empty).count() == 0
 
 
+def test_each_distinct_word_is_looked_up_once():
+    """Round 3, op5: tokens of awkward texts, whose words are named once for all."""
+    texts = [b"", b" ", "  É ß\x0bx\x0c\r\n\ty\u0085Z \x1c\x1d a\x00b A\x00B".encode(), b"\xff\xfe X\x85y\xa0Z", b"the End the end " * 500, b"\n"]
+
+    class Asked(list):
+        def __getitem__(self, word):
+            self.append(word)
+            return zlib.crc32(word)
+
+    for some in (texts, texts[:1], texts[1:2] * 3, []):
+        asked = Asked()
+        tokens, stops = lm._tokens(some, asked)
+        words = [t.lower().split() for t in some]
+        assert tokens.tolist() == [x for w in words for x in (*map(zlib.crc32, w), lm.END)]
+        assert np.diff(stops, prepend=0).tolist() == [len(w) + 1 for w in words]
+        assert sorted(set(asked) - {b""}) == sorted({x for w in words for x in w})
+        assert len(asked) == len(set(asked))
+
+
 def plain_score(tokens, corpus, values):
     """log10 probability of tokens, the end among them, one number at a time."""
     size, hidden = lm.FREQUENT + lm.ENDINGS, gru.HIDDEN
