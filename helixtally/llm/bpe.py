@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixtally.llm.common import kept
+from helixtally.llm.common import in_turn, kept
 
 _LEAF = 8  # bits of a rank that its leaf bitmap tells apart
 _LOW = (1 << _LEAF) - 1
@@ -141,11 +141,9 @@ def encoded(texts: DataFrame, path: str, pattern: str, keep_ids: bool = True) ->
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = kept(("bpe", path, pattern), lambda: Vocabulary(path, pattern))
-        for part in parts:
-            for at in range(0, part.num_rows, 512):
-                some = part.slice(at, 512)
-                n, ids, decoded, *lists = zip(*rows(vocabulary, some.column(1)), strict=True)
-                arrays = [some.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), *(pa.array(x, pa.list_(pa.int32())) for x in lists)]
-                yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in fields.split(", ")])
+        for some in in_turn(parts, 512):
+            n, ids, decoded, *lists = zip(*rows(vocabulary, some.column(1)), strict=True)
+            arrays = [some.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), *(pa.array(x, pa.list_(pa.int32())) for x in lists)]
+            yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in fields.split(", ")])
 
     return texts.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(batches, fields)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,15 @@ def partitions(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def in_turn(parts: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows at most. Behind each batch, what Arrow holds unused goes back to the system: idle workers hold it else."""
+    for part in parts:
+        yield from (part.slice(at, rows) for at in range(0, part.num_rows, rows))
+        pa.default_memory_pool().release_unused()
+    part = None
+    pa.default_memory_pool().release_unused()
+
+
 def kept(key: tuple, make: Callable[[], Any]) -> Any:
     """What make() gives, made once per worker process; only the object of the last key is held.
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from helixtally.llm import simhash
 from helixtally.llm.bits import passes, table_of
-from helixtally.llm.common import delete, kept, written
+from helixtally.llm.common import delete, in_turn, kept, written
 from helixtally.llm.components import components
 
 SHINGLE = 5
@@ -40,8 +40,9 @@ SAMPLE, LISTED = 2000, 1 << 16  # rows in which frequent shingles are looked for
 HOT_SHARE, SALTS = 100, 64  # a key that one sampled row in so many holds is dealt out
 MOST_MARKS = 24  # of 64 in which similar sets differ
 RANGES, FEW_RANGES, SAFE_PERCENT = 128, 48, 80  # of a sketch; fewer in use, or a lower similarity, and sets decide alone
-_CACHED = 1 << 18  # words, and sets, that a task remembers
+_CACHED = 1 << 16  # words, and sets, that a task remembers
 _ROWS = 1024  # texts whose sets are held at once
+_PAIRS = 1 << 12  # pairs whose sketches are compared at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,8 +127,7 @@ def _name(node: np.ndarray, doc_id: pa.Array) -> np.ndarray:
 
 
 def _some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        yield from (part.slice(at, _ROWS) for at in range(0, part.num_rows, _ROWS))
+    return in_turn(parts, _ROWS)
 
 
 def _tags(docs: DataFrame, shingle: int, fingerprints: bool = False) -> DataFrame:
@@ -214,7 +214,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     one, two = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"of_{x}")) for x in "uv")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in in_turn(parts, _PAIRS):
             a, b = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, RANGES) for k in (2, 3))
             yield part.select(["u", "v"]).filter(pa.array(plausible(a, b, percent)))
 

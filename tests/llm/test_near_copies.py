@@ -1,9 +1,10 @@
 """Near copies of the pipeline against brute force over all pairs."""
 
 import duckdb
+import pyarrow as pa
 
 import corpus_pipeline
-from helixtally.llm import near_copies, simhash
+from helixtally.llm import common, near_copies, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -103,3 +104,14 @@ def test_stage_links_by_simhash(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "rows"))
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()) == [1, 4]
     assert sorted(r.doc_id for r in near_copies.one_of_each_group(docs).collect()) == [1, 2, 4]  # by similarity alone
+
+
+def test_unused_memory_goes_back_behind_each_batch(monkeypatch):
+    """Round 3, pipeline: the slices hold all rows in order, and the pool is asked behind each batch and at the end."""
+    asked, pool = [], pa.default_memory_pool()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: asked.append(1) or pool)
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (10, 0, 3)]
+    got = [part.column(0).to_pylist() for part in common.in_turn(iter(batches), 4)]
+    assert got == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9], [0, 1, 2]]
+    assert len(asked) == 4
+    assert list(common.in_turn(iter([]), 4)) == []
