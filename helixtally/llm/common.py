@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: The white space that ends a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[ \\t-\\r]+"
+BATCH = "4m"  # of rows for Python, in written_small()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +40,20 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_small(df: DataFrame, name: str = "step") -> DataFrame:
+    """written(), with Python given rows in batches of BATCH bytes: every running task holds a batch or two in the JVM and in its worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key, None)
+    conf.set(key, BATCH)
+    try:
+        return written(df, name)
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
 def delete(df: DataFrame) -> None:
     """Deletes a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixtally.llm.bits import passes, table_of
-from helixtally.llm.common import delete, written
+from helixtally.llm.common import delete, in_turn, written, written_small
 from helixtally.llm.words import WordHashes, rolling
 
 SEED = 4
@@ -29,6 +29,11 @@ _PUNCTUATION = b".,;:!?\"'()[]"
 _SLACK = 4
 _FEW = 1 << 16  # seeds of documents, of which one passes by chance at most while the items' seeds are few
 _HELD = 1 << 20  # distinct words that a task counts before it hands them on
+_ROWS = 512  # texts, or pairs of text and item, whose words are held at once
+
+
+def _some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return in_turn(parts, _ROWS)
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
@@ -104,7 +109,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for part in parts:
+        for part in _some(parts):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(list(_hashes(part.column(2), known)))], ["item", "item_id", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id IS NOT NULL").distinct()
@@ -116,7 +121,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     """(name, item, place, length, words): each item's seeds with their words."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _some(parts):
             for item, words in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 own = words.values.to_numpy().view(np.uint64)
                 n = min(SEED, len(own))
@@ -138,7 +143,7 @@ def _word_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
             words = pa.array([*found.index.to_numpy(np.int64).tolist(), None], pa.int64())
             return pa.RecordBatch.from_arrays([words, pa.array(np.append(found.to_numpy(np.int64), total))], ["word", "n"])
 
-        for part in parts:
+        for part in _some(parts):
             every = np.concatenate([np.empty(0, np.uint64), *_hashes(part.column(0), known)])
             total += len(every)
             some = pd.Series(every[passes(shared.value, every)].view(np.int64)).value_counts()
@@ -167,7 +172,7 @@ def _doc_seeds(docs: DataFrame, table: np.ndarray, lengths: list[int]) -> DataFr
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = WordHashes(), TaskContext.get().partitionId() << 36
-        for part in parts:
+        for part in _some(parts):
             chosen, words, seeds, places = [], [], [], []
             for k, own in enumerate(_hashes(part.column(2), known)):
                 found, at = [], []
@@ -197,9 +202,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     items = _items(benchmark)
     seeds = written(_item_seeds(items), "seeds")
     lengths = sorted(r.length for r in seeds.select("length").distinct().collect())  # 1 to SEED
-    counts = written(_word_counts(docs, table_of(seeds.select(F.explode("words").alias("name")))), "counts")
+    counts = written_small(_word_counts(docs, table_of(seeds.select(F.explode("words").alias("name")))), "counts")
     judged = written(_with_rarity(seeds, counts), "judged")
-    own = written(_doc_seeds(docs, table_of(seeds.select("name"), _FEW), lengths), "own")
+    own = written_small(_doc_seeds(docs, table_of(seeds.select("name"), _FEW), lengths), "own")
     met = own.select("row", F.inline(F.arrays_zip(F.col("names").alias("name"), "at"))).join(judged, "name")
     met = met.select("row", "item", F.struct((F.col("at") - F.col("place")).alias("diagonal"), "rare").alias("hit"))
     calls = met.groupBy("row", "item").agg(F.collect_list("hit").alias("hits"), F.max("hit.rare").alias("rare"))
@@ -207,7 +212,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     held = calls.join(own.select("row", "doc_id", "text_name", F.col("words").alias("passage")), "row").join(items, "item")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _some(parts):
             rows = []
             for k in range(part.num_rows):
                 hits = part.column(2)[k].values
@@ -220,7 +225,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _FOUND.split(", ")])
 
     held = held.select("doc_id", "item_id", "hits", "words", "passage", "text_name")
-    found = written(held.mapInArrow(batches, _FOUND), "found")
+    found = written_small(held.mapInArrow(batches, _FOUND), "found")
     for table in (items, seeds, counts, judged, own):
         delete(table)
     return found

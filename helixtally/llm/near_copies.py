@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from helixtally.llm import simhash
 from helixtally.llm.bits import passes, table_of
-from helixtally.llm.common import delete, in_turn, kept, written
+from helixtally.llm.common import delete, in_turn, kept, written, written_small
 from helixtally.llm.components import components
+from helixtally.llm.words import WordHashes
 
 SHINGLE = 5
 PERCENT = 80  # least similarity
@@ -40,28 +41,21 @@ SAMPLE, LISTED = 2000, 1 << 16  # rows in which frequent shingles are looked for
 HOT_SHARE, SALTS = 100, 64  # a key that one sampled row in so many holds is dealt out
 MOST_MARKS = 24  # of 64 in which similar sets differ
 RANGES, FEW_RANGES, SAFE_PERCENT = 128, 48, 80  # of a sketch; fewer in use, or a lower similarity, and sets decide alone
-_CACHED = 1 << 16  # words, and sets, that a task remembers
+_CACHED = 1 << 16  # sets that a task remembers
 _ROWS = 1024  # texts whose sets are held at once
 _PAIRS = 1 << 12  # pairs whose sketches are compared at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Names(dict):
-    """Word -> hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+_Names = WordHashes
 
 
 def _known() -> _Names:
-    """This process's names, so that the tasks of a worker share what they remember."""
+    """Names of words; what another operator has left in this worker process goes."""
     return kept(("near_copies",), _Names)
 
 
-def shingles(text: bytes | None, shingle: int, known: dict) -> np.ndarray:
+def shingles(text: bytes | None, shingle: int, known: _Names) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles, lower-cased; a text of fewer words is one shingle, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
@@ -223,10 +217,10 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) that are similar enough."""
-    pairs = written(_likely(pairs, sketches, percent), "likely")
+    pairs = written_small(_likely(pairs, sketches, percent), "likely")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
     sets = _sets(docs, shingle, table_of(ends)).join(ends.withColumnRenamed("name", "node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = written(sets, "sets")
+    sets = written_small(sets, "sets")
     one, two = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
     both = F.size(F.array_intersect("a", "b")).cast("bigint")
     similar = both * (100 + percent) >= (F.size("a").cast("bigint") + F.size("b")) * percent
@@ -247,7 +241,7 @@ def _roots(docs: DataFrame, tags: DataFrame, shingle: int, percent: int) -> Data
     same = Window.partitionBy("key", "salt")
     keys = _keys(docs, shingle, percent, tags.count()).select("key", "salt", F.struct("node", "size", "at", "marks").alias("x"))
     held = keys.select("*", F.min("x").over(same).alias("hub"), F.max("x.node").over(same).alias("last"))
-    shared = written(held.where("hub.node < last OR salt >= 0").drop("last").distinct(), "shared")
+    shared = written_small(held.where("hub.node < last OR salt >= 0").drop("last").distinct(), "shared")
     hubs = shared.where("salt >= 0").select("key", F.col("hub").alias("x")).distinct()
     tops = hubs.groupBy("key").agg(F.min("x").alias("hub"))
     nodes = shared.select(F.col("x.node").alias("node")).distinct()
@@ -289,7 +283,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, fing
     With `fingerprints`, texts whose SimHash fingerprints link are similar too. A null text is empty, and empty ones are copies of each other. Repeated rows have one
     name. Columns beside doc_id and text are not read. docs must be a table.
     """
-    tags = written(_tags(docs, shingle, fingerprints), "tags")
+    tags = written_small(_tags(docs, shingle, fingerprints), "tags")
     roots = _roots(docs, tags, shingle, percent)
     found = tags.join(roots, "node", "left").select("doc_id", "name", F.coalesce("root", "node").alias("root"), "bits")
     return _joined(found) if fingerprints else found.drop("bits")

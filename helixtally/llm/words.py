@@ -5,19 +5,14 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHED = 1_000_000
 _LONGEST = 64
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, _LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
+class WordHashes:
+    """Word -> 64-bit hash. None is remembered: hashing a word is faster than finding it in a large dict, and takes no memory."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+    __getitem__ = staticmethod(xxhash.xxh3_64_intdigest)
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
