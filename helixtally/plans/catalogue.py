@@ -536,6 +536,7 @@ def stream_new_unique(spark, folder):
     for i, batch in enumerate(batches):
         incremental.plan_batches(spark, f"{work}/plan", [batch], first=i)
         result = incremental.stream_new_unique(incremental.stream_kmers(spark, f"{work}/plan", K), work, buckets=many)
+        delete(spark, *batch)
     return result
 
 

@@ -1,14 +1,17 @@
-"""Running counts with one state entry per minimizer bucket.
-
-The stream moves packed super-k-mers; the state of a bucket is one sorted array of
-k-mers with their counts, merged with what a micro-batch brings. A state store that
-holds one entry per k-mer pays for a look-up and a log record each; here both are paid
-per bucket, and the state itself is the count table: it is read back with Spark's
+"""Running counts with one state entry per minimizer bucket, or a few.
+
+The stream moves packed super-k-mers; the state of a bucket is a stack of sorted arrays of
+k-mers with their counts, differences of neighbours in as few bytes as they need. What a
+micro-batch brings is a new array on top: it is written once, and what is below is only read,
+to tell which k-mers are new. Small arrays are merged at once, others when there are RUNS of
+about one size, so a k-mer is written again a logarithm of times and not by every micro-batch.
+A state store that holds one entry per k-mer pays for a look-up and a log record each; here
+both are paid per array, and the state itself is the count table: it is read back with Spark's
 state reader, so no micro-batch writes counts anywhere else.
 
-``buckets`` is fixed when a folder is first used. 16 bytes per distinct k-mer lie in
-an entry, so take one bucket per million expected k-mers or so. A bucket that is hot
-within one slice of the input is salted as in a batch count and has several entries.
+``buckets`` is fixed when a folder is first used. Some 4 bytes per k-mer lie in an array, 16
+when it is read, so take one bucket per million expected k-mers or so. A bucket that is hot
+within one slice of the input is salted as in a batch count and has several stacks.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle
 
 from helixtally.functions import bases
 from helixtally.operators import codes, superkmers
@@ -30,13 +33,15 @@ from helixtally.sources.fastq import as_ranges, one_by_one, range_super_kmers, r
 from helixtally.streaming.incremental import Each, planned_ranges, run, written, writer
 
 BUCKETS = 128
-LARGEST = 1 << 26  # k-mers of one entry
+LARGEST = 1 << 26  # k-mers of one array
+SMALL, RUNS = 1 << 12, 16  # arrays below SMALL k-mers are merged at once, others when RUNS of one size have come
 _ROWS = 1 << 18  # of a batch that is read off the state
 REPORT = "bucket int, salt int, new_kmers bigint, touched bigint, occurrences bigint"
 PACKED_REPORT = "bucket int, batch int, new_kmers bigint"
-_STATE = "kmers binary, n binary"
+_STATE = "size int, kmers binary, n binary"
 _PACKED = "bucket int, batch int, kmers binary, n binary"
 _PACK_ROWS, _ROW_KMERS = 1 << 20, 1 << 10
+_EMPTY = (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def merged(old: tuple[np.ndarray, np.ndarray], kmers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +56,64 @@ def merged(old: tuple[np.ndarray, np.ndarray], kmers: np.ndarray, n: np.ndarray)
     return np.insert(held, at[~known], kmers[~known]), np.insert(counts, at[~known], n[~known])
 
 
+def shrunk(values: np.ndarray) -> bytes:
+    """Numbers from 0 as zstd of their bytes, place by place; the first byte says how many places there are."""
+    places = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)[:, :places].T)
+    return bytes([places]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def grown(blob: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob[1:], size * blob[0], "zstd", asbytes=True), np.uint8).reshape(blob[0], size)
+    values = np.zeros((size, 8), np.uint8)
+    values[:, : blob[0]] = planes.T
+    return values.view("<i8").reshape(-1)
+
+
+def stored(kmers: np.ndarray, n: np.ndarray) -> tuple[int, bytes, bytes]:
+    """A sorted count array as it lies in the state."""
+    return len(kmers), shrunk(np.diff(kmers, prepend=0)), shrunk(n)
+
+
+def restored(size: int, kmers: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(grown(kmers, size)), grown(n, size)
+
+
+def _level(size: int) -> int:
+    level = 0
+    while size >= SMALL * RUNS**level:
+        level += 1
+    return level
+
+
+def add(entry: MapState, kmers: np.ndarray, n: np.ndarray, bucket: int) -> np.ndarray:
+    """Puts a sorted count array on the stack of an entry, whose arrays are numbered from 0; which of the k-mers are new to it."""
+    new, sizes = np.ones(len(kmers), np.bool_), []
+    while entry.containsKey((len(sizes),)):
+        size, held, _ = entry.getValue((len(sizes),))
+        held = np.cumsum(grown(held, size))
+        if size:
+            at = np.minimum(np.searchsorted(held, kmers), size - 1)
+            new &= held[at] != kmers
+        sizes.append(size)
+    top = len(sizes)
+    if top and not len(kmers):
+        return new
+    while top:  # sizes get smaller from 0 on, so what is merged lies on top
+        own, levels = _level(len(kmers)), [_level(size) for size in sizes[:top]]
+        whole = own == 0 or levels.count(own) + 1 >= RUNS
+        if not (levels[-1] < own or whole and levels[-1] == own):
+            break
+        top -= 1
+        kmers, n = merged(restored(*entry.getValue((top,))), kmers, n)
+    if len(kmers) > LARGEST:
+        raise ValueError(f"bucket {bucket} holds {len(kmers)} k-mers; start again with more buckets")
+    entry.updateValue((top,), stored(kmers, n))
+    for number in range(top + 1, len(sizes)):
+        entry.removeKey((number,))
+    return new
+
+
 class BucketCounts(StatefulProcessor):
     """Adds a micro-batch's super-k-mers of one bucket to its entry, and reports what they were."""
 
@@ -58,47 +121,40 @@ class BucketCounts(StatefulProcessor):
         self.k = k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("counts", _STATE)
+        self.entry = handle.getMapState("counts", "run int", _STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         stretches = (pa.array(part["stretches"], pa.binary()) for part in rows)
         found = tallies(itertools.chain.from_iterable(superkmers.codes_of(s, self.k) for s in stretches))
-        state = self.entry.get()
-        table = tuple(np.frombuffer(x, np.int64) for x in state) if state else (np.empty(0, np.int64), np.empty(0, np.int64))
-        before, touched, occurrences = len(table[0]), 0, 0
+        table, touched, occurrences = _EMPTY, 0, 0
         for part in found:
             kmers, n = part.column(0).to_numpy(), part.column(1).to_numpy()
             table = merged(table, kmers, n)
             touched, occurrences = touched + len(kmers), occurrences + int(n.sum())
-        if len(table[0]) > LARGEST:
-            raise ValueError(f"bucket {key[0]} holds {len(table[0])} k-mers; start again with more buckets")
-        self.entry.update(tuple(x.tobytes() for x in table))
-        yield pd.DataFrame({"bucket": [key[0]], "salt": [key[1]], "new_kmers": [len(table[0]) - before], "touched": [touched], "occurrences": [occurrences]})
+        new = int(add(self.entry, *table, key[0]).sum())
+        yield pd.DataFrame({"bucket": [key[0]], "salt": [key[1]], "new_kmers": [new], "touched": [touched], "occurrences": [occurrences]})
 
     def close(self) -> None:
         pass
 
 
 class PackedCounts(StatefulProcessor):
-    """Adds a micro-batch's packed k-mers of one bucket to its entry, batch by batch, and reports how many of each batch are new."""
+    """Adds a micro-batch's packed k-mers of one bucket to its entry, and reports how many of each batch are new: in an earlier batch or micro-batch there are none."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("counts", _STATE)
+        self.entry = handle.getMapState("counts", "run int", _STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         found: dict[int, list] = {}
         for part in rows:
             for number, *pair in zip(part["batch"], part["kmers"], part["n"], strict=True):
                 found.setdefault(number, []).append([np.frombuffer(x, np.int64) for x in pair])
-        state = self.entry.get()
-        table = tuple(np.frombuffer(x, np.int64) for x in state) if state else (np.empty(0, np.int64), np.empty(0, np.int64))
-        report = []
+        each, table = {}, _EMPTY
         for number in sorted(found):
-            before, table = len(table[0]), merged(table, *combined(*map(np.concatenate, zip(*found.pop(number), strict=True))))
-            report.append((key[0], number, len(table[0]) - before))
-        if len(table[0]) > LARGEST:
-            raise ValueError(f"bucket {key[0]} holds {len(table[0])} k-mers; start again with more buckets")
-        self.entry.update(tuple(x.tobytes() for x in table))
+            before, kmers, n = table[0], *combined(*map(np.concatenate, zip(*found.pop(number), strict=True)))
+            table, each[number] = merged(table, kmers, n), np.setdiff1d(kmers, before, assume_unique=True)
+        new = table[0][add(self.entry, *table, key[0])]
+        report = [(key[0], number, len(np.intersect1d(kmers, new, assume_unique=True))) for number, kmers in each.items()]
         yield pd.DataFrame(report, columns=["bucket", "batch", "new_kmers"])
 
     def close(self) -> None:
@@ -193,20 +249,36 @@ def stream_bucket_counts(stretches: DataFrame, folder: str, k: int = bases.DEFAU
 
 
 def bucket_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The count table (kmer, n) as the state holds it after the last micro-batch."""
+    """The count table (kmer, n) as the state holds it after the last micro-batch.
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pair in zip(batch.column(0), batch.column(1), strict=True):
-                kmers, n = (np.frombuffer(x.as_buffer(), np.int64) for x in pair)
-                for lo in range(0, len(kmers), _ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + _ROWS]) for x in (kmers, n)], ["kmer", "n"])
-
-    if not written(spark, f"{folder}/reports/epoch=*", "bucket int").take(1):
+    The arrays of a bucket are merged where they are read; only those of salted buckets, which
+    may hold a k-mer more than once, are added up behind an exchange.
+    """
+    reports = written(spark, f"{folder}/reports/epoch=*", "bucket int, salt int")
+    if not reports.take(1):
         return spark.createDataFrame([], "kmer bigint, n bigint")
-    state = spark.read.format("statestore").option("stateVarName", "counts").load(f"{folder}/checkpoint")
-    rows = state.select("value.kmers", "value.n").mapInArrow(unpacked, "kmer bigint, n bigint")
-    return rows.groupBy("kmer").agg(F.sum("n").alias("n"))  # salted buckets may hold a k-mer more than once
+    salted = frozenset(r.bucket for r in reports.where("salt > 0").select("bucket").distinct().collect())
+
+    def unpacked(of_salted: bool):
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for bucket, runs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if (bucket in salted) != of_salted:
+                        continue
+                    arrays = [restored(**run) for run in runs.as_py()]
+                    kmers, n = arrays[0] if len(arrays) == 1 else combined(*map(np.concatenate, zip(*arrays, strict=True)))
+                    for lo in range(0, len(kmers), _ROWS):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + _ROWS]) for x in (kmers, n)], ["kmer", "n"])
+
+        return unpack
+
+    state = spark.read.format("statestore").option("stateVarName", "counts").option("flattenCollectionTypes", "false").load(f"{folder}/checkpoint")
+    stacks = state.select("key.bucket", F.map_values("map_value").alias("runs"))
+    table = stacks.mapInArrow(unpacked(False), "kmer bigint, n bigint")
+    if not salted:
+        return table
+    parts = stacks.mapInArrow(unpacked(True), "kmer bigint, n bigint")
+    return table.unionByName(parts.groupBy("kmer").agg(F.sum("n").alias("n")))
 
 
 def batch_reports(spark: SparkSession, folder: str) -> DataFrame:

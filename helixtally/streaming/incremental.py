@@ -8,7 +8,7 @@ planned, so a repeated micro-batch reads the same records.
 Two ways to keep counts:
 
 * ``stream_counts`` holds the running counts in the state store (RocksDB, on disk),
-  an array of them per bucket of k-mers, and reads the count table off it;
+  a few arrays of them per bucket of k-mers, and reads the count table off it;
 * ``stream_deltas`` keeps no state: it writes every batch's own count table, to be
   summed when asked for. It suits inputs whose distinct k-mers outgrow a state store.
 """
@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import threading
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -29,6 +28,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from helixtally.functions import bases
 from helixtally.operators import codes
 from helixtally.operators.windows import tallies
+from helixtally.session import CLEANUP_KEY, settings
 from helixtally.sources import ranges as br
 from helixtally.sources.fastq import RANGE_SCHEMA, as_ranges, number_lines, numbered_ranges, one_by_one, range_kmers, range_table
 
@@ -103,19 +103,6 @@ def planned_ranges(spark: SparkSession, folder: str, batches_per_trigger: int) -
     return planned.option("recursiveFileLookup", "true").json(folder)
 
 
-@contextmanager
-def _state_store(spark: SparkSession):
-    """Start a query with the on-disk state store: deltas instead of snapshots, no row counting."""
-    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
-    for key, value in STATE_STORE.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 #: Gets Spark's report of a micro-batch: rows, durations, state size.
 Each = Callable[[dict], None]
 
@@ -165,7 +152,7 @@ def run(stream: DataFrame, write: Callable, checkpoint: str, mode: str, each: Ea
     reports = Reports(each or (lambda report: None))
     spark.streams.addListener(reports)
     try:
-        with _state_store(spark):
+        with settings(spark, STATE_STORE | {CLEANUP_KEY: "true"}):  # the query starts with a copy of the session's
             writing = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
             query = (writing if until_empty else writing.trigger(availableNow=True)).start()
         reports.of(str(query.runId))
@@ -207,7 +194,7 @@ def written(spark: SparkSession, out: str, schema: str, folder: str | None = Non
 def stream_counts(kmers: DataFrame, folder: str, each: Each | None = None, buckets: int | None = None) -> DataFrame:
     """Run the stateful count over the stream; returns the count table (kmer, n).
 
-    The state holds one entry per bucket of k-mers, a sorted array with their counts, and is
+    The state holds a few sorted arrays of k-mers with their counts per bucket, and is
     the count table. ``buckets`` is fixed when a folder is first used; see ``streaming.buckets``.
     """
     from helixtally.streaming import buckets as state  # which builds on this module
