@@ -493,7 +493,9 @@ def _five_batches(spark, folder) -> tuple[str, int]:
 def stream_bucket_counts(spark, folder):
     """Counts from such a stream with one state entry per minimizer bucket, read off the state itself."""
     work, many = _five_batches(spark, folder)
-    return spelled(buckets.stream_bucket_counts(buckets.stream_super_kmers(spark, f"{work}/plan", K, buckets=many), work, K))
+    counted = buckets.stream_bucket_counts(buckets.stream_super_kmers(spark, f"{work}/plan", K, buckets=many), work, K)
+    delete(spark, f"{work}/reads")
+    return spelled(counted)
 
 
 @query
@@ -510,7 +512,9 @@ def stream_counts(spark, folder):
     """Counts from a stream that takes the reads in at least five micro-batches."""
     work, many = _five_batches(spark, folder)
     stream = incremental.stream_kmers(spark, f"{work}/plan", K)
-    return spelled(incremental.stream_counts(stream, work, buckets=many))
+    counted = incremental.stream_counts(stream, work, buckets=many)
+    delete(spark, f"{work}/reads")
+    return spelled(counted)
 
 
 @query
