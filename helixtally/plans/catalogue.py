@@ -504,7 +504,9 @@ def stream_source_counts(spark, folder):
     work = shared_folder(spark, "stream")
     write_fastq(reads(spark, folder), f"{work}/reads")
     total = range_table(spark, f"{work}/reads", splittable=False).agg(F.sum("size")).first()[0] or 0
-    return spelled(buckets.stream_source_counts(spark, f"{work}/reads", work, K, max(1, -(-total // 5)), buckets.buckets_for(total)))
+    counted = buckets.stream_source_counts(spark, f"{work}/reads", work, K, max(1, -(-total // 5)), buckets.buckets_for(total))
+    delete(spark, f"{work}/reads")
+    return spelled(counted)
 
 
 @query
